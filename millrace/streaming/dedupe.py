@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from millrace.common import scratch
+from millrace.common import scratch, ship
 
 #: Offsets of one bitmap, and keys of the store for each sequence.
 BLOCK = 8192
@@ -99,6 +99,7 @@ def deliver_once(
     same ``root`` continues after the last finished batch.
     """
     spark = stream.sparkSession
+    ship(spark)
     schema = stream.schema
     *seq, offset = ident
     arrival = F.coalesce(F.col(at).cast("timestamp"), F.timestamp_seconds(F.lit(0)))
