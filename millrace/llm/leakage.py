@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.common import ship
+
 WINDOW = 12
 #: Bytes of text read at a time and words of one shard.
 SLICE, SHARD = 1 << 21, 400_000
@@ -303,6 +305,7 @@ def leaked_spans(
 
     Items are searched in blocks of at most ``per_pass`` phrases; each block is one more pass.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     schema = f"doc_id {kind}, item_id long, first_byte long, end_byte long"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.common import load
-from millrace.llm import leakage, quantiles, tokenize
+from millrace.llm import leakage, pii, quantiles, tokenize
 from millrace.queries import Registry
 
 R = Registry()
@@ -63,3 +63,16 @@ ip AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS p FROM (SEL
 """
 R.add("p9_found", p9_found, _WORDS_SQL + "SELECT DISTINCT doc_id, item_id FROM dp JOIN ip USING (p)")
 R.add("p9_spans", p9_spans)
+
+
+# 10: personal information inside free text
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found_lines(pii.find(load(spark, d, "documents")))
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(load(spark, d, "documents"))
+
+
+R.add("p10_found", p10_found)
+R.add("p10_redacted", p10_redacted)

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.common import ship
+
 # Fixed value: the pattern that splits text before the merges of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters above which a text is taken apart, and of one part.
@@ -242,6 +244,7 @@ def encode_corpus(
     df: DataFrame, ident: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, long: int = LONG, part: int = PART
 ) -> DataFrame:
     """``(ident, ids)``: one row for each row of ``df``."""
+    ship(df.sparkSession)
     rows = df.select(F.col(ident).alias("doc_id"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     size = F.coalesce(F.length("text"), F.lit(0))
