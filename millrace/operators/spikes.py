@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.common import cut
 from millrace.operators.cumulative import cumulate, pick_ranks, value_counts
 
 #: Sketch size: groups up to about this many readings are held exactly.
@@ -168,7 +169,9 @@ def flag_readings(
 ) -> DataFrame:
     """``(field, partition, offset, impossible, spike, stuck)``: every reading with at least one flag."""
     rows = readings(df, source, ts, fields, block_seconds)
-    bounds = median_bounds(sketches(rows, fields), fields)
+    # one row for each source; written once, as the open cases are looked for before the flags are made
+    bounds = cut(median_bounds(sketches(rows, fields), fields))
+    compacted = bounds.agg(*[F.max(F.col(f"_lo_{f.name}") < F.col(f"_hi_{f.name}")).alias(f.name) for f in fields]).first()
     d = _islands(rows, fields)
     edges = _block_edges(d, fields)
     d = d.join(edges, (d["_src"] == edges["_es"]) & d["_block"].eqNullSafe(edges["_eb"]), "left")
@@ -194,10 +197,8 @@ def flag_readings(
     hits = d.select("_src", "partition", "offset", F.explode(keep).alias("h")).select("_src", "partition", "offset", "h.*")
     settled = None
     for f in fields:
-        # only sources whose sketch was compacted can have readings in the band
-        open_ = rows_in_band(rows, bounds, f, factor)
-        med = exact_medians(rows, open_, f).withColumn("_f", F.lit(f.name)) if open_ is not None else None
-        if med is not None:
+        if compacted[f.name]:
+            med = exact_medians(rows, rows_in_band(rows, bounds, f, factor), f).withColumn("_f", F.lit(f.name))
             settled = med if settled is None else settled.unionByName(med)
     if settled is None:
         return hits.select("field", "partition", "offset", "impossible", "spike", "stuck").where("impossible OR spike OR stuck")
@@ -206,11 +207,9 @@ def flag_readings(
     return hits.select("field", "partition", "offset", "impossible", spike.alias("spike"), "stuck").where("impossible OR spike OR stuck")
 
 
-def rows_in_band(rows: DataFrame, bounds: DataFrame, f: Field, factor: float) -> DataFrame | None:
-    """Sources with a reading that the sketch leaves open, or None where every sketch is exact."""
+def rows_in_band(rows: DataFrame, bounds: DataFrame, f: Field, factor: float) -> DataFrame:
+    """Sources with a reading that a compacted sketch leaves open."""
     wide = bounds.where(F.col(f"_lo_{f.name}") < F.col(f"_hi_{f.name}"))
-    if wide.isEmpty():
-        return None
     m = magnitude(f.name)
     return (
         rows.join(wide, rows["_src"] == wide["_sk_src"])
