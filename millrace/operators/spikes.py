@@ -43,7 +43,8 @@ class Field:
 
 def readings(df: DataFrame, source: Sequence[str], ts: str, fields: Sequence[Field], block_seconds: int) -> DataFrame:
     """One row for each (partition, offset): ``_src`` struct, ``_block``, ts, partition, offset, fields as double."""
-    block = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(block_seconds * 1_000_000))
+    # a plain key, never null, so that joins on it find the rows where the windows left them
+    block = F.coalesce(F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(block_seconds * 1_000_000)), F.lit(-(2**40)))
     rows = df.select(
         F.struct(*[F.col(c).alias(f"s{i}") for i, c in enumerate(source)]).alias("_src"), block.alias("_block"),
         F.col(ts).alias("_ts"), "partition", "offset", *[F.col(f.name).cast("double").alias(f.name) for f in fields],
@@ -174,8 +175,9 @@ def flag_readings(
     compacted = bounds.agg(*[F.max(F.col(f"_lo_{f.name}") < F.col(f"_hi_{f.name}")).alias(f.name) for f in fields]).first()
     d = _islands(rows, fields)
     edges = _block_edges(d, fields)
-    d = d.join(edges, (d["_src"] == edges["_es"]) & d["_block"].eqNullSafe(edges["_eb"]), "left")
-    d = d.join(bounds, d["_src"] == bounds["_sk_src"], "left")
+    # bounds go to the blocks, not to the readings: readings stay where they are, and a large source stays spread
+    edges = edges.join(bounds, edges["_es"] == bounds["_sk_src"], "left")
+    d = d.join(edges, (d["_src"] == edges["_es"]) & (d["_block"] == edges["_eb"]), "left")
     sure, maybe, stuck = {}, {}, {}
     for f in fields:
         x, m = f.name, magnitude(f.name)
