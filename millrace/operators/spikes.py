@@ -65,13 +65,6 @@ def magnitude(c: str) -> Column:
     return F.when(finite(c) & (F.col(c) != 0), F.abs(F.col(c)))
 
 
-def impossible(f: Field) -> Column:
-    """Not finite, or negative in a field that cannot be."""
-    c = F.col(f.name)
-    bad = F.isnan(c) | (F.abs(c) == float("inf"))
-    return F.coalesce(bad if f.signed else bad | (c < 0), F.lit(False))
-
-
 def sketches(rows: DataFrame, fields: Sequence[Field], by: Sequence[Column] = (), k: int = K) -> DataFrame:
     """A KLL sketch of the magnitudes of each source (and context) and field."""
     return rows.groupBy("_src", *by).agg(
@@ -109,54 +102,57 @@ def exact_medians(rows: DataFrame, pairs: DataFrame, f: Field) -> DataFrame:
     return mid.groupBy(F.col("_src").alias("_ex_src")).agg(F.avg("_m").alias("_med"))
 
 
-def _islands(rows: DataFrame, fields: Sequence[Field]) -> DataFrame:
-    """Length of the run of equal values around each reading, over the whole source."""
+def _changes(rows: DataFrame, fields: Sequence[Field]) -> DataFrame:
+    """Position of each reading in its block, and where a field takes another value than before."""
+    fwd = Window.partitionBy("_src", "_block").orderBy("_ts", "partition", "offset")
+    names = [f.name for f in fields]
+    # a null reading takes the value before it, so it does not break a run
+    held = {f"_v_{x}": F.last(x, ignorenulls=True).over(fwd.rowsBetween(Window.unboundedPreceding, 0)) for x in names}
+    d = rows.withColumns({"_pos": F.row_number().over(fwd), **held})
+    return d.withColumns({f"_c_{x}": ~F.col(f"_v_{x}").eqNullSafe(F.lag(f"_v_{x}").over(fwd)) | (F.col("_pos") == 1) for x in names})
+
+
+def _runs(d: DataFrame, fields: Sequence[Field]) -> DataFrame:
+    """First and last position of the run around each reading, inside its block."""
     fwd = Window.partitionBy("_src", "_block").orderBy("_ts", "partition", "offset")
     back = Window.partitionBy("_src", "_block").orderBy(F.desc("_ts"), F.desc("partition"), F.desc("offset"))
     sofar = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = rows.withColumn("_pos", F.row_number().over(fwd))
-    for f in fields:
-        # a null reading takes the value before it, so it does not break a run
-        d = d.withColumn(f"_v_{f.name}", F.last(f.name, ignorenulls=True).over(sofar(fwd)))
-        d = d.withColumn(f"_c_{f.name}", ~F.col(f"_v_{f.name}").eqNullSafe(F.lag(f"_v_{f.name}").over(fwd)) | (F.col("_pos") == 1))
-        d = d.withColumn(f"_a_{f.name}", F.max(F.when(F.col(f"_c_{f.name}"), F.col("_pos"))).over(sofar(fwd)))
-    d = d.withColumn("_rev", F.row_number().over(back))
-    for f in fields:
-        last = F.coalesce(F.lag(f"_c_{f.name}").over(back), F.lit(True))  # the next row starts another run
-        d = d.withColumn(f"_e_{f.name}", last)
-        d = d.withColumn(f"_z_{f.name}", F.min(F.when(F.col(f"_e_{f.name}"), F.col("_pos"))).over(sofar(back)))
-        d = d.withColumn(f"_n_{f.name}", F.col(f"_z_{f.name}") - F.col(f"_a_{f.name}") + 1)
-    return d
+    names = [f.name for f in fields]
+    d = d.withColumns({f"_a_{x}": F.max(F.when(F.col(f"_c_{x}"), F.col("_pos"))).over(sofar(fwd)) for x in names})
+    # a reading ends its run where the next one starts another
+    d = d.withColumns({f"_e_{x}": F.when(F.coalesce(F.lag(f"_c_{x}").over(back), F.lit(True)), F.col("_pos")) for x in names})
+    return d.withColumns({f"_z_{x}": F.min(f"_e_{x}").over(sofar(back)) for x in names})
 
 
 def _block_edges(d: DataFrame, fields: Sequence[Field]) -> DataFrame:
-    """What each block's first and last run gain from its neighbours, and whether the source varies."""
-    aggs = [F.max("_pos").alias("_rows")]
+    """What each block's first and last run gain from its neighbours, and whether the source varies.
+
+    One row for each source and block, with a map from field to ``(pre, post, vary)``.
+    """
+    n, parts = F.max("_pos"), []
     for f in fields:
-        v, n = F.col(f"_v_{f.name}"), F.col(f"_n_{f.name}")
-        aggs += [
-            F.min_by(v, "_pos").alias(f"_fv_{f.name}"), F.min_by(n, "_pos").alias(f"_fn_{f.name}"),
-            F.max_by(v, "_pos").alias(f"_lv_{f.name}"), F.max_by(n, "_pos").alias(f"_ln_{f.name}"),
-            F.min(v).alias(f"_mn_{f.name}"), F.max(v).alias(f"_mx_{f.name}"),
-        ]
-    e = d.groupBy("_src", "_block").agg(*aggs)
-    src = Window.partitionBy("_src")
+        v, c = F.col(f"_v_{f.name}"), F.col(f"_c_{f.name}")
+        parts.append(F.struct(
+            F.lit(f.name).alias("f"), F.min_by(v, "_pos").alias("fv"), F.max_by(v, "_pos").alias("lv"),
+            (F.coalesce(F.min(F.when(c & (F.col("_pos") > 1), F.col("_pos"))), n + 1) - 1).alias("fn"),
+            (n + 1 - F.max(F.when(c, F.col("_pos")))).alias("ln"), F.min(v).alias("mn"), F.max(v).alias("mx"),
+        ))
+    e = d.groupBy("_src", "_block").agg(n.alias("_rows"), F.array(*parts).alias("_parts"))
+    e = e.select("_src", "_block", "_rows", F.inline("_parts"))
+    src = Window.partitionBy("_src", "f")
     up, down = src.orderBy("_block"), src.orderBy(F.desc("_block"))
-    out = ["_src", "_block", "_rows"]
-    for f in fields:
-        x = f.name
-        for w, here, there, size, name in ((up, f"_fv_{x}", f"_lv_{x}", f"_ln_{x}", "_pre"), (down, f"_lv_{x}", f"_fv_{x}", f"_fn_{x}", "_post")):
-            # a block passes the run of its neighbour on when it is one single run linked to it
-            link = F.lag(there).over(w).eqNullSafe(F.col(here)) & (F.row_number().over(w) > 1)
-            e = e.withColumn("_link", link).withColumn("_thru", F.col("_link") & (F.col(size) == F.col("_rows")))
-            e = e.withColumn("_i", F.row_number().over(w))
-            e = e.withColumn("_sum", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-            e = e.withColumn("_base", F.max(F.struct(F.when(~F.col("_thru"), F.col("_i")).alias("i"), (F.col("_sum") - F.col(size)).alias("s")))
-                             .over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-            e = e.withColumn(f"{name}_{x}", F.when(F.col("_link"), F.lag(F.col("_sum") - F.col("_base.s")).over(w)).otherwise(F.lit(0)))
-        e = e.withColumn(f"_vary_{x}", F.coalesce(F.min(f"_mn_{x}").over(src) < F.max(f"_mx_{x}").over(src), F.lit(False)))
-        out += [f"_pre_{x}", f"_post_{x}", f"_vary_{x}"]
-    return e.select(*[F.col(c).alias("_es" if c == "_src" else "_eb" if c == "_block" else c) for c in out])
+    for w, here, there, size, name in ((up, "fv", "lv", "ln", "pre"), (down, "lv", "fv", "fn", "post")):
+        sofar = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        # a block passes the run of its neighbour on when it is one single run linked to it
+        e = e.withColumns({"_near": F.lag(there).over(w), "_i": F.row_number().over(w), "_sum": F.sum(size).over(sofar)})
+        e = e.withColumn("_link", F.col("_near").eqNullSafe(F.col(here)) & (F.col("_i") > 1))
+        start = F.when(~(F.col("_link") & (F.col(size) == F.col("_rows"))), F.struct("_i", (F.col("_sum") - F.col(size)).alias("s")))
+        e = e.withColumn("_base", F.max(start).over(sofar))
+        e = e.withColumn(name, F.when(F.col("_link"), F.lag(F.col("_sum") - F.col("_base.s")).over(w)).otherwise(F.lit(0)))
+    e = e.withColumn("vary", F.coalesce(F.min("mn").over(src) < F.max("mx").over(src), F.lit(False)))
+    return e.groupBy(F.col("_src").alias("_es"), F.col("_block").alias("_eb"), "_rows").agg(
+        F.map_from_entries(F.collect_list(F.struct("f", F.struct("pre", "post", "vary")))).alias("_edge")
+    )
 
 
 def flag_readings(
@@ -173,30 +169,35 @@ def flag_readings(
     # one row for each source; written once, as the open cases are looked for before the flags are made
     bounds = cut(median_bounds(sketches(rows, fields), fields))
     compacted = bounds.agg(*[F.max(F.col(f"_lo_{f.name}") < F.col(f"_hi_{f.name}")).alias(f.name) for f in fields]).first()
-    d = _islands(rows, fields)
-    edges = _block_edges(d, fields)
+    changes = _changes(rows, fields)
+    edges = _block_edges(changes, fields)
     # bounds go to the blocks, not to the readings: readings stay where they are, and a large source stays spread
     edges = edges.join(bounds, edges["_es"] == bounds["_sk_src"], "left")
+    d = _runs(changes, fields)
     d = d.join(edges, (d["_src"] == edges["_es"]) & (d["_block"] == edges["_eb"]), "left")
-    sure, maybe, stuck = {}, {}, {}
+    parts = []
     for f in fields:
-        x, m = f.name, magnitude(f.name)
-        big = (m >= F.lit(f.floor)) & finite(x)
-        sure[x] = F.coalesce(big & (m >= factor * F.col(f"_hi_{x}")), F.lit(False))
-        maybe[x] = F.coalesce(big & (m >= factor * F.col(f"_lo_{x}")) & (m < factor * F.col(f"_hi_{x}")), F.lit(False))
+        x, edge = f.name, F.col("_edge")[f.name]
         length = (
-            F.col(f"_n_{x}")
-            + F.when(F.col(f"_a_{x}") == 1, F.col(f"_pre_{x}")).otherwise(0)
-            + F.when(F.col(f"_z_{x}") == F.col("_rows"), F.col(f"_post_{x}")).otherwise(0)
-        )
-        stuck[x] = F.coalesce((length >= run) & F.col(f"_vary_{x}") & (F.col(x) != 0), F.lit(False))
-    flags = F.array(*[
-        F.struct(F.lit(f.name).alias("field"), impossible(f).alias("impossible"), sure[f.name].alias("spike"),
-                 maybe[f.name].alias("maybe"), stuck[f.name].alias("stuck"), magnitude(f.name).alias("m"))
-        for f in fields
-    ])
-    keep = F.filter(flags, lambda s: s["impossible"] | s["spike"] | s["maybe"] | s["stuck"])
-    hits = d.select("_src", "partition", "offset", F.explode(keep).alias("h")).select("_src", "partition", "offset", "h.*")
+            F.col(f"_z_{x}") - F.col(f"_a_{x}") + 1
+            + F.when(F.col(f"_a_{x}") == 1, edge["pre"]).otherwise(0)
+            + F.when(F.col(f"_z_{x}") == F.col("_rows"), edge["post"]).otherwise(0)
+        )
+        parts.append(F.struct(
+            F.lit(x).alias("field"), F.col(x).alias("v"), length.alias("length"), edge["vary"].alias("vary"), F.col(f"_lo_{x}").alias("lo"),
+            F.col(f"_hi_{x}").alias("hi"), F.lit(f.floor).alias("floor"), F.lit(f.signed).alias("signed"),
+        ))
+    long = d.select("_src", "partition", "offset", F.inline(F.array(*parts)))
+    wild = F.isnan("v") | (F.abs("v") == float("inf"))
+    m = F.when(~wild & (F.col("v") != 0), F.abs("v"))
+    hits = long.select(
+        "_src", "partition", "offset", "field", m.alias("m"), "lo", "hi", "floor",
+        F.coalesce(wild | ((F.col("v") < 0) & ~F.col("signed")), F.lit(False)).alias("impossible"),
+        F.coalesce((F.col("length") >= run) & F.col("vary") & (F.col("v") != 0), F.lit(False)).alias("stuck"),
+    )
+    big = F.coalesce((F.col("m") >= F.col("floor")) & (F.col("m") >= factor * F.col("lo")), F.lit(False))
+    hits = hits.withColumn("maybe", big).where("impossible OR stuck OR maybe")
+    hits = hits.withColumn("spike", F.col("maybe") & (F.col("m") >= factor * F.col("hi")))
     settled = None
     for f in fields:
         if compacted[f.name]:
