@@ -28,7 +28,9 @@ def cell(value: Column, digits: int = DIGITS) -> Column:
     """Middle of the grid cell of an integer value, as a long; monotone in the value."""
     v = F.greatest(value.cast("long"), F.lit(-(2**63 - 1)))
     size = F.abs(v)
-    step = F.pow(F.lit(10.0), F.greatest(F.length(size.cast("string")) - digits, F.lit(0))).cast("long")
+    step = F.lit(1)
+    for p in range(digits, 19):
+        step = F.when(size >= 10**p, F.lit(10 ** (p + 1 - digits)).cast("long")).otherwise(step)
     low = size - size % step
     # the last cell before the largest long keeps its lower edge
     middle = F.when(low > F.lit(2**63 - 1) - step, low).otherwise(low + (step - step % 2) / 2)
@@ -38,12 +40,16 @@ def cell(value: Column, digits: int = DIGITS) -> Column:
 def state(
     df: DataFrame, groups: Sequence[Column], fields: Sequence[str], digits: int = DIGITS, ident: Sequence[str] | None = None
 ) -> DataFrame:
-    """``(g0, g1, ..., field, value, cnt)``: combinable state, aggregated map-side before the shuffle."""
-    if ident:
-        df = df.dropDuplicates(list(ident))
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), cell(F.col(f), digits).alias("value")) for f in fields])
-    long = df.select(*[g.alias(f"g{i}") for i, g in enumerate(groups)], F.explode(pairs).alias("p"))
+    """``(g0, g1, ..., field, value, cnt)``: combinable state, aggregated map-side before the shuffle.
+
+    Rows of one group with the same ``ident`` count once.
+    """
     keys = [f"g{i}" for i in range(len(groups))]
+    rows = df.select(*[g.alias(k) for g, k in zip(groups, keys, strict=True)], *(ident or ()), *[cell(F.col(f), digits).alias(f"_{f}") for f in fields])
+    if ident:
+        rows = rows.groupBy(*keys, *ident).agg(*[F.first(f"_{f}", ignorenulls=True).alias(f"_{f}") for f in fields])
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_{f}").alias("value")) for f in fields])
+    long = rows.select(*keys, F.explode(pairs).alias("p"))
     return (
         long.select(*keys, "p.field", "p.value").where(F.col("value").isNotNull())
         .groupBy(*keys, "field", "value").agg(F.count("*").alias("cnt"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.common import load
+from millrace.common import cut, load
 from millrace.llm import leakage, pii, quantiles, tokenize
 from millrace.queries import Registry
 
@@ -17,10 +17,12 @@ FIELDS = ["memory", "message_queue_len"]
 # 1: percentiles of very large numeric columns
 def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
     prc = load(spark, d, "prc").select("partition", "offset", "node", "ts", *FIELDS)
-    days = quantiles.state(prc, [F.col("node"), F.date_format("ts", "yyyy-MM-dd")], FIELDS, ident=["partition", "offset"])
-    whole = days.groupBy("g0", F.lit("all").alias("g1"), "field", "value").agg(F.sum("cnt").alias("cnt"))
+    # the states of the days are written once and combined to those of the whole
+    days = cut(quantiles.state(prc, [F.col("node"), F.to_date("ts")], FIELDS, ident=["partition", "offset"]))
+    whole = days.groupBy("g0", F.lit(None).cast("date").alias("g1"), "field", "value").agg(F.sum("cnt").alias("cnt"))
     out = quantiles.percentiles(days.unionByName(whole), QUANTILES)
-    return out.withColumnsRenamed({"g0": "node", "g1": "day"})
+    day = F.coalesce(F.date_format("g1", "yyyy-MM-dd"), F.lit("all"))
+    return out.select(F.col("g0").alias("node"), day.alias("day"), "field", "q", "value", "n_rows")
 
 
 R.add(
