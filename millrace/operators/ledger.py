@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Offsets of one work item; items of one run are processed together, as one job.
 ITEM_OFFSETS = 50_000_000
@@ -184,6 +185,6 @@ def process_new(spark: SparkSession, data: DataFrame, log: DataFrame, root: str,
     done = ledger.done()
     if not done:
         return data.limit(0)
-    schema = data.schema.add("item", "string")
+    schema = T.StructType([*data.schema.fields, T.StructField("item", T.StringType())])
     out = spark.read.schema(schema).parquet(f"{root}/out")
     return out.where(F.col("item").isin(done)).drop("item")

@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.common import scratch, ship
@@ -73,11 +74,17 @@ def _mark(block: int, keep_ms: int):  # noqa: ANN202
     return step
 
 
+#: Bytes of files in one batch, which bounds what a key of the store gets at once.
+BATCH_BYTES = 4 << 30
+
+
 def source(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """A stream over a parquet folder or file; each file is read once."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    else:
+        reader = reader.option("maxBytesPerTrigger", BATCH_BYTES)
     if os.path.isfile(path.removeprefix("file://")):
         return reader.option("pathGlobFilter", os.path.basename(path)).parquet(os.path.dirname(path))
     return reader.parquet(path)
@@ -100,7 +107,8 @@ def deliver_once(
     """
     spark = stream.sparkSession
     ship(spark)
-    schema = stream.schema
+    schema = T.StructType(stream.schema.fields)
+    extended = T.StructType([*schema.fields, T.StructField("verdict", T.StringType()), T.StructField("batch", T.LongType())])
     *seq, offset = ident
     arrival = F.coalesce(F.col(at).cast("timestamp"), F.timestamp_seconds(F.lit(0)))
     packed = stream.select(
@@ -116,25 +124,29 @@ def deliver_once(
     out = f"{root}/out"
 
     def store(batch: DataFrame, number: int) -> None:
-        rows = batch.select("_verdict", F.from_json("_row", schema, _JSON).alias("r")).select("_verdict", "r.*").persist()
+        rows = batch.select("_verdict", F.from_json("_row", schema, _JSON).alias("r")).select("_verdict", "r.*")
+        if number == 0:  # nothing has been delivered, so nothing can be looked up
+            write(rows.withColumn("_verdict", F.when(F.col("_verdict") == "lookup", "first").otherwise(F.col("_verdict"))), number)
+            return
+        rows = rows.persist()
         try:
             ask = rows.where("_verdict = 'lookup'")
-            if number and not ask.isEmpty():
-                old = spark.read.schema(schema.add("verdict", "string").add("batch", "long")).parquet(out)
+            if not ask.isEmpty():
+                old = spark.read.schema(extended).parquet(out)
                 old = old.where((F.col("batch") < number) & (F.col("verdict") == "first")).select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(ident)])
                 cond = F.lit(True)
                 for i, c in enumerate(ident):
                     cond = cond & F.col(c).eqNullSafe(F.col(f"_o{i}"))
-                old = old.withColumn("_known", F.lit(True))
-                ask = ask.join(old, cond, "left").withColumn("_verdict", F.when(F.col("_known"), "again").otherwise("first")).select(rows.columns)
-                rows_ = rows.where("_verdict <> 'lookup'").unionByName(ask)
-            else:
-                rows_ = rows.withColumn("_verdict", F.when(F.col("_verdict") == "lookup", "first").otherwise(F.col("_verdict")))
-            final = rows_.withColumnRenamed("_verdict", "verdict").withColumn("batch", F.lit(number).cast("long"))
-            final.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "verdict").parquet(out)
+                known = ask.join(old.withColumn("_known", F.lit(True)), cond, "left")
+                ask = known.withColumn("_verdict", F.when(F.col("_known"), "again").otherwise("first")).select(rows.columns)
+            write(rows.where("_verdict <> 'lookup'").unionByName(ask), number)
         finally:
             rows.unpersist()
 
+    def write(rows: DataFrame, number: int) -> None:
+        final = rows.withColumnRenamed("_verdict", "verdict").withColumn("batch", F.lit(number).cast("long"))
+        final.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "verdict").parquet(out)
+
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     try:
@@ -149,7 +161,7 @@ def deliver_once(
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         empty = spark.createDataFrame([], schema)
         return empty, empty
-    done = spark.read.schema(schema.add("verdict", "string").add("batch", "long")).parquet(out)
+    done = spark.read.schema(extended).parquet(out)
     return tuple(done.where(F.col("verdict") == v).drop("verdict", "batch") for v in ("first", "again"))
 
 
