@@ -2,6 +2,373 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.common import load
+from millrace.envelope import with_envelope
+from millrace.functions import records as rec
+from millrace.operators import audit, chunking, stateless, substreams
+from millrace.operators.assemble import assemble, header
+from millrace.plans import workflows
+from millrace.plans.pipeline import pipe
 from millrace.queries import Registry
+from millrace.sinks import table as tables
+from millrace.streaming import chunks as stream_chunks
+from millrace.streaming.dedupe import source
 
 R = Registry()
+FULL = chunking.chunk_length(100, counts_first=True)
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return with_envelope(load(spark, d, "events"), "events", F.col("user_id") % 5, F.col("event_id"))
+
+
+def _messages(spark: SparkSession, d: str, topic: str) -> DataFrame:
+    m = load(spark, d, "messages").where(F.col("topic") == topic)
+    return with_envelope(m, F.col("topic"), F.col("partition"), F.col("offset"))
+
+
+# stateless stages
+def map_project(spark: SparkSession, d: str) -> DataFrame:
+    stage = stateless.map_rows(doubled=F.col("value") * 2, tag=F.concat_ws("-", "event_type", F.col("offset").cast("string")))
+    return stage(_events(spark, d)).select("partition", "offset", "doubled", "tag")
+
+
+def filter_predicate(spark: SparkSession, d: str) -> DataFrame:
+    stage = stateless.filter_rows((F.col("value") > 50) & (F.col("offset") % 2 == 0))
+    return stage(_events(spark, d)).select("partition", "offset", "event_type", "value")
+
+
+def mfd_route(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("event_type")
+    stage = stateless.map_filter_route(kind != "error", F.when(kind.isin("click", "view"), kind), amount=F.col("value") + 1)
+    out = stage(_events(spark, d))
+    return out.select("offset", "partition", F.array_join("route", "/").alias("route"), "amount")
+
+
+def unfold_lines(spark: SparkSession, d: str) -> DataFrame:
+    docs = with_envelope(load(spark, d, "documents").select("doc_id", "text"), "documents", F.lit(0), F.col("doc_id"))
+    out = stateless.unfold(F.split("text", "\n"), "line")(docs)
+    return out.select("doc_id", F.element_at("ord", -1).cast("long").alias("pos"), F.length("line").cast("long").alias("n_chars"))
+
+
+EVENTS_SQL = "SELECT 'events' AS topic, (user_id % 5)::int AS \"partition\", event_id AS \"offset\", * FROM events"
+R.add("map_project", map_project, f"""SELECT "partition", "offset", value * 2 AS doubled, event_type || '-' || "offset"::varchar AS tag FROM ({EVENTS_SQL})""")
+R.add("filter_predicate", filter_predicate, f"""SELECT "partition", "offset", event_type, value FROM ({EVENTS_SQL}) WHERE value > 50 AND "offset" % 2 = 0""")
+R.add("mfd_route", mfd_route, f"""SELECT "offset", "partition", CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE '' END AS route, value + 1 AS amount
+FROM ({EVENTS_SQL}) WHERE event_type <> 'error'""")
+R.add("unfold_lines", unfold_lines, """SELECT doc_id, i - 1 AS pos, length(s[i])::bigint AS n_chars
+FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL))""")
+
+
+# substreams
+def demux_route_counts(spark: SparkSession, d: str) -> DataFrame:
+    out = substreams.demux(F.col("event_type"))(_events(spark, d))
+    return out.groupBy("partition", substreams.route_head().alias("route_head")).agg(F.count("*").alias("n"), F.max("offset").alias("last_offset"))
+
+
+def demux_nested(spark: SparkSession, d: str) -> DataFrame:
+    out = pipe(substreams.demux(F.col("event_type")), substreams.demux(F.col("user_id") % 3))(_events(spark, d))
+    return out.groupBy(F.array_join("route", "/").alias("route")).agg(F.count("*").alias("n"))
+
+
+def join_merge_order(spark: SparkSession, d: str) -> DataFrame:
+    stages = pipe(substreams.demux(F.col("event_type")), chunking.chunk_by_count(FULL), substreams.join_streams())
+    return stages(_events(spark, d)).select("partition", "offset", "n", F.size("route").alias("depth")).orderBy("partition", "offset")
+
+
+def route_dependent_case(spark: SparkSession, d: str) -> DataFrame:
+    stage = substreams.route_dependent({"click": {"amount": F.col("value") * 10}, "error": {"amount": F.lit(-1.0)}}, {"amount": F.col("value")})
+    return pipe(substreams.demux(F.col("event_type")), stage)(_events(spark, d)).select("offset", substreams.route_head().alias("route_head"), "amount")
+
+
+_COUNT_SQL = """WITH e AS ({events}),
+r AS (SELECT *, (row_number() OVER (PARTITION BY "partition", event_type ORDER BY "offset") - 1) // {k} AS chunk FROM e),
+c AS (SELECT "partition", event_type, chunk, min("offset") AS first_offset, max("offset") AS "offset", count(*) AS n, sum(user_id)::bigint AS total FROM r GROUP BY ALL)
+"""
+COUNT_SQL = _COUNT_SQL.format(events=EVENTS_SQL, k=FULL)
+R.add("demux_route_counts", demux_route_counts, f'SELECT "partition", event_type AS route_head, count(*) AS n, max("offset") AS last_offset FROM ({EVENTS_SQL}) GROUP BY ALL')
+R.add("demux_nested", demux_nested, f"SELECT (user_id % 3)::varchar || '/' || event_type AS route, count(*) AS n FROM ({EVENTS_SQL}) GROUP BY ALL")
+R.add("join_merge_order", join_merge_order, COUNT_SQL + 'SELECT "partition", "offset", n, 0 AS depth FROM c')
+R.add("route_dependent_case", route_dependent_case, f"""SELECT "offset", event_type AS route_head,
+CASE event_type WHEN 'click' THEN value * 10 WHEN 'error' THEN -1.0 ELSE value END AS amount FROM ({EVENTS_SQL})""")
+
+
+# chunks
+def _chunks(spark: SparkSession, d: str, length: int) -> DataFrame:
+    stage = chunking.chunk_by_count(length, total=F.sum("user_id"))
+    return pipe(substreams.demux(F.col("event_type")), stage)(_events(spark, d))
+
+
+def chunk_group_messages(spark: SparkSession, d: str) -> DataFrame:
+    return _chunks(spark, d, FULL).select("partition", substreams.route_head().alias("route_head"), "chunk", "first_offset", "offset", "n", "total", "is_open")
+
+
+def chunk_buffer(spark: SparkSession, d: str) -> DataFrame:
+    """A buffer of one message still holds two."""
+    small = _chunks(spark, d, chunking.chunk_length(0, counts_first=False))
+    return small.select("partition", substreams.route_head().alias("route_head"), "chunk", "first_offset", "offset", "n", "total", "is_open")
+
+
+def chunk_size_cut(spark: SparkSession, d: str) -> DataFrame:
+    m = _messages(spark, d, "kf.numbers").withColumn("size", F.octet_length("value"))
+    return chunking.chunk_by_size("size", 4096)(m).select("partition", "chunk", "first_offset", "offset", "n", "bytes", "is_open")
+
+
+def chunk_change_islands(spark: SparkSession, d: str) -> DataFrame:
+    df = substreams.demux(F.col("user_id"))(_events(spark, d)).withColumn("_before", chunking.previous("event_type"))
+    broken = F.col("_before").isNotNull() & (F.col("_before") != F.col("event_type"))
+    out = chunking.chunk_by_change(broken, kind=F.min("event_type"))(df)
+    return out.select(substreams.route_head().cast("long").alias("user_id"), "chunk", "first_offset", "offset", "n", "kind")
+
+
+def chunk_then_chunk(spark: SparkSession, d: str) -> DataFrame:
+    stages = pipe(
+        substreams.demux(F.col("event_type")), chunking.chunk_by_count(FULL), substreams.join_streams(),
+        chunking.chunk_by_count(3, rows=F.sum("n")),
+    )
+    return stages(_events(spark, d).select("topic", "partition", "offset", "ord", "route", "event_type")).select("partition", "chunk", "first_offset", "offset", "n", "rows")
+
+
+_CHUNK_OUT = 'SELECT "partition", event_type AS route_head, chunk, first_offset, "offset", n, total, n < {k} AS is_open FROM c'
+R.add("chunk_group_messages", chunk_group_messages, COUNT_SQL + _CHUNK_OUT.format(k=FULL))
+R.add("chunk_buffer", chunk_buffer, _COUNT_SQL.format(events=EVENTS_SQL, k=2) + _CHUNK_OUT.format(k=2))
+R.add("chunk_size_cut", chunk_size_cut)
+R.add("chunk_change_islands", chunk_change_islands, f"""WITH e AS ({EVENTS_SQL}),
+b AS (SELECT *, CASE WHEN lag(event_type) OVER w <> event_type THEN 1 ELSE 0 END AS brk FROM e WINDOW w AS (PARTITION BY "partition", user_id ORDER BY "offset")),
+i AS (SELECT *, sum(brk) OVER (PARTITION BY "partition", user_id ORDER BY "offset") AS chunk FROM b)
+SELECT user_id, chunk::bigint AS chunk, min("offset") AS first_offset, max("offset") AS "offset", count(*) AS n, min(event_type) AS kind FROM i GROUP BY user_id, "partition", chunk""")
+R.add("chunk_then_chunk", chunk_then_chunk, COUNT_SQL + """,
+q AS (SELECT *, (row_number() OVER (PARTITION BY "partition" ORDER BY "offset") - 1) // 3 AS k FROM c)
+SELECT "partition", k AS chunk, min("offset") AS first_offset, max("offset") AS "offset", count(*) AS n, sum(n)::bigint AS "rows" FROM q GROUP BY "partition", k""")
+
+
+# reassembly
+def _objects(spark: SparkSession, d: str) -> DataFrame:
+    return assemble(_messages(spark, d, "kf.objects"), header("slice_num"), header("slice_cnt"), F.col("value"), header("deleted"))
+
+
+def assemble_objects(spark: SparkSession, d: str) -> DataFrame:
+    return _objects(spark, d).select(
+        "partition", F.col("key").cast("string").alias("key"), "offset", "retransmission", "corrupted", "deleted", "n_slices",
+        F.md5(F.hex("content")).alias("content_md5"),
+    )
+
+
+def sink_files_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return workflows.chunks_to_files("/objects")(_messages(spark, d, "kf.objects")).select("path", "offset", "deleted", "retransmission", F.col("n_bytes").cast("long").alias("n_bytes"))
+
+
+OBJECTS_SQL = """WITH o AS (
+  SELECT "partition", "key", "offset", value, batch_id, received_at,
+    decode([h.value FOR h IN headers IF h.key = 'slice_num'][1])::int AS num, decode([h.value FOR h IN headers IF h.key = 'slice_cnt'][1])::int AS cnt,
+    coalesce(decode([h.value FOR h IN headers IF h.key = 'deleted'][1]), '0') = '1' AS del
+  FROM messages WHERE topic = 'kf.objects'),
+e AS (SELECT *, coalesce(sum(CASE WHEN num = cnt THEN 1 ELSE 0 END) OVER (PARTITION BY "partition", "key" ORDER BY "offset", received_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tr FROM o),
+t AS (SELECT *, coalesce(max(num) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top, first(num) OVER w = 1 AS fresh FROM e
+  WINDOW w AS (PARTITION BY "partition", "key", tr ORDER BY "offset", received_at)),
+a AS (SELECT "partition", "key", tr, max("offset") AS "offset", NOT bool_or(fresh) AS retransmission, bool_or(fresh AND num > top + 1) AS corrupted,
+    bool_or(del AND num = 1) AS deleted, (count(*) FILTER (WHERE fresh AND num > top))::int AS n_slices,
+    string_agg(hex(coalesce(value, ''::blob)), '' ORDER BY "offset") FILTER (WHERE fresh AND num > top) AS content
+  FROM t GROUP BY "partition", "key", tr HAVING bool_or(num = cnt))
+"""
+R.add("assemble_objects", assemble_objects, OBJECTS_SQL + 'SELECT "partition", decode("key") AS "key", "offset", retransmission, corrupted, deleted, n_slices, md5(content) AS content_md5 FROM a')
+R.add("sink_files_manifest", sink_files_manifest, OBJECTS_SQL + """SELECT '/objects/' || decode("key") AS path, "offset", deleted, retransmission,
+CASE WHEN NOT retransmission AND NOT deleted THEN (length(content) // 2)::bigint END AS n_bytes FROM a""")
+
+
+# tables
+def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
+    return workflows.json_upsert("foo string, bar string", ["partition", "foo"])(_messages(spark, d, "kf.upserts")).select("partition", "foo", "bar", "offset")
+
+
+def insert_mapped(spark: SparkSession, d: str) -> DataFrame:
+    return tables.map_columns(load(spark, d, "fun_top"), ["node", "time", "fun", "_offset"], {"ts": "time"}, required=["fun"])
+
+
+TODAY = "1997-06-15"
+
+
+def partition_buckets(spark: SparkSession, d: str) -> DataFrame:
+    b = tables.bucket(F.col("o_orderdate"), 10)
+    g = load(spark, d, "orders").groupBy(b.alias("bucket")).agg(F.count("*").alias("n"))
+    return g.select("bucket", tables.bucket_date(F.col("bucket")).cast("string").alias("first_day"), "n")
+
+
+def partition_retention(spark: SparkSession, d: str) -> DataFrame:
+    today = F.lit(TODAY)
+    need = spark.range(1).select(F.explode(tables.planned_buckets(today, 10)).alias("bucket"), F.lit("create").alias("action"))
+    old = load(spark, d, "orders").select(tables.bucket(F.col("o_orderdate"), 10).alias("bucket")).distinct()
+    return need.unionByName(old.where(tables.expired(F.col("bucket"), today, 10, 30)).withColumn("action", F.lit("drop")))
+
+
+def retransmit_partition(spark: SparkSession, d: str) -> DataFrame:
+    m = _messages(spark, d, "kf.numbers")
+    out = workflows.retransmit(5, partition=F.coalesce(F.col("key").cast("string").try_cast("long") % 5, F.lit(0)))(m)
+    return out.groupBy("partition").agg(F.count("*").alias("n"), F.sum(F.octet_length("value")).alias("bytes"))
+
+
+R.add("upsert_latest", upsert_latest, """WITH j AS (SELECT "partition", "offset", decode(value) AS v FROM messages WHERE topic = 'kf.upserts' AND value IS NOT NULL),
+f AS (SELECT "partition", "offset", json_extract_string(v, '$.foo') AS foo, json_extract_string(v, '$.bar') AS bar FROM j WHERE json_valid(v))
+SELECT "partition", foo, max_by(bar, "offset") AS bar, max("offset") AS "offset" FROM f GROUP BY "partition", foo""")
+R.add("insert_mapped", insert_mapped, 'SELECT node, ts AS "time", fun, "offset" AS _offset FROM fun_top')
+_BUCKET_SQL = "(719528 + datediff('day', DATE '1970-01-01', o_orderdate::date)) // 10 * 10"
+R.add("partition_buckets", partition_buckets, f"""SELECT b::int AS bucket, strftime(DATE '1970-01-01' + (b - 719528)::int, '%Y-%m-%d') AS first_day, count(*) AS n
+FROM (SELECT {_BUCKET_SQL} AS b FROM orders) GROUP BY b""")
+R.add("partition_retention", partition_retention, f"""WITH t AS (SELECT (719528 + datediff('day', DATE '1970-01-01', DATE '{TODAY}')) // 10 * 10 AS b)
+SELECT (b + 10 * i)::int AS bucket, 'create' AS action FROM t, range(0, 4) r(i)
+UNION ALL SELECT DISTINCT b2::int, 'drop' FROM (SELECT {_BUCKET_SQL} AS b2 FROM orders), t WHERE b2 < b - 30""")
+R.add("retransmit_partition", retransmit_partition, """SELECT coalesce(try_cast(decode("key") AS bigint) % 5, 0)::int AS "partition", count(*) AS n, sum(octet_length(value))::bigint AS bytes
+FROM messages WHERE topic = 'kf.numbers' GROUP BY 1""")
+
+
+# monitoring records
+def _ingest(tag: str):  # noqa: ANN202
+    name = rec.RECORDS[tag][0]
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        df = load(spark, d, name)
+        encoded = df.select("partition", "offset", rec.encode_record(tag, df).alias("value"))
+        return workflows.sysmon(encoded)[name].select("partition", "offset", *[f for f, _ in rec.fields_of(tag)])
+
+    columns = ", ".join(f for f, _ in rec.fields_of(tag))
+    R.add(f"sysmon_ingest_{name}", query, f'SELECT "partition", "offset", {columns} FROM {name}')
+
+
+for _tag in ("erl_top", "app_top", "fun_top", "node_role"):
+    _ingest(_tag)
+
+BUCKET = 864
+_IN = "ts BETWEEN TIMESTAMP '2016-01-01 01:00:00' AND TIMESTAMP '2016-01-01 23:00:00'"
+_IN_SPARK = "ts BETWEEN TIMESTAMP_NTZ '2016-01-01 01:00:00' AND TIMESTAMP_NTZ '2016-01-01 23:00:00'"
+
+
+def _average(df: DataFrame, key: str, value: str) -> DataFrame:
+    bucket = rec.rounded_bucket(F.col("ts"), BUCKET)
+    mean = F.sum(value).cast("double") / F.count(value)
+    return df.where(_IN_SPARK).groupBy(key, bucket.alias("bucket")).agg(mean.alias("mean"))
+
+
+def _average_sql(table: str, key: str, value: str, where: str) -> str:
+    return f"""SELECT {key}, (round(epoch_us(ts) / 1e6 / {BUCKET}) * {BUCKET})::bigint AS bucket, sum({value})::double / count({value}) AS mean
+FROM {table} WHERE {_IN} AND {where} GROUP BY ALL"""
+
+
+def dash_log_avg(spark: SparkSession, d: str) -> DataFrame:
+    m = _average(load(spark, d, "app_top").where("unit = 'reductions'"), "application", "value")
+    return m.select("application", "bucket", F.round(F.when(F.col("mean") > 0, F.log10("mean")), 9).alias("log_mean"))
+
+
+R.add("dash_log_avg", dash_log_avg, f"SELECT application, bucket, round(CASE WHEN mean > 0 THEN log10(mean) END, 9) AS log_mean FROM ({_average_sql('app_top', 'application', 'value', "unit = 'reductions'")})")
+for _unit in ("memory", "processes"):
+    R.add(
+        f"dash_avg_{_unit}",
+        lambda spark, d, u=_unit: _average(load(spark, d, "app_top").where(F.col("unit") == u), "application", "value"),
+        _average_sql("app_top", "application", "value", f"unit = '{_unit}'"),
+    )
+for _kind in ("initial_call", "current_function"):
+    R.add(
+        f"dash_avg_{_kind}",
+        lambda spark, d, k=_kind: _average(load(spark, d, "fun_top").where(F.col("fun_type") == k), "fun", "num_processes"),
+        _average_sql("fun_top", "fun", "num_processes", f"fun_type = '{_kind}'"),
+    )
+
+
+def dash_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "prc").select("node").distinct().orderBy("node")
+
+
+def dash_latest(spark: SparkSession, d: str) -> DataFrame:
+    last = load(spark, d, "node_role").groupBy("node").agg(F.max("ts").alias("ts"), F.max_by("data", F.struct("ts", "offset")).alias("data"))
+    return last
+
+
+def dash_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """All processes at the latest snapshot not after the latest role report."""
+    prc, role = load(spark, d, "prc"), load(spark, d, "node_role")
+    at = prc.join(role.groupBy("node").agg(F.max("ts").alias("_r")), "node").where("ts <= _r").groupBy("node").agg(F.max("ts").alias("ts"))
+    return prc.join(at, ["node", "ts"], "left_semi").select("node", "ts", "pid", "memory", "registered_name").distinct()
+
+
+def dash_history(spark: SparkSession, d: str) -> DataFrame:
+    prc = load(spark, d, "prc").where(_IN_SPARK)
+    one = prc.where((F.col("pid") == "<0.116.0>") | (F.col("registered_name") == "lease_book"))
+    return one.select("node", "ts", "pid", "memory", "reductions", "message_queue_len").orderBy("node", "ts")
+
+
+def dash_not_similar(spark: SparkSession, d: str) -> DataFrame:
+    prc = load(spark, d, "prc").where(_IN_SPARK).where(~F.col("current_function").like("gen_server:loop/%"))
+    return prc.groupBy("node", "current_function").agg(F.count("*").alias("n"))
+
+
+def node_first_seen(spark: SparkSession, d: str) -> DataFrame:
+    """Node names as the insert trigger keeps them: once each, conflicts ignored."""
+    return load(spark, d, "app_top").where("node IS NOT NULL").select("node").dropDuplicates(["node"])
+
+
+R.add("dash_nodes", dash_nodes, "SELECT DISTINCT node FROM prc ORDER BY node")
+R.add("dash_latest", dash_latest, 'SELECT node, ts, data FROM node_role QUALIFY row_number() OVER (PARTITION BY node ORDER BY ts DESC, "offset" DESC) = 1')
+R.add("dash_snapshot", dash_snapshot, """WITH r AS (SELECT node, max(ts) AS r FROM node_role GROUP BY node), a AS (SELECT node, max(ts) AS ts FROM prc JOIN r USING (node) WHERE ts <= r.r GROUP BY node)
+SELECT DISTINCT node, ts, pid, memory, registered_name FROM prc SEMI JOIN a USING (node, ts)""")
+R.add("dash_history", dash_history, f"SELECT node, ts, pid, memory, reductions, message_queue_len FROM prc WHERE {_IN} AND (pid = '<0.116.0>' OR registered_name = 'lease_book')")
+R.add("dash_not_similar", dash_not_similar, f"SELECT node, current_function, count(*) AS n FROM prc WHERE {_IN} AND current_function NOT SIMILAR TO 'gen_server:loop/.*' GROUP BY ALL")
+R.add("node_first_seen", node_first_seen, "SELECT DISTINCT node FROM app_top WHERE node IS NOT NULL")
+
+
+# progress
+def safe_offset_audit(spark: SparkSession, d: str) -> DataFrame:
+    return audit.safe_offsets(_chunks(spark, d, FULL)).select("partition", substreams.route_head().alias("route_head"), "chunk", "offset", "is_open", "safe")
+
+
+def committed_offset(spark: SparkSession, d: str) -> DataFrame:
+    return audit.committed(_chunks(spark, d, FULL)).select("partition", "committed")
+
+
+SAFE_SQL = COUNT_SQL + f""", o AS (SELECT *, n < {FULL} AS is_open FROM c),
+s AS (SELECT a."partition", a.event_type, a.chunk, a."offset", a.is_open,
+  CASE WHEN a.is_open THEN a."offset" ELSE least(a."offset", coalesce((SELECT min(b.first_offset) - 1 FROM o b
+    WHERE b."partition" = a."partition" AND b.first_offset <= a."offset" AND (b.is_open OR b."offset" > a."offset")), a."offset")) END AS safe FROM o a)
+"""
+R.add("safe_offset_audit", safe_offset_audit, SAFE_SQL + 'SELECT "partition", event_type AS route_head, chunk, "offset", is_open, safe FROM s')
+R.add("committed_offset", committed_offset, SAFE_SQL + 'SELECT "partition", max(safe) AS committed FROM s WHERE NOT is_open GROUP BY "partition"')
+
+
+# streams
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    return with_envelope(source(spark, f"{d}/events.parquet"), "events", F.col("user_id") % 5, F.col("event_id"))
+
+
+def stream_filter(spark: SparkSession, d: str) -> DataFrame:
+    out = stateless.filter_rows(F.col("value") > 50)(_event_stream(spark, d)).select("partition", "offset", "event_type", "value")
+    return stream_chunks.to_table(out, stream_chunks.fresh_root(spark, "filter"))
+
+
+def stream_count_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = substreams.demux(F.col("event_type"))(_event_stream(spark, d))
+    out = stream_chunks.to_table(stream_chunks.chunk_stream(rows, FULL, "user_id"), stream_chunks.fresh_root(spark, "chunks"))
+    return out.select("partition", F.col("route").alias("route_head"), "chunk", "first_offset", "offset", "n", F.col("total").cast("long").alias("total"))
+
+
+def _slices(df: DataFrame) -> DataFrame:
+    num, cnt = header("slice_num").cast("int").alias("num"), header("slice_cnt").cast("int").alias("cnt")
+    return df.where("topic = 'kf.objects'").select("topic", "partition", F.col("key").cast("string").alias("key"), "offset", num, cnt, "value")
+
+
+def stream_assemble(spark: SparkSession, d: str) -> DataFrame:
+    out = stream_chunks.assemble_stream(_slices(source(spark, f"{d}/messages.parquet")))
+    return stream_chunks.to_table(out, stream_chunks.fresh_root(spark, "objects")).drop("topic")
+
+
+def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
+    m = source(spark, f"{d}/messages.parquet").where("topic = 'kf.upserts'")
+    j = m.withColumn("j", F.from_json(F.col("value").cast("string"), "foo string, bar string")).where("j IS NOT NULL")
+    return stream_chunks.upsert_stream(j.select("partition", "offset", "j.foo", "j.bar"), ["partition", "foo"], stream_chunks.fresh_root(spark, "upsert"))
+
+
+R.add("stream_filter", stream_filter, f'SELECT "partition", "offset", event_type, value FROM ({EVENTS_SQL}) WHERE value > 50')
+R.add("stream_chunks", stream_count_chunks, COUNT_SQL + f'SELECT "partition", event_type AS route_head, chunk, first_offset, "offset", n, total FROM c WHERE n = {FULL}')
+R.add("stream_assemble", stream_assemble, OBJECTS_SQL + """SELECT "partition", decode("key") AS "key", "offset", retransmission, corrupted, n_slices,
+CASE WHEN NOT retransmission THEN coalesce(length(content) // 2, 0)::bigint END AS n_bytes FROM a""")
+R.add("stream_upsert", stream_upsert, R.sql["upsert_latest"])
