@@ -183,4 +183,9 @@ def aggregate_by(make: Callable[[], Aggregate], schema: str) -> Stage:
             yield pd.DataFrame(end(), columns=names)
 
     names = [part.split()[0] for part in ["topic s", "partition i", "route a", "offset l", *schema.split(", ")]]
-    return lambda df: df.repartition(*STREAM).sortWithinPartitions(*STREAM, *ORDER).mapInPandas(run, full)
+
+    def stage(df: DataFrame) -> DataFrame:
+        ship(df.sparkSession)
+        return df.repartition(*STREAM).sortWithinPartitions(*STREAM, *ORDER).mapInPandas(run, full)
+
+    return stage

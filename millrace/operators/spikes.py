@@ -103,42 +103,49 @@ def exact_medians(rows: DataFrame, pairs: DataFrame, f: Field) -> DataFrame:
 
 
 def _changes(rows: DataFrame, fields: Sequence[Field]) -> DataFrame:
-    """Position of each reading in its block, and where a field takes another value than before."""
+    """For each field the number of the reading in its block, and whether it begins a run; null
+    readings have no number of their own and begin nothing."""
     fwd = Window.partitionBy("_src", "_block").orderBy("_ts", "partition", "offset")
-    names = [f.name for f in fields]
-    # a null reading takes the value before it, so it does not break a run
-    held = {f"_v_{x}": F.last(x, ignorenulls=True).over(fwd.rowsBetween(Window.unboundedPreceding, 0)) for x in names}
-    d = rows.withColumns({"_pos": F.row_number().over(fwd), **held})
-    return d.withColumns({f"_c_{x}": ~F.col(f"_v_{x}").eqNullSafe(F.lag(f"_v_{x}").over(fwd)) | (F.col("_pos") == 1) for x in names})
+    new = {}
+    for f in fields:
+        before = F.last(f.name, ignorenulls=True).over(fwd.rowsBetween(Window.unboundedPreceding, -1))
+        new[f"_p_{f.name}"] = F.count(f.name).over(fwd.rowsBetween(Window.unboundedPreceding, 0))
+        new[f"_c_{f.name}"] = F.col(f.name).isNotNull() & ~F.col(f.name).eqNullSafe(before)
+    return rows.withColumns(new)
 
 
 def _runs(d: DataFrame, fields: Sequence[Field]) -> DataFrame:
-    """First and last position of the run around each reading, inside its block."""
+    """Numbers of the first and last reading of the run around each reading, inside its block."""
     fwd = Window.partitionBy("_src", "_block").orderBy("_ts", "partition", "offset")
     back = Window.partitionBy("_src", "_block").orderBy(F.desc("_ts"), F.desc("partition"), F.desc("offset"))
     sofar = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     names = [f.name for f in fields]
-    d = d.withColumns({f"_a_{x}": F.max(F.when(F.col(f"_c_{x}"), F.col("_pos"))).over(sofar(fwd)) for x in names})
-    # a reading ends its run where the next one starts another
-    d = d.withColumns({f"_e_{x}": F.when(F.coalesce(F.lag(f"_c_{x}").over(back), F.lit(True)), F.col("_pos")) for x in names})
+    d = d.withColumns({f"_a_{x}": F.max(F.when(F.col(f"_c_{x}"), F.col(f"_p_{x}"))).over(sofar(fwd)) for x in names})
+    # a reading ends its run where the next one begins another
+    ends = {}
+    for x in names:
+        after = F.last(F.when(F.col(x).isNotNull(), F.col(f"_c_{x}")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
+        ends[f"_e_{x}"] = F.when(F.col(x).isNotNull() & F.coalesce(after, F.lit(True)), F.col(f"_p_{x}"))
+    d = d.withColumns(ends)
     return d.withColumns({f"_z_{x}": F.min(f"_e_{x}").over(sofar(back)) for x in names})
 
 
 def _block_edges(d: DataFrame, fields: Sequence[Field]) -> DataFrame:
     """What each block's first and last run gain from its neighbours, and whether the source varies.
 
-    One row for each source and block, with a map from field to ``(pre, post, vary)``.
+    One row for each source and block, with a map from field to ``(rows, pre, post, vary)``.
     """
-    n, parts = F.max("_pos"), []
+    parts = []
     for f in fields:
-        v, c = F.col(f"_v_{f.name}"), F.col(f"_c_{f.name}")
+        v, c, p, n = F.col(f.name), F.col(f"_c_{f.name}"), F.col(f"_p_{f.name}"), F.count(f.name)
+        own = F.when(v.isNotNull(), p)
         parts.append(F.struct(
-            F.lit(f.name).alias("f"), F.min_by(v, "_pos").alias("fv"), F.max_by(v, "_pos").alias("lv"),
-            (F.coalesce(F.min(F.when(c & (F.col("_pos") > 1), F.col("_pos"))), n + 1) - 1).alias("fn"),
-            (n + 1 - F.max(F.when(c, F.col("_pos")))).alias("ln"), F.min(v).alias("mn"), F.max(v).alias("mx"),
+            F.lit(f.name).alias("f"), n.alias("rows"), F.min_by(v, own).alias("fv"), F.max_by(v, own).alias("lv"),
+            (F.coalesce(F.min(F.when(c & (p > 1), p)), n + 1) - 1).alias("fn"), (n + 1 - F.max(F.when(c, p))).alias("ln"),
+            F.min(v).alias("mn"), F.max(v).alias("mx"),
         ))
-    e = d.groupBy("_src", "_block").agg(n.alias("_rows"), F.array(*parts).alias("_parts"))
-    e = e.select("_src", "_block", "_rows", F.inline("_parts"))
+    e = d.groupBy("_src", "_block").agg(F.array(*parts).alias("_parts"))
+    e = e.select("_src", "_block", F.inline("_parts")).where("rows > 0")
     src = Window.partitionBy("_src", "f")
     up, down = src.orderBy("_block"), src.orderBy(F.desc("_block"))
     for w, here, there, size, name in ((up, "fv", "lv", "ln", "pre"), (down, "lv", "fv", "fn", "post")):
@@ -146,12 +153,12 @@ def _block_edges(d: DataFrame, fields: Sequence[Field]) -> DataFrame:
         # a block passes the run of its neighbour on when it is one single run linked to it
         e = e.withColumns({"_near": F.lag(there).over(w), "_i": F.row_number().over(w), "_sum": F.sum(size).over(sofar)})
         e = e.withColumn("_link", F.col("_near").eqNullSafe(F.col(here)) & (F.col("_i") > 1))
-        start = F.when(~(F.col("_link") & (F.col(size) == F.col("_rows"))), F.struct("_i", (F.col("_sum") - F.col(size)).alias("s")))
+        start = F.when(~(F.col("_link") & (F.col(size) == F.col("rows"))), F.struct("_i", (F.col("_sum") - F.col(size)).alias("s")))
         e = e.withColumn("_base", F.max(start).over(sofar))
         e = e.withColumn(name, F.when(F.col("_link"), F.lag(F.col("_sum") - F.col("_base.s")).over(w)).otherwise(F.lit(0)))
     e = e.withColumn("vary", F.coalesce(F.min("mn").over(src) < F.max("mx").over(src), F.lit(False)))
-    return e.groupBy(F.col("_src").alias("_es"), F.col("_block").alias("_eb"), "_rows").agg(
-        F.map_from_entries(F.collect_list(F.struct("f", F.struct("pre", "post", "vary")))).alias("_edge")
+    return e.groupBy(F.col("_src").alias("_es"), F.col("_block").alias("_eb")).agg(
+        F.map_from_entries(F.collect_list(F.struct("f", F.struct("rows", "pre", "post", "vary")))).alias("_edge")
     )
 
 
@@ -181,7 +188,7 @@ def flag_readings(
         length = (
             F.col(f"_z_{x}") - F.col(f"_a_{x}") + 1
             + F.when(F.col(f"_a_{x}") == 1, edge["pre"]).otherwise(0)
-            + F.when(F.col(f"_z_{x}") == F.col("_rows"), edge["post"]).otherwise(0)
+            + F.when(F.col(f"_z_{x}") == edge["rows"], edge["post"]).otherwise(0)
         )
         parts.append(F.struct(
             F.lit(x).alias("field"), F.col(x).alias("v"), length.alias("length"), edge["vary"].alias("vary"), F.col(f"_lo_{x}").alias("lo"),

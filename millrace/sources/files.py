@@ -50,7 +50,7 @@ def make_source(name: str, schema: str, partitions: int, rows: Callable[[int, di
         def schema(self) -> str:
             return schema
 
-        def reader(self, _schema) -> Reader:  # noqa: ANN001
+        def reader(self, schema) -> Reader:  # noqa: ANN001, ARG002
             return Reader(self.options)
 
     return Source

@@ -3,11 +3,11 @@
 A keyed state store remembers the identifiers seen, as bitmaps over blocks of ``BLOCK``
 consecutive offsets. The blocks of one topic and partition are spread over ``LANES`` keys of
 the store, so that a partition with most of the records is worked on by many tasks. A block is
-forgotten once the watermark of the arrival time has passed its last record by ``keep_ms``. A
-record of a block that is not in the store and older than the watermark may have been
-forgotten: it is looked up among the identifiers already delivered. State is checkpointed with
-the offsets of the query, and a batch that runs again after a failure replaces its own output
-folder, so both move together.
+forgotten once the watermark of the arrival time has passed its last record by ``keep_ms``; the
+store keeps only the number of the highest block forgotten. A record of a block at or below that
+number, which the store does not know or has begun anew, is looked up among the identifiers
+already delivered. State is checkpointed with the offsets of the query, and a batch that runs
+again after a failure replaces its own output folder, so both move together.
 
 Defined cases: null topic, partition or offset make an identifier like any other value;
 copies may differ in their other columns, the first by arrival time (then by ``tie``) is kept;
@@ -40,35 +40,35 @@ _JSON = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat"
 def _mark(block: int, keep_ms: int):  # noqa: ANN202
     width = block // 8
 
-    def unpack(raw: bytes) -> dict[int, list]:
-        head = np.frombuffer(raw, np.int64, 2 * (n := len(raw) // (width + 16))).reshape(2, n)
-        maps = np.frombuffer(raw, np.uint8, offset=16 * n).reshape(n, width).copy()
-        return {int(b): [int(t), maps[i]] for i, (b, t) in enumerate(head.T)}
+    def unpack(raw: bytes) -> tuple[int, dict[int, list]]:
+        n = (len(raw) - 8) // (width + 24)
+        head = np.frombuffer(raw, np.int64, 1 + 3 * n)
+        maps = np.frombuffer(raw, np.uint8, offset=8 + 24 * n).reshape(n, width).copy()
+        return int(head[0]), {int(b): [int(t), bool(p), maps[i]] for i, (b, t, p) in enumerate(head[1:].reshape(3, n).T)}
 
-    def pack(blocks: dict[int, list]) -> bytes:
-        head = np.array([[*blocks], [t for t, _ in blocks.values()]], np.int64)
-        return head.tobytes() + b"".join(m.tobytes() for _, m in blocks.values())
+    def pack(top: int, blocks: dict[int, list]) -> bytes:
+        head = [top, *blocks, *(x[0] for x in blocks.values()), *(int(x[1]) for x in blocks.values())]
+        return np.array(head, np.int64).tobytes() + b"".join(x[2].tobytes() for x in blocks.values())
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         water = state.getCurrentWatermarkMs()
-        blocks = unpack(bytes(state.get[0])) if state.exists else {}
-        for b in [b for b, (t, _) in blocks.items() if t + keep_ms < water]:
+        # top: the highest block that was ever forgotten; blocks above it are new
+        top, blocks = unpack(bytes(state.get[0])) if state.exists else (-(2**63), {})
+        for b in [b for b, x in blocks.items() if x[0] + keep_ms < water]:
             del blocks[b]
+            top = max(top, b)
         rows = pd.concat(list(frames), ignore_index=True).sort_values(["_ms", "_tie"], kind="stable", ignore_index=True)
         verdict = np.full(len(rows), "again", object)
         ms, slots, fresh = rows["_ms"].to_numpy(np.int64), rows["_slot"].to_numpy(np.int64), ~rows.duplicated(["_block", "_slot"]).to_numpy()
         for b, at in rows.groupby("_block", sort=False).indices.items():
-            forgotten = b not in blocks
-            latest, bits = blocks.setdefault(int(b), [0, np.zeros(width, np.uint8)])
-            slot = slots[at]
+            held = blocks.setdefault(int(b), [0, int(b) <= top, np.zeros(width, np.uint8)])
+            slot, bits = slots[at], held[2]
             bit = np.left_shift(1, slot & 7).astype(np.uint8)
             first = fresh[at] & ((bits[slot >> 3] & bit) == 0)
-            verdict[at[first]] = "first"
-            if forgotten:
-                verdict[at[first & (ms[at] < water)]] = "lookup"
+            verdict[at[first]] = "lookup" if held[1] else "first"
             np.bitwise_or.at(bits, slot >> 3, bit)
-            blocks[int(b)][0] = int(max(latest, ms[at].max()))
-        state.update((pack(blocks),))
+            held[0] = int(max(held[0], ms[at].max()))
+        state.update((pack(top, blocks),))
         yield pd.DataFrame({"_row": rows["_row"].to_numpy(), "_verdict": verdict})
 
     return step
