@@ -26,7 +26,7 @@ DIGITS = 4
 
 def cell(value: Column, digits: int = DIGITS) -> Column:
     """Middle of the grid cell of an integer value, as a long; monotone in the value."""
-    v = F.greatest(value.cast("long"), F.lit(-(2**63 - 1)))
+    v = F.when(value.isNotNull(), F.greatest(value.cast("long"), F.lit(-(2**63 - 1))))
     size = F.abs(v)
     step = F.lit(1)
     for p in range(digits, 19):
