@@ -24,17 +24,21 @@ from millrace.operators.cumulative import cumulate, merge_counts, pick_ranks
 DIGITS = 4
 
 
-def cell(value: Column, digits: int = DIGITS) -> Column:
-    """Middle of the grid cell of an integer value, as a long; monotone in the value."""
-    v = F.when(value.isNotNull(), F.greatest(value.cast("long"), F.lit(-(2**63 - 1))))
-    size = F.abs(v)
-    step = F.lit(1)
-    for p in range(digits, 19):
-        step = F.when(size >= 10**p, F.lit(10 ** (p + 1 - digits)).cast("long")).otherwise(step)
-    low = size - size % step
+def with_cell(df: DataFrame, raw: str, name: str = "value", digits: int = DIGITS) -> DataFrame:
+    """Adds the middle of the grid cell of an integer column, as a long; monotone in the value, null for null.
+
+    In steps of one projection each, so that nothing is worked out twice and the generated code stays small.
+    """
+    d = df.withColumn("_size", F.abs(F.greatest(F.coalesce(F.col(raw).cast("long"), F.lit(0)), F.lit(-(2**63 - 1)))))
+    step = F.when(F.col("_size") < 10**digits, F.lit(1).cast("long"))
+    for p in range(digits + 1, 19):
+        step = step.when(F.col("_size") < 10**p, F.lit(10 ** (p - digits)).cast("long"))
+    d = d.withColumn("_step", step.otherwise(F.lit(10 ** (19 - digits)).cast("long")))
+    d = d.withColumn("_low", F.col("_size") - F.col("_size") % F.col("_step"))
     # the last cell before the largest long keeps its lower edge
-    middle = F.when(low > F.lit(2**63 - 1) - step, low).otherwise(low + (step - step % 2) / 2)
-    return (F.when(v < 0, -middle).otherwise(middle)).cast("long")
+    half = F.when(F.col("_low") > F.lit(2**63 - 1) - F.col("_step"), F.lit(0).cast("long")).otherwise(F.shiftright("_step", 1))
+    middle = F.col("_low") + half
+    return d.withColumn(name, F.when(F.col(raw) < 0, -middle).when(F.col(raw) >= 0, middle)).drop("_size", "_step", "_low")
 
 
 def state(
@@ -45,13 +49,13 @@ def state(
     Rows of one group with the same ``ident`` count once.
     """
     keys = [f"g{i}" for i in range(len(groups))]
-    rows = df.select(*[g.alias(k) for g, k in zip(groups, keys, strict=True)], *(ident or ()), *[cell(F.col(f), digits).alias(f"_{f}") for f in fields])
+    rows = df.select(*[g.alias(k) for g, k in zip(groups, keys, strict=True)], *(ident or ()), *[F.col(f).alias(f"_{f}") for f in fields])
     if ident:
         rows = rows.groupBy(*keys, *ident).agg(*[F.first(f"_{f}", ignorenulls=True).alias(f"_{f}") for f in fields])
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_{f}").alias("value")) for f in fields])
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_{f}").cast("long").alias("raw")) for f in fields])
     long = rows.select(*keys, F.explode(pairs).alias("p"))
     return (
-        long.select(*keys, "p.field", "p.value").where(F.col("value").isNotNull())
+        with_cell(long.select(*keys, "p.field", "p.raw").where("raw IS NOT NULL"), "raw", digits=digits)
         .groupBy(*keys, "field", "value").agg(F.count("*").alias("cnt"))
     )
 

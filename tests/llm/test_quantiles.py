@@ -32,7 +32,7 @@ def test_percentiles_within_the_stated_error_and_combinable(spark):
 def test_cells_are_monotone(spark):
     v = sorted({s * x for x in [*range(0, 30000, 7), *(10**k + d for k in range(3, 18) for d in (-1, 0, 1))] for s in (-1, 1)})
     df = spark.createDataFrame([(x,) for x in v], "v long")
-    cells = [r.c for r in df.orderBy("v").select(quantiles.cell(F.col("v")).alias("c")).collect()]
+    cells = [r.c for r in quantiles.with_cell(df, "v", "c").orderBy("v").collect()]
     assert cells == sorted(cells)
     assert all(c == x for c, x in zip(cells, v, strict=True) if abs(x) < 10**4)
 
