@@ -67,6 +67,13 @@ R.add("p3_grid", p3_grid)
 
 
 # 4: implausible spikes
+def p4_method(spark: SparkSession, d: str) -> DataFrame:
+    prc = spikes.context_flags(load(spark, d, "prc"), ["node", "pid"], "ts", PRC_FIELDS)
+    app = spikes.context_flags(load(spark, d, "app_top"), APP_SOURCE, "ts", APP_FIELDS)
+    out = prc.withColumn("tbl", F.lit("prc")).unionByName(app.withColumn("tbl", F.lit("app_top")))
+    return out.select("tbl", "field", F.col("partition").alias("part_no"), F.col("offset").alias("msg_offset"), "outside", "jump", "flat")
+
+
 def p4_flags(spark: SparkSession, d: str) -> DataFrame:
     prc = spikes.flag_readings(load(spark, d, "prc"), ["node", "pid"], "ts", PRC_FIELDS)
     app = spikes.flag_readings(load(spark, d, "app_top"), APP_SOURCE, "ts", APP_FIELDS)
@@ -104,6 +111,7 @@ f AS (
     coalesce(len >= 8 AND v <> 0 AND varies, false) AS stuck
   FROM n JOIN m ON n.tbl = m.tbl AND n.field = m.field AND n.k1 IS NOT DISTINCT FROM m.k1 AND n.k2 IS NOT DISTINCT FROM m.k2 AND n.k3 IS NOT DISTINCT FROM m.k3)
 """
+R.add("p4_method", p4_method)
 R.add("p4_found", p4_found, _FLAGS_SQL + "SELECT tbl, field, p AS part_no, o AS msg_offset FROM f WHERE impossible OR spike OR stuck")
 R.add("p4_flags", p4_flags, _FLAGS_SQL + 'SELECT tbl, field, p AS "partition", o AS "offset", impossible, spike, stuck FROM f WHERE impossible OR spike OR stuck')
 R.add("p4_fences", p4_fences)

@@ -274,3 +274,23 @@ def test_failed_attempt_is_replaced(spark, tmp_path):
     now[0] = 6.0
     assert ledger.run_items(led, data, spark) == ["a-0"]
     assert sorted(r.offset for r in spark.read.parquet(str(tmp_path / "l/out")).collect()) == [3, 4, 5, 6, 7]
+
+
+def test_context_flags(spark):
+    rng = random.Random(11)
+    rows, o = [], 0
+    for day in range(6):
+        for t in range(0, 1440, 6):
+            o += 1
+            hour = t // 60
+            rows.append((0, o, "a", minutes(day * 1440 + t), 100.0 * (1 + hour) + rng.uniform(-5, 5)))
+            rows.append((1, o, "flat", minutes(day * 1440 + t), 7.0))
+    spike = {900: 50_000.0, 905: float("nan"), 1010: float("inf"), 30: -9_000.0}
+    rows = [(p, k, s, t, spike.get(k, v) if s == "a" else v) for p, k, s, t, v in rows]
+    df = spark.createDataFrame(rows + rows[:50] + [(2, 1, None, minutes(0), None)], READ)
+    got = {(r.partition, r.offset): r for r in spikes.context_flags(df, ["src"], "ts", [spikes.Field("v")]).collect()}
+    assert {k[1] for k, r in got.items() if k[0] == 0 and r.outside} == set(spike)
+    assert got[0, 900].jump and got[0, 901].jump and not got[0, 900].flat
+    assert all(r.flat and not r.outside and not r.jump for k, r in got.items() if k[0] == 1)
+    assert sum(k[0] == 1 for k in got) == 6 * 240
+    assert spikes.context_flags(spark.createDataFrame([], READ), ["src"], "ts", [spikes.Field("v")]).count() == 0
