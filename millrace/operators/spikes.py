@@ -252,18 +252,19 @@ CONTEXT_K = 200
 
 
 def context_flags(
-    df: DataFrame, source: Sequence[str], ts: str, fields: Sequence[Field], widen: float = 3.0, least: int = 8, slack: float = 0.1
-) -> DataFrame:
+    df: DataFrame, source: Sequence[str], ts: str, fields: Sequence[Field], widen: float = 3.0, least: int = 8, slack: float = 0.1,
+    context_hours: int = 6,
+) -> DataFrame:
     """``(field, partition, offset, outside, jump, flat)``: readings that are unlike their source.
 
-    ``outside``: beyond the interquartile fences of the source at that hour of day, widened by
-    ``widen`` interquartile ranges (at least ``slack`` of the median). ``jump``: a change per second
+    ``outside``: beyond the interquartile fences of the source at that time of day (in contexts of
+    ``context_hours`` hours), widened by ``widen`` interquartile ranges (at least ``slack`` of the median). ``jump``: a change per second
     beyond the widened fence of the source's own changes. ``flat``: a non-zero value of a source
-    and hour whose ``least`` or more readings are all the same. Sketches are made for each block
-    of an hour and merged by hour of day and by source; the fences are joined to blocks, so
+    and context whose ``least`` or more readings are all the same. Sketches are made for each block
+    of time and merged by time of day and by source; the fences are joined to blocks, so
     readings stay where they are. Fewer than ``least`` readings give no fence.
     """
-    rows = readings(df, source, ts, fields, 3600)
+    rows = readings(df, source, ts, fields, context_hours * 3600)
     w = Window.partitionBy("_src", "_block").orderBy("_ts", "partition", "offset")
     names = [f.name for f in fields]
     seconds = lambda a, b: (F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / 1e6
@@ -280,7 +281,7 @@ def context_flags(
         *[F.kll_sketch_agg_double(F.when(finite(x), F.col(x)), F.lit(CONTEXT_K)).alias(f"_k_{x}") for x in names],
         *[F.kll_sketch_agg_double(F.col(f"_r_{x}"), F.lit(CONTEXT_K)).alias(f"_q_{x}") for x in names],
     )
-    per_block = cut(per_block.withColumn("_hour", F.pmod("_block", F.lit(24))))
+    per_block = cut(per_block.withColumn("_hour", F.pmod("_block", F.lit(24 // context_hours))))
 
     def fence(sketch: str, q: float) -> Column:
         return F.when(F.kll_sketch_get_n_double(sketch) >= least, F.kll_sketch_get_quantile_double(sketch, F.lit(q)))

@@ -288,7 +288,7 @@ def test_context_flags(spark):
     spike = {900: 50_000.0, 905: float("nan"), 1010: float("inf"), 30: -9_000.0}
     rows = [(p, k, s, t, spike.get(k, v) if s == "a" else v) for p, k, s, t, v in rows]
     df = spark.createDataFrame(rows + rows[:50] + [(2, 1, None, minutes(0), None)], READ)
-    got = {(r.partition, r.offset): r for r in spikes.context_flags(df, ["src"], "ts", [spikes.Field("v")]).collect()}
+    got = {(r.partition, r.offset): r for r in spikes.context_flags(df, ["src"], "ts", [spikes.Field("v")], context_hours=1).collect()}
     assert {k[1] for k, r in got.items() if k[0] == 0 and r.outside} == set(spike)
     assert got[0, 900].jump and got[0, 901].jump and not got[0, 900].flat
     assert all(r.flat and not r.outside and not r.jump for k, r in got.items() if k[0] == 1)
