@@ -29,22 +29,22 @@ BLOCK = 65_536
 
 def mark_late(df: DataFrame, ts: str = "ts", cutoff_minutes: int = 30, block: int = BLOCK) -> DataFrame:
     """One row for each (partition, offset), with the added column ``is_late``."""
-    src = df.withColumn("_block", F.floor(F.col("offset") / F.lit(block)))
-    inside = Window.partitionBy("partition", "_block").orderBy("offset")
+    # plain keys, never null, so that the join finds the rows where the windows left them
+    lane = F.coalesce(F.col("partition"), F.lit(-(2**31)))
+    src = df.withColumns({"_lane": lane, "_block": F.coalesce(F.floor(F.col("offset") / F.lit(block)), F.lit(-(2**62)))})
+    inside = Window.partitionBy("_lane", "_block").orderBy("offset")
     rows = (
         src.withColumn("_again", F.col("offset").eqNullSafe(F.lag("offset").over(inside)) & F.col("offset").isNotNull())
         .withColumn("_near", F.max(ts).over(inside.rangeBetween(Window.unboundedPreceding, -1)))
         .where(~F.col("_again"))
     )
-    tops = src.groupBy("partition", "_block").agg(F.max(ts).alias("_top"))
-    earlier = Window.partitionBy("partition").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select(
-        F.col("partition").alias("_p"), F.col("_block").alias("_b"), F.max("_top").over(earlier).alias("_far")
-    )
-    joined = rows.join(tops, rows["partition"].eqNullSafe(tops["_p"]) & rows["_block"].eqNullSafe(tops["_b"]), "left")
+    tops = src.groupBy("_lane", "_block").agg(F.max(ts).alias("_top"))
+    earlier = Window.partitionBy("_lane").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(F.col("_lane").alias("_p"), F.col("_block").alias("_b"), F.max("_top").over(earlier).alias("_far"))
+    joined = rows.join(tops, (rows["_lane"] == tops["_p"]) & (rows["_block"] == tops["_b"]))
     high = F.greatest("_near", "_far")
     late = F.coalesce(F.col(ts) < high - F.expr(f"INTERVAL {int(cutoff_minutes)} MINUTES"), F.lit(False))
-    return joined.withColumn("is_late", late).drop("_again", "_near", "_far", "_block", "_p", "_b")
+    return joined.withColumn("is_late", late).drop("_again", "_near", "_far", "_lane", "_block", "_p", "_b")
 
 
 def period_state(accepted: DataFrame, sources: Sequence[str], value: str, ts: str = "ts") -> DataFrame:

@@ -144,7 +144,7 @@ class Ledger:
         return [i for i in self.items() if self.state(i) == "done"]
 
 
-def run_items(ledger: Ledger, data: DataFrame, spark: SparkSession, seconds: float = 3600.0) -> list[str]:
+def run_items(ledger: Ledger, data: DataFrame, spark: SparkSession, seconds: float = 3600.0, step: int = ITEM_OFFSETS) -> list[str]:
     """Leases all pending items, writes their records as one job, each item to its own path, and commits them.
 
     A path holds the number of the ledger's item only, and its folder is replaced as a whole
@@ -155,15 +155,17 @@ def run_items(ledger: Ledger, data: DataFrame, spark: SparkSession, seconds: flo
         return []
     bodies = [{"item": x.item, **ledger.body(x.item)} for x in leases]
     work = spark.createDataFrame(
-        [(b["item"], b["topic"], b["partition"], b["from_offset"], b["to_offset"]) for b in bodies],
-        "item string, _t string, _p int, _a long, _b long",
-    )
-    # AQE broadcasts the items while they are below the session's threshold
-    rows = data.join(
+        [(b["item"], b["topic"], b["partition"], c, b["from_offset"], b["to_offset"])
+         for b in bodies for c in range(b["from_offset"] // step, b["to_offset"] // step + 1)],
+        "item string, _t string, _p int, _c long, _a long, _b long",
+    )
+    # broadcast by AQE while the items are below the session's threshold; beyond it the range
+    # number is part of the key, so a partition with most of the records is still spread
+    rows = data.withColumn("_r", F.expr(f"offset div {step}")).join(
         work,
-        data["topic"].eqNullSafe(work["_t"]) & data["partition"].eqNullSafe(work["_p"])
+        data["topic"].eqNullSafe(work["_t"]) & data["partition"].eqNullSafe(work["_p"]) & (F.col("_r") == work["_c"])
         & (data["offset"] >= work["_a"]) & (data["offset"] <= work["_b"]),
-    ).drop("_t", "_p", "_a", "_b")
+    ).drop("_t", "_p", "_c", "_r", "_a", "_b")
     for x in leases:
         ledger.check(x)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("item").parquet(f"{ledger.root}/out")
@@ -181,7 +183,7 @@ def process_new(spark: SparkSession, data: DataFrame, log: DataFrame, root: str,
     for r in plan_items(data, log, item_offsets).collect():
         name = f"{r['topic']}-{r['partition']}-{r['from_offset']:020d}-{r['to_offset']:020d}"
         ledger.add(name, r.asDict())
-    run_items(ledger, data, spark)
+    run_items(ledger, data, spark, step=item_offsets)
     done = ledger.done()
     if not done:
         return data.limit(0)
