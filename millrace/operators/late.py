@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.cumulative import cumulate, merge_counts, pick_ranks, value_counts
+from millrace.operators.cumulative import cumulate, merge_counts, value_counts
 
 #: Offsets in one block; bounds the rows of one window group.
 BLOCK = 65_536
@@ -62,21 +62,14 @@ def period_totals(state: DataFrame, sources: Sequence[str], value: str) -> DataF
     """Exact aggregates of each source and period: n_records, n_distinct, total, min_value,
     max_value and the lower median, all derived from the multiset."""
     groups = [*sources, "period"]
-    middle = F.floor((F.col("total") + 1) / 2)
     cum = cumulate(state, groups, value)
-    medians = pick_ranks(cum, {"median": middle}).select(*groups, F.col(value).alias("median"))
-    sums = state.groupBy(*groups).agg(
+    middle = F.floor((F.col("total") + 1) / 2)
+    hit = (F.col("prior") < middle) & (middle <= F.col("prior") + F.col("cnt"))
+    return cum.groupBy(*groups).agg(
         F.sum("cnt").alias("n_records"),
         F.count("*").alias("n_distinct"),
         F.sum(F.col(value) * F.col("cnt")).alias("total"),
         F.min(value).alias("min_value"),
         F.max(value).alias("max_value"),
-    )
-    cond = F.lit(True)
-    for c in groups:
-        cond = cond & F.col(f"s.{c}").eqNullSafe(F.col(f"m.{c}"))
-    return (
-        sums.alias("s")
-        .join(medians.alias("m"), cond)
-        .select(*[F.col(f"s.{c}") for c in groups], "n_records", "n_distinct", "s.total", "min_value", "max_value", "median")
+        F.max(F.when(hit, F.col(value))).alias("median"),
     )
