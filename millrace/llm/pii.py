@@ -49,7 +49,7 @@ _UP = "A-ZÀ-ÖØ-ÞĀ-Ž"
 _TOKEN = rf"[{_UP}][^\W\d_]*(?:['’-][^\W\d_]+)*\.?"
 _CHAIN = re.compile(rf"(?<![^\W_])(?<!\w[.@-]){_TOKEN}(?:,? {_TOKEN})+")
 _ONE = re.compile(_TOKEN)
-_NUMBER = re.compile(r"(?<![\w.,+/-])[+(]?\d+(?:(?:\) ?|[ ./-]| \()\d+)+(?: ?(?:ext\.?|x) ?\d+)?(?![\w/+])|(?<![\w.,+/-])\+?\d{9,14}(?![\w/+.])")
+_NUMBER = re.compile(r"(?<![\w.,+/-])[+(]?\d+(?:(?:\) ?|[ ./-]| \()\d+)+(?: ?(?:ext\.?|x) ?\d+)?(?![\w/+])|(?<![\w.,+/-])\+?\d{9,14}(?![\w/+]|\.\d)")
 _CODE = re.compile(r"(?<![\w/+])[A-Z]{2} ?\d\d ?\d\d ?\d\d ?(?:\d|[A-D])(?![\w/+])")
 # both sides of an at-sign; a local part has 64 characters at most
 _AT = re.compile(r"@| ?(?:\(at\)|\[at\]) ?| at ", re.I)
@@ -148,14 +148,18 @@ def candidates(text: str) -> list[tuple]:
             g, begin = m.group(), m.start()
             if g[0] == "(" and ")" not in g:
                 g, begin = g[1:], begin + 1
-            if rule is _NUMBER and (len(g) < 9 or g.count(".") == 1 and g.replace(".", "").isdigit() or not 9 <= sum(map(str.isdigit, g)) <= 18):
+            if rule is _NUMBER and len(g) < 9:
                 continue
-            before = s[max(0, begin - 48) : begin]
-            seed = "phone" if _PHONE_BEFORE.search(before) else "id_number" if _ID_BEFORE.search(before) else None
-            shape = re.sub(r"\d", "9", re.sub(r" ?(?:ext\.?|x) ?\d+$", "", g))
-            c = _WORD_BEFORE.search(before)
-            context = c[1].lower() if c else ""
-            out.append((begin, m.end(), "number", re.sub("[A-Z]", "A", shape), None, seed, context))
+            # a number of its own may stand before it
+            head, _, tail = g.partition(" ")
+            for x, at_ in ((g, begin), (tail, m.end() - len(tail))) if rule is _NUMBER and head.isdigit() and tail else ((g, begin),):
+                if rule is _NUMBER and (x.count(".") == 1 and x.replace(".", "").isdigit() or not 9 <= sum(map(str.isdigit, x)) <= 18):
+                    continue
+                before = s[max(0, at_ - 48) : at_]
+                seed = "phone" if _PHONE_BEFORE.search(before) else "id_number" if _ID_BEFORE.search(before) else None
+                shape = re.sub(r"\d", "9", re.sub(r" ?(?:ext\.?|x) ?\d+$", "", x))
+                c = _WORD_BEFORE.search(before)
+                out.append((at_, m.end(), "number", re.sub("[A-Z]", "A", shape), None, seed, c[1].lower() if c else ""))
     for m in _AT.finditer(s):
         sign = m.group() == "@"
         d = (_DOMAIN if sign else _SPELLED).match(s, m.end())
