@@ -20,26 +20,41 @@ from millrace.envelope import STREAM
 from millrace.sinks.table import upsert
 
 
-def chunk_stream(df: DataFrame, length: int, value: str) -> DataFrame:
-    """Closed chunks of ``length`` rows: topic, partition, route, chunk, first_offset, offset, n, total (of ``value``)."""
+def chunk_stream(df: DataFrame, length: int, value: str, flush_ms: int | None = None) -> DataFrame:
+    """Closed chunks of ``length`` rows: topic, partition, route, chunk, first_offset, offset, n, total (of ``value``).
+
+    ``flush_ms``: an open chunk is emitted when its substream has brought nothing for so long by
+    the clock. Such a query keeps running batches, also where nothing arrives; end it with ``stop``.
+    """
     ship(df.sparkSession)
+    columns = ["topic", "partition", "route", "chunk", "first_offset", "offset", "n", "total"]
+
+    def closed(key: tuple, number: int, chunk: list) -> tuple:
+        return (key[0], key[1], key[2], number, chunk[0][0], chunk[-1][0], len(chunk), sum(v for _, v in chunk))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         number, held = pickle.loads(bytes(state.get[0])) if state.exists else (0, [])
+        if state.hasTimedOut:
+            if held:
+                yield pd.DataFrame([closed(key, number, held)], columns=columns)
+                state.update((pickle.dumps((number + 1, [])),))
+            return
         rows = pd.concat(list(frames), ignore_index=True).sort_values("offset", kind="stable")
         held = held + list(zip(rows["offset"].tolist(), rows["_value"].tolist(), strict=True))
         out = []
         while len(held) >= length:
             chunk, held = held[:length], held[length:]
-            out.append((key[0], key[1], key[2], number, chunk[0][0], chunk[-1][0], length, sum(v for _, v in chunk)))
+            out.append(closed(key, number, chunk))
             number += 1
         state.update((pickle.dumps((number, held)),))
-        yield pd.DataFrame(out, columns=["topic", "partition", "route", "chunk", "first_offset", "offset", "n", "total"])
+        if flush_ms and held:
+            state.setTimeoutDuration(flush_ms)
+        yield pd.DataFrame(out, columns=columns)
 
     rows = df.select("topic", "partition", F.array_join("route", "/").alias("route"), "offset", F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_value"))
     return rows.groupBy("topic", "partition", "route").applyInPandasWithState(
         step, "topic string, partition int, route string, chunk long, first_offset long, offset long, n long, total double",
-        "held binary", "append", GroupStateTimeout.NoTimeout,
+        "held binary", "append", GroupStateTimeout.ProcessingTimeTimeout if flush_ms else GroupStateTimeout.NoTimeout,
     )
 
 

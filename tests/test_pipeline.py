@@ -203,3 +203,27 @@ def test_config_is_read_anew(tmp_path):
         os.utime(path, (n, n))
         importlib.invalidate_caches()
         assert len(load_workflows(str(path))) == n
+
+
+def test_open_chunks_are_flushed_by_the_clock(spark, tmp_path):
+    import time
+
+    from millrace.sources.files import stream_source
+    from millrace.streaming.chunks import chunk_stream
+
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "in"))
+    rows = stream_source(spark, str(tmp_path / "in"), "t", F.lit(0), F.col("id"))
+    out = chunk_stream(rows, 4, "id", flush_ms=500)
+    query = (
+        out.writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(str(tmp_path / f"out/batch={n}")))
+        .option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="300 milliseconds").start()
+    )
+    try:
+        got, until = [], time.time() + 40
+        while len(got) < 3 and time.time() < until:
+            time.sleep(1)
+            done = [str(p.parent) for p in (tmp_path / "out").glob("batch=*/_SUCCESS")]
+            got = [(r.chunk, r.first_offset, r.offset, r.n) for r in spark.read.schema(out.schema).parquet(*done).collect()] if done else []
+    finally:
+        query.stop()
+    assert sorted(got) == [(0, 0, 3, 4), (1, 4, 7, 4), (2, 8, 9, 2)]
