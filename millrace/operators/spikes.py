@@ -17,6 +17,7 @@ no spike; an empty table gives no flags; null source columns form a source of th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -249,67 +250,76 @@ def context_fences(df: DataFrame, source: Sequence[str], ts: str, f: Field, wide
 
 #: Sketch size of a context: its rank error is far below the quarter that the fences ask for.
 CONTEXT_K = 200
+#: Hours of readings that are ordered together; contexts lie inside.
+BLOCK_HOURS = 6
 
 
 def context_flags(
     df: DataFrame, source: Sequence[str], ts: str, fields: Sequence[Field], widen: float = 3.0, least: int = 8, slack: float = 0.1,
-    context_hours: int = 6,
+    context_hours: int = 1,
 ) -> DataFrame:
     """``(field, partition, offset, outside, jump, flat)``: readings that are unlike their source.
 
     ``outside``: beyond the interquartile fences of the source at that time of day (in contexts of
-    ``context_hours`` hours), widened by ``widen`` interquartile ranges (at least ``slack`` of the median). ``jump``: a change per second
+    ``context_hours`` hours, which divide the day), widened by ``widen`` interquartile ranges (at least ``slack`` of the median). ``jump``: a change per second
     beyond the widened fence of the source's own changes. ``flat``: a non-zero value of a source
-    and context whose ``least`` or more readings are all the same. Sketches are made for each block
-    of time and merged by time of day and by source; the fences are joined to blocks, so
-    readings stay where they are. Fewer than ``least`` readings give no fence.
+    and context whose ``least`` or more readings are all the same. Readings are ordered in blocks of
+    several contexts; the fences of a block's contexts are joined to it as one map, so readings stay
+    where they are, written once for all uses. Readings without a time are a context of their own.
+    Fewer than ``least`` readings give no fence.
     """
-    rows = readings(df, source, ts, fields, context_hours * 3600)
+    block_hours = math.lcm(BLOCK_HOURS, context_hours)
+    rows = readings(df, source, ts, fields, block_hours * 3600)
     w = Window.partitionBy("_src", "_block").orderBy("_ts", "partition", "offset")
     names = [f.name for f in fields]
     seconds = lambda a, b: (F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / 1e6
     d = rows.withColumns({"_bts": F.lag("_ts").over(w), **{f"_b_{x}": F.lag(x).over(w) for x in names}})
+    context = F.floor(F.unix_micros(F.col("_ts").cast("timestamp")) / F.lit(context_hours * 3_600_000_000))
+    part = F.pmod("_block", F.lit(24 // block_hours))
+    here = {"_part": part, "_hour": F.coalesce(F.pmod(context, F.lit(24 // context_hours)), F.lit(-1)).cast("int")}
 
     def change(x: str) -> Column:
         gap = seconds(F.col("_ts"), F.col("_bts"))
         return F.when(finite(x) & finite(f"_b_{x}") & (gap > 0), F.abs(F.col(x) - F.col(f"_b_{x}")) / gap)
 
     d = d.withColumns({f"_r_{x}": change(x) for x in names})
-    per_block = d.groupBy("_src", "_block").agg(
-        F.max("_ts").alias("_lts"),
-        *[F.max_by(x, F.struct("_ts", "partition", "offset")).alias(f"_l_{x}") for x in names],
-        *[F.kll_sketch_agg_double(F.when(finite(x), F.col(x)), F.lit(CONTEXT_K)).alias(f"_k_{x}") for x in names],
-        *[F.kll_sketch_agg_double(F.col(f"_r_{x}"), F.lit(CONTEXT_K)).alias(f"_q_{x}") for x in names],
-    )
-    per_block = cut(per_block.withColumn("_hour", F.pmod("_block", F.lit(24 // context_hours))))
 
     def fence(sketch: str, q: float) -> Column:
         return F.when(F.kll_sketch_get_n_double(sketch) >= least, F.kll_sketch_get_quantile_double(sketch, F.lit(q)))
 
-    hours = per_block.groupBy("_src", "_hour").agg(*[F.kll_merge_agg_double(f"_k_{x}", F.lit(CONTEXT_K)).alias(f"_k_{x}") for x in names])
-    whole = per_block.groupBy("_src").agg(*[F.kll_merge_agg_double(f"_q_{x}", F.lit(CONTEXT_K)).alias(f"_q_{x}") for x in names])
-    hours = hours.select(F.col("_src").alias("_hs"), F.col("_hour").alias("_hh"), *[fence(f"_k_{x}", q).alias(f"_{n}_{x}") for x in names for n, q in (("q0", 0.0), ("q1", 0.25), ("q2", 0.5), ("q3", 0.75), ("q4", 1.0))])
-    whole = whole.select(F.col("_src").alias("_ws"), *[fence(f"_q_{x}", q).alias(f"_{n}_{x}") for x in names for n, q in (("c1", 0.25), ("c3", 0.75))])
+    # only limits travel to the blocks
+    hours = rows.withColumns(here).groupBy("_src", "_part", "_hour").agg(*[F.kll_sketch_agg_double(F.when(finite(x), F.col(x)), F.lit(CONTEXT_K)).alias(f"_k_{x}") for x in names])
+    hours = hours.select("_src", "_part", "_hour", *[fence(f"_k_{x}", q).alias(f"_{n}_{x}") for x in names for n, q in (("q0", 0.0), ("q1", 0.25), ("q2", 0.5), ("q3", 0.75), ("q4", 1.0))])
+    limits = []
+    for x in names:
+        q0, q1, q2, q3, q4 = (F.col(f"_q{i}_{x}") for i in range(5))
+        room = widen * F.greatest(q3 - q1, slack * F.abs(q2))
+        limits.append(F.when(q2.isNotNull(), F.struct((q1 - room).alias("low"), (q3 + room).alias("high"), (q0 == q4).alias("same"))).alias(x))
+    hours = hours.where(F.coalesce(*[f"_q2_{x}" for x in names]).isNotNull()).groupBy(F.col("_src").alias("_hs"), F.col("_part").alias("_hp"))
+    hours = hours.agg(F.map_from_entries(F.collect_list(F.struct("_hour", F.struct(*limits)))).alias("_fences"))
+    whole = d.groupBy("_src").agg(*[F.kll_sketch_agg_double(F.col(f"_r_{x}"), F.lit(CONTEXT_K)).alias(f"_q_{x}") for x in names])
+    c1, c3 = ({x: fence(f"_q_{x}", q) for x in names} for q in (0.25, 0.75))
+    whole = whole.select(F.col("_src").alias("_ws"), *[(c3[x] + widen * F.greatest(c3[x] - c1[x], slack * c3[x])).alias(f"_c_{x}") for x in names])
+    last = rows.groupBy("_src", "_block").agg(F.max("_ts").alias("_lts"), *[F.max_by(x, F.struct("_ts", "partition", "offset")).alias(f"_l_{x}") for x in names])
     before = Window.partitionBy("_src").orderBy("_block")
-    edges = per_block.select("_src", "_block", "_hour", F.lag("_lts").over(before).alias("_pts"), *[F.lag(f"_l_{x}").over(before).alias(f"_p_{x}") for x in names])
-    edges = edges.join(hours, (edges["_src"] == hours["_hs"]) & (edges["_hour"] == hours["_hh"])).join(whole, edges["_src"] == whole["_ws"])
-    edges = edges.select(F.col("_src").alias("_es"), F.col("_block").alias("_eb"), "_pts", *[f"_p_{x}" for x in names], *[f"_{n}_{x}" for x in names for n in ("q0", "q1", "q2", "q3", "q4", "c1", "c3")])
-    d = d.join(edges, (d["_src"] == edges["_es"]) & (d["_block"] == edges["_eb"]))
+    edges = last.select("_src", "_block", part.alias("_part"), F.lag("_lts").over(before).alias("_pts"), *[F.lag(f"_l_{x}").over(before).alias(f"_p_{x}") for x in names])
+    edges = edges.join(whole, edges["_src"] == whole["_ws"], "left").join(hours, (edges["_src"] == hours["_hs"]) & (edges["_part"] == hours["_hp"]), "left")
+    edges = edges.select(F.col("_src").alias("_es"), F.col("_block").alias("_eb"), "_pts", "_fences", *[f"_{n}_{x}" for x in names for n in ("p", "c")])
+    d = d.join(edges, (d["_src"] == edges["_es"]) & (d["_block"] == edges["_eb"])).withColumns(here).withColumn("_fence", F.col("_fences")[F.col("_hour")])
     parts = [
         F.struct(F.lit(x).alias("field"), F.col(x).alias("v"), F.col(f"_r_{x}").alias("r"), F.when(F.col("_bts").isNull(), F.col(f"_p_{x}")).alias("p"),
-                 *[F.col(f"_{n}_{x}").alias(n) for n in ("q0", "q1", "q2", "q3", "q4", "c1", "c3")])
+                 F.col(f"_c_{x}").alias("most"), *[F.col("_fence")[x][n].alias(n) for n in ("low", "high", "same")])
         for x in names
     ]
     long = d.select("partition", "offset", "_ts", "_pts", F.inline(F.array(*parts)))
     # the first reading of a block changes against the last one of the block before
     gap = seconds(F.col("_ts"), F.col("_pts"))
     first = F.when(finite("v") & finite("p") & (gap > 0), F.abs(F.col("v") - F.col("p")) / gap)
-    long = long.withColumns({"r": F.coalesce("r", first), "room": widen * F.greatest(F.col("q3") - F.col("q1"), slack * F.abs("q2"))})
     wild = F.isnan("v") | (F.abs("v") == float("inf"))
-    flags = long.select(
+    flags = long.withColumn("r", F.coalesce("r", first)).select(
         "field", "partition", "offset",
-        F.coalesce(wild | (F.col("v") < F.col("q1") - F.col("room")) | (F.col("v") > F.col("q3") + F.col("room")), F.lit(False)).alias("outside"),
-        F.coalesce(F.col("r") > F.col("c3") + widen * F.greatest(F.col("c3") - F.col("c1"), slack * F.col("c3")), F.lit(False)).alias("jump"),
-        F.coalesce((F.col("q0") == F.col("q4")) & (F.col("v") != 0), F.lit(False)).alias("flat"),
+        F.coalesce(wild | (F.col("v") < F.col("low")) | (F.col("v") > F.col("high")), F.lit(False)).alias("outside"),
+        F.coalesce(F.col("r") > F.col("most"), F.lit(False)).alias("jump"),
+        F.coalesce(F.col("same") & (F.col("v") != 0), F.lit(False)).alias("flat"),
     )
     return flags.where("outside OR jump OR flat")

@@ -294,3 +294,12 @@ def test_context_flags(spark):
     assert all(r.flat and not r.outside and not r.jump for k, r in got.items() if k[0] == 1)
     assert sum(k[0] == 1 for k in got) == 6 * 240
     assert spikes.context_flags(spark.createDataFrame([], READ), ["src"], "ts", [spikes.Field("v")]).count() == 0
+
+
+def test_context_flags_keep_every_hour_apart_by_default(spark):
+    # stuck in one hour of each day, moving in the other hours of its six; and a reading that only its own hour finds strange
+    rows = [(0, 100 * d + 10 * h + m, "a", minutes(1440 * d + 60 * h + 5 * m), 7.0 if h == 2 else 50.0 * (h + 1) + m) for d in range(3) for h in range(6) for m in range(10)]
+    rows = [(*r[:4], 203.0 if r[1] == 105 else r[4]) for r in rows] + [(1, 1, "a", None, 7.0)]
+    got = spikes.context_flags(spark.createDataFrame(rows, READ), ["src"], "ts", [spikes.Field("v")]).collect()
+    assert {(r.partition, r.offset) for r in got if r.flat} == {(0, 100 * d + 20 + m) for d in range(3) for m in range(10)}
+    assert {(r.partition, r.offset) for r in got if r.outside} == {(0, 105)}
