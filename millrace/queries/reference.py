@@ -245,10 +245,32 @@ _IN = "ts BETWEEN TIMESTAMP '2016-01-01 01:00:00' AND TIMESTAMP '2016-01-01 23:0
 _IN_SPARK = "ts BETWEEN TIMESTAMP_NTZ '2016-01-01 01:00:00' AND TIMESTAMP_NTZ '2016-01-01 23:00:00'"
 
 
-def _average(df: DataFrame, key: str, value: str) -> DataFrame:
-    bucket = rec.rounded_bucket(F.col("ts"), BUCKET)
+#: Any range: from the first to the last ``ts`` of the table.
+_EVER = "ts IS NOT NULL"
+
+
+def _hundredth(df: DataFrame) -> int:
+    """A hundredth of the table's own range in whole seconds, as the dashboards divide it."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = df.agg(F.floor(F.min(us) / 1e6), F.ceil(F.max(us) / 1e6)).first()
+    return 1 if low is None else max((high - low) // 100, 1)
+
+
+def _average(df: DataFrame, key: str, value: str, during: str = _IN_SPARK, width: int = BUCKET) -> DataFrame:
+    bucket = rec.rounded_bucket(F.col("ts"), width)
     mean = F.sum(value).cast("double") / F.count(value)
-    return df.where(_IN_SPARK).groupBy(key, bucket.alias("bucket")).agg(mean.alias("mean"))
+    return df.where(during).groupBy(key, bucket.alias("bucket")).agg(mean.alias("mean"))
+
+
+def _average_all(spark: SparkSession, d: str, table: str, key: str, value: str, where: str) -> DataFrame:
+    df = load(spark, d, table)
+    return _average(df.where(where), key, value, _EVER, _hundredth(df))
+
+
+def _average_all_sql(table: str, key: str, value: str, where: str) -> str:
+    return f"""SELECT {key}, (round(epoch_us(ts) / 1e6 / tp) * tp)::bigint AS bucket, sum({value})::double / count({value}) AS mean
+FROM {table}, (SELECT greatest((ceil(epoch_us(max(ts)) / 1e6)::bigint - floor(epoch_us(min(ts)) / 1e6)::bigint) // 100, 1) AS tp FROM {table})
+WHERE {_EVER} AND {where} GROUP BY ALL"""
 
 
 def _average_sql(table: str, key: str, value: str, where: str) -> str:
@@ -256,11 +278,14 @@ def _average_sql(table: str, key: str, value: str, where: str) -> str:
 FROM {table} WHERE {_IN} AND {where} GROUP BY ALL"""
 
 
-def dash_log_avg(spark: SparkSession, d: str) -> DataFrame:
-    m = _average(load(spark, d, "app_top").where("unit = 'reductions'"), "application", "value")
+def _log(m: DataFrame) -> DataFrame:
     return m.select("application", "bucket", F.round(F.when(F.col("mean") > 0, F.log10("mean")), 9).alias("log_mean"))
 
 
+def dash_log_avg(spark: SparkSession, d: str) -> DataFrame:
+    return _log(_average(load(spark, d, "app_top").where("unit = 'reductions'"), "application", "value"))
+
+
 R.add("dash_log_avg", dash_log_avg, f"SELECT application, bucket, round(CASE WHEN mean > 0 THEN log10(mean) END, 9) AS log_mean FROM ({_average_sql('app_top', 'application', 'value', "unit = 'reductions'")})")
 for _unit in ("memory", "processes"):
     R.add(
@@ -275,6 +300,21 @@ for _kind in ("initial_call", "current_function"):
         _average_sql("fun_top", "fun", "num_processes", f"fun_type = '{_kind}'"),
     )
 
+# the same over all days
+_ALL = {
+    "log_avg": ("app_top", "application", "value", "unit = 'reductions'"),
+    "avg_memory": ("app_top", "application", "value", "unit = 'memory'"),
+    "avg_processes": ("app_top", "application", "value", "unit = 'processes'"),
+    "avg_initial_call": ("fun_top", "fun", "num_processes", "fun_type = 'initial_call'"),
+    "avg_current_function": ("fun_top", "fun", "num_processes", "fun_type = 'current_function'"),
+}
+for _name, _what in _ALL.items():
+    _all_sql = _average_all_sql(*_what)
+    if _name == "log_avg":
+        R.add("dash_all_log_avg", lambda spark, d, w=_what: _log(_average_all(spark, d, *w)), f"SELECT application, bucket, round(CASE WHEN mean > 0 THEN log10(mean) END, 9) AS log_mean FROM ({_all_sql})")
+    else:
+        R.add(f"dash_all_{_name}", lambda spark, d, w=_what: _average_all(spark, d, *w), _all_sql)
+
 
 def dash_nodes(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "prc").select("node").distinct().orderBy("node")
@@ -292,14 +332,14 @@ def dash_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return prc.join(at, ["node", "ts"], "left_semi").select("node", "ts", "pid", "memory", "registered_name").distinct()
 
 
-def dash_history(spark: SparkSession, d: str) -> DataFrame:
-    prc = load(spark, d, "prc").where(_IN_SPARK)
+def dash_history(spark: SparkSession, d: str, during: str = _IN_SPARK) -> DataFrame:
+    prc = load(spark, d, "prc").where(during)
     one = prc.where((F.col("pid") == "<0.116.0>") | (F.col("registered_name") == "lease_book"))
     return one.select("node", "ts", "pid", "memory", "reductions", "message_queue_len").orderBy("node", "ts")
 
 
-def dash_not_similar(spark: SparkSession, d: str) -> DataFrame:
-    prc = load(spark, d, "prc").where(_IN_SPARK).where(~F.col("current_function").like("gen_server:loop/%"))
+def dash_not_similar(spark: SparkSession, d: str, during: str = _IN_SPARK) -> DataFrame:
+    prc = load(spark, d, "prc").where(during).where(~F.col("current_function").like("gen_server:loop/%"))
     return prc.groupBy("node", "current_function").agg(F.count("*").alias("n"))
 
 
@@ -314,6 +354,8 @@ R.add("dash_snapshot", dash_snapshot, """WITH r AS (SELECT node, max(ts) AS r FR
 SELECT DISTINCT node, ts, pid, memory, registered_name FROM prc SEMI JOIN a USING (node, ts)""")
 R.add("dash_history", dash_history, f"SELECT node, ts, pid, memory, reductions, message_queue_len FROM prc WHERE {_IN} AND (pid = '<0.116.0>' OR registered_name = 'lease_book')")
 R.add("dash_not_similar", dash_not_similar, f"SELECT node, current_function, count(*) AS n FROM prc WHERE {_IN} AND current_function NOT SIMILAR TO 'gen_server:loop/.*' GROUP BY ALL")
+R.add("dash_all_history", lambda spark, d: dash_history(spark, d, _EVER), R.sql["dash_history"].replace(_IN, _EVER))
+R.add("dash_all_not_similar", lambda spark, d: dash_not_similar(spark, d, _EVER), R.sql["dash_not_similar"].replace(_IN, _EVER))
 R.add("node_first_seen", node_first_seen, "SELECT DISTINCT node FROM app_top WHERE node IS NOT NULL")
 
 

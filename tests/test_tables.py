@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import random
 
 import pytest
@@ -108,3 +109,28 @@ def test_all_queries_run(spark, sf):
         df = q[name](spark, sf)
         assert df.count() >= 0 and len(set(df.columns)) == len(df.columns)
     assert entry.entry(spark).count() > 0
+
+
+def test_dashboards_over_all_days(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    t0 = dt.datetime(2020, 1, 1, 0, 0, 0, 500_000)
+    at = [t0 + dt.timedelta(hours=i) for i in range(72)]
+    app = [(t, a, u, i) for i, t in enumerate(at) for a in "xy" for u in ("memory", "processes", "reductions")] + [(None, "x", "memory", 5)]
+    fun = [(t, "f", k, i) for i, t in enumerate(at) for k in ("initial_call", "current_function")] + [(None, "f", "initial_call", 5)]
+    prc = [("n", t, "<0.116.0>", None, "m:f/0", i) for i, t in enumerate(at)] + [("n", None, "<0.116.0>", None, "m:f/0", 5)]
+    spark.createDataFrame(app, "ts timestamp_ntz, application string, unit string, value long").write.parquet(str(tmp_path / "app_top.parquet"))
+    spark.createDataFrame(fun, "ts timestamp_ntz, fun string, fun_type string, num_processes long").write.parquet(str(tmp_path / "fun_top.parquet"))
+    schema = "node string, ts timestamp_ntz, pid string, registered_name string, current_function string, memory long"
+    full = spark.createDataFrame(prc, schema).withColumns({"reductions": F.lit(1), "message_queue_len": F.lit(0)})
+    full.write.parquet(str(tmp_path / "prc.parquet"))
+    q = {k.removeprefix("dash_all_"): f(spark, str(tmp_path)).collect() for k, f in entry.queries().items() if k.startswith("dash_all_")}
+    assert len(q) == 7
+    start, width = t0.replace(tzinfo=dt.UTC).timestamp(), (71 * 3600 + 1) // 100
+    buckets = [int((start + 3600 * i) / width + 0.5) * width for i in range(72)]
+    for name in ("avg_memory", "avg_processes", "avg_initial_call", "avg_current_function"):
+        keys = ["f"] if "_c" in name else ["x", "y"]
+        assert sorted(map(tuple, q[name])) == sorted((k, b, float(i)) for k in keys for i, b in enumerate(buckets))
+    assert sorted(r.bucket for r in q["log_avg"]) == sorted(buckets * 2)
+    assert [r.ts for r in q["history"]] == at
+    assert [tuple(r) for r in q["not_similar"]] == [("n", "m:f/0", 72)]
