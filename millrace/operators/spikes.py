@@ -229,21 +229,25 @@ def rows_in_band(rows: DataFrame, bounds: DataFrame, f: Field, factor: float) ->
     )
 
 
-def context_fences(df: DataFrame, source: Sequence[str], ts: str, f: Field, widen: float = 3.0, block_seconds: int = 21_600) -> DataFrame:
-    """Interquartile fences of each source and hour of day, from merged sketches of signed values.
+def context_fences(
+    df: DataFrame, source: Sequence[str], ts: str, f: Field | Sequence[Field], widen: float = 3.0, block_seconds: int = 21_600
+) -> DataFrame:
+    """Interquartile fences of each field, source and hour of day, from merged sketches of signed values.
 
-    ``(source..., hour, n, q1, q2, q3, low, high, zero_variance)``.
+    ``(field, source..., hour, n, q1, q2, q3, low, high, zero_variance)``; all fields in one pass.
     """
-    rows = readings(df, source, ts, [f], block_seconds)
+    fields = [f] if isinstance(f, Field) else list(f)
+    rows = readings(df, source, ts, fields, block_seconds)
     hour = F.hour(F.col("_ts").cast("timestamp"))
-    ok = F.when(finite(f.name), F.col(f.name))
-    per_block = rows.groupBy("_src", "_block", hour.alias("hour")).agg(F.kll_sketch_agg_double(ok, F.lit(K)).alias("k"))
-    sk = per_block.groupBy("_src", "hour").agg(F.kll_merge_agg_double("k", F.lit(K)).alias("k"))
+    ks = [F.kll_sketch_agg_double(F.when(finite(x.name), F.col(x.name)), F.lit(K)).alias(f"_k_{x.name}") for x in fields]
+    per_block = rows.groupBy("_src", "_block", hour.alias("hour")).agg(*ks)
+    sk = per_block.groupBy("_src", "hour").agg(*[F.kll_merge_agg_double(f"_k_{x.name}", F.lit(K)).alias(f"_k_{x.name}") for x in fields])
+    sk = sk.select("_src", "hour", F.inline(F.array(*[F.struct(F.lit(x.name).alias("field"), F.col(f"_k_{x.name}").alias("k")) for x in fields])))
     n = F.kll_sketch_get_n_double("k")
-    q = sk.where(n > 0).select("_src", "hour", n.alias("n"), *[F.kll_sketch_get_quantile_double("k", F.lit(p)).alias(c) for c, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75), ("_b", 0.0), ("_t", 1.0))])
+    q = sk.where(n > 0).select("_src", "hour", "field", n.alias("n"), *[F.kll_sketch_get_quantile_double("k", F.lit(p)).alias(c) for c, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75), ("_b", 0.0), ("_t", 1.0))])
     iqr = F.col("q3") - F.col("q1")
     return q.select(
-        *[F.col(f"_src.s{i}").alias(c) for i, c in enumerate(source)], "hour", "n", "q1", "q2", "q3",
+        "field", *[F.col(f"_src.s{i}").alias(c) for i, c in enumerate(source)], "hour", "n", "q1", "q2", "q3",
         (F.col("q1") - widen * iqr).alias("low"), (F.col("q3") + widen * iqr).alias("high"), (F.col("_b") == F.col("_t")).alias("zero_variance"),
     )
 

@@ -85,7 +85,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_fences(spark: SparkSession, d: str) -> DataFrame:
-    return spikes.context_fences(load(spark, d, "app_top"), APP_SOURCE, "ts", APP_FIELDS[0])
+    prc = spikes.context_fences(load(spark, d, "prc"), ["node", "pid"], "ts", PRC_FIELDS)
+    app = spikes.context_fences(load(spark, d, "app_top"), APP_SOURCE, "ts", APP_FIELDS)
+    return prc.withColumn("tbl", F.lit("prc")).unionByName(app.withColumn("tbl", F.lit("app_top")), allowMissingColumns=True)
 
 
 _FLAGS_SQL = """

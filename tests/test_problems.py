@@ -303,3 +303,16 @@ def test_context_flags_keep_every_hour_apart_by_default(spark):
     got = spikes.context_flags(spark.createDataFrame(rows, READ), ["src"], "ts", [spikes.Field("v")]).collect()
     assert {(r.partition, r.offset) for r in got if r.flat} == {(0, 100 * d + 20 + m) for d in range(3) for m in range(10)}
     assert {(r.partition, r.offset) for r in got if r.outside} == {(0, 105)}
+
+
+def test_fences_of_all_fields_and_tables(spark, sf):
+    from millrace.queries import problems
+
+    got = problems.p4_fences(spark, sf)
+    seen = {(r.tbl, r.field): r.n for r in got.groupBy("tbl", "field").agg(F.sum("n").alias("n")).collect()}
+    prc = spark.read.parquet(f"{sf}/prc.parquet").dropDuplicates(["partition", "offset"])
+    for f in ("dmemory", "dreductions", "message_queue_len"):
+        v = F.col(f).cast("double")
+        assert seen["prc", f] == prc.where(~F.isnan(v) & (F.abs(v) < float("inf"))).count()
+    assert set(seen) == {("prc", "dmemory"), ("prc", "dreductions"), ("prc", "message_queue_len"), ("app_top", "value")}
+    assert got.where("tbl = 'prc' AND node IS NULL").count() == 0 or prc.where("node IS NULL").count() > 0
