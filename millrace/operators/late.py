@@ -27,8 +27,11 @@ from millrace.operators.cumulative import cumulate, merge_counts, value_counts
 BLOCK = 65_536
 
 
-def mark_late(df: DataFrame, ts: str = "ts", cutoff_minutes: int = 30, block: int = BLOCK) -> DataFrame:
-    """One row for each (partition, offset), with the added column ``is_late``."""
+def mark_late(df: DataFrame, ts: str = "ts", cutoff_minutes: int = 30, block: int = BLOCK, behind: str | None = None) -> DataFrame:
+    """One row for each (partition, offset), with the added column ``is_late``.
+
+    The column ``behind``, if named, marks the records out of time order, past the cut-off or not.
+    """
     # plain keys, never null, so that the join finds the rows where the windows left them
     lane = F.coalesce(F.col("partition"), F.lit(-(2**31)))
     src = df.withColumns({"_lane": lane, "_block": F.coalesce(F.floor(F.col("offset") / F.lit(block)), F.lit(-(2**62)))})
@@ -44,7 +47,8 @@ def mark_late(df: DataFrame, ts: str = "ts", cutoff_minutes: int = 30, block: in
     joined = rows.join(tops, (rows["_lane"] == tops["_p"]) & (rows["_block"] == tops["_b"]))
     high = F.greatest("_near", "_far")
     late = F.coalesce(F.col(ts) < high - F.expr(f"INTERVAL {int(cutoff_minutes)} MINUTES"), F.lit(False))
-    return joined.withColumn("is_late", late).drop("_again", "_near", "_far", "_lane", "_block", "_p", "_b")
+    marks = {"is_late": late} | ({behind: F.coalesce(F.col(ts) < high, F.lit(False))} if behind else {})
+    return joined.withColumns(marks).drop("_again", "_near", "_far", "_lane", "_block", "_p", "_b")
 
 
 def period_state(accepted: DataFrame, sources: Sequence[str], value: str, ts: str = "ts") -> DataFrame:

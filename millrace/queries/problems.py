@@ -18,8 +18,9 @@ APP_FIELDS = [spikes.Field("value")]
 
 # 2: late and out-of-order events
 def p2_method(spark: SparkSession, d: str) -> DataFrame:
-    rows = late.mark_late(load(spark, d, "app_top")).where(~F.col("is_late"))
-    return late.period_totals(late.period_state(rows, APP_SOURCE, "value"), APP_SOURCE, "value")
+    rows = late.mark_late(load(spark, d, "app_top").select("partition", "offset", "ts", *APP_SOURCE, "value"), behind="behind").where("NOT is_late")
+    in_order, out_of_order = (late.period_state(rows.where(c), APP_SOURCE, "value") for c in ("NOT behind", "behind"))
+    return late.period_totals(late.correct(in_order, out_of_order, APP_SOURCE, "value"), APP_SOURCE, "value")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

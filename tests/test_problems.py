@@ -316,3 +316,21 @@ def test_fences_of_all_fields_and_tables(spark, sf):
         assert seen["prc", f] == prc.where(~F.isnan(v) & (F.abs(v) < float("inf"))).count()
     assert set(seen) == {("prc", "dmemory"), ("prc", "dreductions"), ("prc", "message_queue_len"), ("app_top", "value")}
     assert got.where("tbl = 'prc' AND node IS NULL").count() == 0 or prc.where("node IS NULL").count() > 0
+
+
+def test_late_records_go_through_a_correction(spark, tmp_path, monkeypatch):
+    from millrace.queries import problems
+
+    # in order, out of order within the cut-off, past it, without a time, delivered again
+    rows = [(0, 0, minutes(0), 1), (0, 1, minutes(50), 5), (0, 2, minutes(40), 2), (0, 3, minutes(10), 9), (0, 4, None, 7), (0, 2, minutes(40), 2), (0, 5, minutes(50), 5)]
+    df = spark.createDataFrame([("n", "a", "u", *r) for r in rows], "node string, application string, unit string, partition int, offset long, ts timestamp_ntz, value long")
+    df.write.parquet(str(tmp_path / "app_top.parquet"))
+    marked = {r.offset: (r.is_late, r.behind) for r in late.mark_late(df, behind="behind").collect()}
+    assert marked == {0: (False, False), 1: (False, False), 2: (False, True), 3: (True, True), 4: (False, False), 5: (False, False)}
+    given, plain = [], late.correct
+    monkeypatch.setattr(late, "correct", lambda st, more, *a: (given.append((st, more)), plain(st, more, *a))[1])
+    out = problems.p2_method(spark, str(tmp_path)).collect()
+    assert [(r.n_records, r.n_distinct, r.total, r.min_value, r.max_value, r.median) for r in out] == [(4, 3, 13, 1, 5, 2)]
+    (state, more), = given
+    assert [(r.value, r.cnt) for r in state.orderBy("value").collect()] == [(1, 1), (5, 2)]
+    assert [(r.value, r.cnt) for r in more.collect()] == [(2, 1)]
