@@ -8,7 +8,8 @@ Percentiles are nearest-rank over cumulative frequencies of the range-sorted sta
 ``0.5 * 10**(1-digits)`` of the value (0.05 % for 4 digits), and zero below ``10**digits``.
 
 Defined cases: null values carry no rank, a group with no value has no row; a null group key
-is a group of its own; repeated records (same identifier) count once where ``ident`` is given;
+is a group of its own; repeated records (same identifier) count once where ``ident`` is given,
+rows with a null in the identifier each on their own;
 ties share a cell; an empty table gives an empty result; other columns are not read.
 """
 
@@ -46,12 +47,15 @@ def state(
 ) -> DataFrame:
     """``(g0, g1, ..., field, value, cnt)``: combinable state, aggregated map-side before the shuffle.
 
-    Rows of one group with the same ``ident`` count once.
+    Rows of one group with the same ``ident`` count once; rows with a null in it are no copies of each other.
     """
     keys = [f"g{i}" for i in range(len(groups))]
     rows = df.select(*[g.alias(k) for g, k in zip(groups, keys, strict=True)], *(ident or ()), *[F.col(f).alias(f"_{f}") for f in fields])
     if ident:
-        rows = rows.groupBy(*keys, *ident).agg(*[F.first(f"_{f}", ignorenulls=True).alias(f"_{f}") for f in fields])
+        # a row without an identifier gets a number of its own; all others share the null
+        lone = F.greatest(*[F.col(c).isNull() for c in ident]) if len(ident) > 1 else F.col(ident[0]).isNull()
+        rows = rows.withColumn("_lone", F.when(lone, F.monotonically_increasing_id()))
+        rows = rows.groupBy(*keys, *ident, "_lone").agg(*[F.first(f"_{f}", ignorenulls=True).alias(f"_{f}") for f in fields])
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_{f}").cast("long").alias("raw")) for f in fields])
     long = rows.select(*keys, F.explode(pairs).alias("p"))
     return (

@@ -11,7 +11,7 @@ inside a block and joined across blocks from the blocks' first and last runs, so
 source, however large, is ordered in one task.
 
 Defined cases: null readings are never flagged and do not break a run; repeated records (same
-partition and offset) count once; a source with no finite non-zero reading has no median and
+partition and offset) count once, those with a null in either each on their own; a source with no finite non-zero reading has no median and
 no spike; an empty table gives no flags; null source columns form a source of their own.
 """
 
@@ -51,8 +51,7 @@ def readings(df: DataFrame, source: Sequence[str], ts: str, fields: Sequence[Fie
         F.col(ts).alias("_ts"), "partition", "offset", *[F.col(f.name).cast("double").alias(f.name) for f in fields],
     )
     order = Window.partitionBy("_src", "_block").orderBy("_ts", "partition", "offset")
-    again = (F.lag("offset").over(order).eqNullSafe(F.col("offset")) & F.lag("partition").over(order).eqNullSafe(F.col("partition"))
-             & (F.row_number().over(order) > 1))
+    again = F.coalesce((F.lag("offset").over(order) == F.col("offset")) & (F.lag("partition").over(order) == F.col("partition")), F.lit(False))
     return rows.withColumn("_again", again).where(~F.col("_again")).drop("_again")
 
 

@@ -40,3 +40,9 @@ def test_cells_are_monotone(spark):
 def test_empty(spark):
     st = quantiles.state(spark.createDataFrame([], SCHEMA), [F.col("node")], ["memory"], ident=["partition", "offset"])
     assert quantiles.percentiles(st, [0.5]).count() == 0
+
+
+def test_rows_without_an_identifier_count_each(spark):
+    rows = [(None, None, "a", "x", m, 3, "") for m in (1, 1, 2)] + [(0, None, "a", "x", 4, 3, "")] * 2 + [(0, 7, "a", "x", 5, 3, "")] * 3
+    st = quantiles.state(spark.createDataFrame(rows, SCHEMA), [F.col("node")], ["memory"], ident=["partition", "offset"])
+    assert {r.value: r.cnt for r in st.collect()} == {1: 2, 2: 1, 4: 2, 5: 1}

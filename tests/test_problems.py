@@ -334,3 +334,10 @@ def test_late_records_go_through_a_correction(spark, tmp_path, monkeypatch):
     (state, more), = given
     assert [(r.value, r.cnt) for r in state.orderBy("value").collect()] == [(1, 1), (5, 2)]
     assert [(r.value, r.cnt) for r in more.collect()] == [(2, 1)]
+
+
+def test_readings_without_an_identifier_are_no_copies(spark):
+    rows = [(None, None, "a", minutes(i), 5.0) for i in range(9)] + [(0, None, "a", minutes(20), 3.0), (0, None, "a", minutes(20), 3.0), (1, 1, "a", minutes(21), 3.0), (1, 1, "a", minutes(21), 3.0)]
+    df = spark.createDataFrame(rows, READ)
+    assert spikes.readings(df, ["src"], "ts", [spikes.Field("v")], 3600).count() == 12
+    assert spikes.flag_readings(df, ["src"], "ts", [spikes.Field("v")]).where("stuck").count() == 9
