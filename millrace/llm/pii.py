@@ -303,13 +303,15 @@ def found_lines(spans: DataFrame, ident: str = "doc_id") -> DataFrame:
 
 
 def redact(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(ident, text)`` with every found span replaced by ``<KIND>``; rows are joined by identifier.
+    """``(ident, text)`` with every found span replaced by ``<KIND>``.
 
+    Spans are joined back by a digest of the text they are positions of, which also stays the same
+    when a task runs again: identifiers may be null, or shared by rows with different texts.
     Overlapping spans become one placeholder, named after the one that begins first.
     """
-    spans = find(df, ident, text).groupBy(ident).agg(F.collect_set(F.struct("first", "last", "kind")).alias("spans"))
-    rows = df.select(F.col(ident).alias("doc_id"), F.col(text).alias("text"))
-    both = rows.join(spans.withColumnRenamed(ident, "doc_id"), "doc_id", "left")
+    rows = df.select(F.col(ident).alias("doc_id"), F.col(text).alias("text"), F.unhex(F.sha2(F.col(text).cast("binary"), 256)).alias("_text"))
+    spans = find(rows, "_text", "text").groupBy("_text").agg(F.collect_set(F.struct("first", "last", "kind")).alias("spans"))
+    both = rows.join(spans, "_text", "left").drop("_text")
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -104,3 +104,13 @@ def test_very_long_lines_and_empty(spark):
     assert [c[2] for c in pii.candidates(text)] == ["number"]
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert pii.redact(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_redaction_without_unique_identifiers(spark):
+    texts = ["Call Mrs. Hanna Bergstrom at phone +46 8 555 010 20 today", "phone +46 8 555 010 77", "no data of persons in here at all, +46 8 is a prefix only", None]
+    ids = [None, "a", "a", None]
+    unique = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(list(zip("0123", texts)), "doc_id string, text string")).collect()}
+    assert unique["0"] != texts[0] and unique["1"] != texts[1] and unique["2"] == texts[2]
+    got = pii.redact(spark.createDataFrame([*zip(ids, texts), (None, texts[0])], "doc_id string, text string")).collect()
+    want = [(i, unique[k]) for i, k in zip(ids, "0123")] + [(None, unique["0"])]
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(want, key=repr)
