@@ -12,7 +12,8 @@ source, however large, is ordered in one task.
 
 Defined cases: null readings are never flagged and do not break a run; repeated records (same
 partition and offset) count once, those with a null in either each on their own; a source with no finite non-zero reading has no median and
-no spike; an empty table gives no flags; null source columns form a source of their own.
+no spike; an empty table gives no flags; a reading with a null in a source column belongs to no
+known source, has nothing to be compared with and is never flagged.
 """
 
 from __future__ import annotations
@@ -43,10 +44,10 @@ class Field:
 
 
 def readings(df: DataFrame, source: Sequence[str], ts: str, fields: Sequence[Field], block_seconds: int) -> DataFrame:
-    """One row for each (partition, offset): ``_src`` struct, ``_block``, ts, partition, offset, fields as double."""
+    """One row for each (partition, offset) of a known source: ``_src`` struct, ``_block``, ts, partition, offset, fields as double."""
     # a plain key, never null, so that joins on it find the rows where the windows left them
     block = F.coalesce(F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(block_seconds * 1_000_000)), F.lit(-(2**40)))
-    rows = df.select(
+    rows = df.dropna(subset=list(source)).select(
         F.struct(*[F.col(c).alias(f"s{i}") for i, c in enumerate(source)]).alias("_src"), block.alias("_block"),
         F.col(ts).alias("_ts"), "partition", "offset", *[F.col(f.name).cast("double").alias(f.name) for f in fields],
     )

@@ -93,12 +93,14 @@ def p4_fences(spark: SparkSession, d: str) -> DataFrame:
 
 _FLAGS_SQL = """
 WITH r AS (
-  SELECT DISTINCT 'prc' AS tbl, node AS k1, pid AS k2, '' AS k3, ts, "partition" AS p, "offset" AS o, dmemory, dreductions, message_queue_len::double AS mql FROM prc),
+  SELECT DISTINCT 'prc' AS tbl, node AS k1, pid AS k2, '' AS k3, ts, "partition" AS p, "offset" AS o, dmemory, dreductions, message_queue_len::double AS mql FROM prc
+  WHERE node IS NOT NULL AND pid IS NOT NULL),
 l AS (
   SELECT tbl, k1, k2, k3, ts, p, o, 'dmemory' AS field, dmemory AS v FROM r
   UNION ALL SELECT tbl, k1, k2, k3, ts, p, o, 'dreductions', dreductions FROM r
   UNION ALL SELECT tbl, k1, k2, k3, ts, p, o, 'message_queue_len', mql FROM r
-  UNION ALL SELECT DISTINCT 'app_top', node, application, unit, ts, "partition", "offset", 'value', value::double FROM app_top),
+  UNION ALL SELECT DISTINCT 'app_top', node, application, unit, ts, "partition", "offset", 'value', value::double FROM app_top
+  WHERE node IS NOT NULL AND application IS NOT NULL AND unit IS NOT NULL),
 m AS (
   SELECT tbl, field, k1, k2, k3, median(abs(v)) FILTER (WHERE isfinite(v) AND v <> 0) AS med, min(v) < max(v) AS varies
   FROM l WHERE v IS NOT NULL GROUP BY ALL),
@@ -112,7 +114,7 @@ f AS (
     (NOT isfinite(v)) OR (v < 0 AND n.field <> 'dmemory') AS impossible,
     coalesce(isfinite(v) AND v <> 0 AND abs(v) >= 8 * med AND (n.field <> 'message_queue_len' OR abs(v) >= 100), false) AS spike,
     coalesce(len >= 8 AND v <> 0 AND varies, false) AS stuck
-  FROM n JOIN m ON n.tbl = m.tbl AND n.field = m.field AND n.k1 IS NOT DISTINCT FROM m.k1 AND n.k2 IS NOT DISTINCT FROM m.k2 AND n.k3 IS NOT DISTINCT FROM m.k3)
+  FROM n JOIN m ON n.tbl = m.tbl AND n.field = m.field AND n.k1 = m.k1 AND n.k2 = m.k2 AND n.k3 = m.k3)
 """
 R.add("p4_method", p4_method)
 R.add("p4_found", p4_found, _FLAGS_SQL + "SELECT tbl, field, p AS part_no, o AS msg_offset FROM f WHERE impossible OR spike OR stuck")

@@ -117,7 +117,7 @@ READ = "partition int, offset long, src string, ts timestamp_ntz, v double"
 def brute_flags(rows, signed, floor, factor=8, run=8):
     one = {(r[0], r[1]): r for r in rows}
     out = {}
-    for s in {r[2] for r in one.values()}:
+    for s in {r[2] for r in one.values()} - {None}:
         mine = sorted((r for r in one.values() if r[2] == s and r[4] is not None), key=lambda r: (r[3], r[0], r[1]))
         mags = [abs(r[4]) for r in mine if math.isfinite(r[4]) and r[4]]
         med = statistics.median(mags) if mags else None
