@@ -197,13 +197,25 @@ FROM messages QUALIFY row_number() OVER (PARTITION BY topic, "partition", "offse
 
 
 # 7: only new records
-def _new(spark: SparkSession, d: str) -> DataFrame:
-    data = load(spark, d, "messages").select("topic", "partition", "offset", F.octet_length("value").cast("long").alias("value_bytes"))
-    return ledger.process_new(spark, data, load(spark, d, "commit_log"), scratch(spark, "ledger"))
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "messages").select("topic", "partition", "offset", F.octet_length("value").cast("long").alias("value_bytes"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _new(spark, d).select("topic", F.col("partition").alias("part_no"), F.col("offset").alias("msg_offset")).distinct()
+    new = ledger.process_new(spark, _messages(spark, d), load(spark, d, "commit_log"), scratch(spark, "ledger"))
+    return new.select("topic", F.col("partition").alias("part_no"), F.col("offset").alias("msg_offset")).distinct()
+
+
+def p7_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Three runs of one ledger: over the lower half of the offsets of each partition, over all, and over all again."""
+    data, log, root = _messages(spark, d), load(spark, d, "commit_log"), scratch(spark, "ledger")
+    ends = data.groupBy("topic", "partition").agg(F.min("offset").alias("_lo"), F.max("offset").alias("_hi"))
+    half = data.join(ends, ["topic", "partition"]).where(F.col("offset") <= F.expr("(_lo + _hi) div 2")).select(data.columns)
+    out = None
+    for number, rows in enumerate((half, data, data), 1):
+        new = ledger.process_new(spark, rows, log, root, 5000).withColumn("round", F.lit(number))
+        out = new if out is None else out.unionByName(new)
+    return out.groupBy("round", "topic", "partition").agg(F.count("*").alias("n_rows"), F.countDistinct("offset").alias("n_offsets"), F.min("offset").alias("low"), F.max("offset").alias("high"))
 
 
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
@@ -214,6 +226,14 @@ _COVERED_SQL = """WITH c AS (SELECT topic, "partition", max(to_offset) AS t FROM
 n AS (SELECT m.topic, m."partition", m."offset", c.t FROM messages m LEFT JOIN c ON m.topic = c.topic AND m."partition" = c."partition" WHERE c.t IS NULL OR m."offset" > c.t)
 """
 R.add("p7_found", p7_found, _COVERED_SQL + 'SELECT DISTINCT topic, "partition" AS part_no, "offset" AS msg_offset FROM n')
+R.add(
+    "p7_rounds",
+    p7_rounds,
+    _COVERED_SQL
+    + """, h AS (SELECT topic, "partition", (min("offset") + max("offset")) // 2 AS half FROM messages GROUP BY ALL)
+SELECT CASE WHEN "offset" <= half THEN 1 ELSE 2 END AS round, topic, "partition", count(*) AS n_rows, count(DISTINCT "offset") AS n_offsets, min("offset") AS low, max("offset") AS high
+FROM n JOIN h USING (topic, "partition") GROUP BY ALL""",
+)
 R.add(
     "p7_items",
     p7_items,

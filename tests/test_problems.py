@@ -231,49 +231,92 @@ def test_deliver_once_from_an_empty_table(spark, tmp_path):
 LOG = "topic string, partition int, status string, from_offset long, to_offset long"
 
 
+def rows_of(df):
+    return sorted(((r.topic, r.partition, r.offset) for r in df.collect()), key=repr)
+
+
 def test_ledger_covers_what_is_left_exactly_once(spark, tmp_path):
-    data = spark.createDataFrame([(t, p, o) for t in "ab" for p in range(2) for o in range(0, 90, 2)], "topic string, partition int, offset long")
+    data = spark.createDataFrame([(t, p, o, "x") for t in "ab" for p in range(2) for o in range(0, 90, 2)], "topic string, partition int, offset long, item string")
     log = [("a", 0, "succeeded", 0, 40), ("a", 0, "succeeded", 0, 40), ("a", 0, "succeeded", 0, 20), ("a", 0, "failed", 41, 88), ("a", 1, "started", 0, None), ("b", 0, "succeeded", 0, 200)]
     got = ledger.process_new(spark, data, spark.createDataFrame(log, LOG), str(tmp_path / "l"), item_offsets=16)
-    rows = [(r.topic, r.partition, r.offset) for r in got.collect()]
     want = [(t, p, o) for t in "ab" for p in range(2) for o in range(0, 90, 2) if not (t, p) == ("b", 0) and not ((t, p) == ("a", 0) and o <= 40)]
-    assert sorted(rows) == sorted(want)
+    assert rows_of(got) == sorted(want, key=repr) and got.columns == data.columns and {r.item for r in got.collect()} == {"x"}
     again = ledger.process_new(spark, data, spark.createDataFrame(log, LOG), str(tmp_path / "l"), item_offsets=16)
-    assert sorted((r.topic, r.partition, r.offset) for r in again.collect()) == sorted(want)
+    assert again.count() == 0 and again.columns == data.columns
     assert ledger.process_new(spark, data.limit(0), spark.createDataFrame([], LOG), str(tmp_path / "e")).count() == 0
 
 
+def test_growing_data_crashes_and_late_writers(spark, tmp_path, monkeypatch):
+    """Every record comes out once over all runs, each run returns its own, whatever happens between write and commit."""
+    root, now, seen = str(tmp_path / "l"), [0.0], []
+    log = spark.createDataFrame([("t", 0, "succeeded", 0, 3)], LOG)
+    data = lambda n: spark.createDataFrame([(t, p, o) for t, p in (("t", 0), ("t", None), (None, 1)) for o in range(n)] + [("t", 0, None)], "topic string, partition int, offset long")
+    whole = lambda n: sorted([(t, p, o) for t, p in (("t", 0), ("t", None), (None, 1)) for o in range(n) if (t, p) != ("t", 0) or o > 3], key=repr)
+    run = lambda n: rows_of(ledger.process_new(spark, data(n), log, root, 8, lambda: now[0], 5.0))
+    seen += run(10)
+    assert seen == whole(10)
+    assert run(10) == []
+    # a run that dies after it has written and before it commits
+    plain = ledger.Ledger.commit
+    monkeypatch.setattr(ledger.Ledger, "commit", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(RuntimeError, match="killed"):
+        run(20)
+    monkeypatch.setattr(ledger.Ledger, "commit", plain)
+    led = ledger.Ledger(spark, root, lambda: now[0])
+    held = {i.name: i for lane in led.lanes() for i in led.chain(lane) if led.state(i) == "leased"}
+    assert held and run(20) == []  # its leases still hold
+    now[0] = 6.0
+    second = run(25)
+    seen += second
+    assert sorted(seen, key=repr) == whole(25) and len(second) == len(whole(25)) - len(whole(10))
+    # the first writer comes back: it may write, but not commit, and nobody reads what it wrote
+    for i in held.values():
+        stale = ledger.Lease(i, 1, 5.0)
+        ledger.write_items(led, data(25), [stale], 8)
+        with pytest.raises(ledger.StaleWriter):
+            led.commit(stale)
+    assert run(25) == []
+    assert rows_of(led.read(led.done(), data(1).schema)) == whole(25)
+    # a log that caught up with the ledger changes nothing, one that is ahead is followed
+    log = spark.createDataFrame([("t", 0, "succeeded", 0, 27), ("t", None, "succeeded", 0, 24)], LOG)
+    assert run(30) == sorted([("t", 0, 28), ("t", 0, 29)] + [(t, p, o) for t, p in (("t", None), (None, 1)) for o in range(25, 30)], key=repr)
+
+
+def test_two_planners_never_overlap(spark, tmp_path):
+    led = ledger.Ledger(spark, str(tmp_path / "l"))
+    led.add("t", 0, 5, 9, 100)
+    led.add("t", 0, 7, 14, 100)  # planned at the same time, with other ends
+    led.add("t", 0, 0, 14, 100)
+    assert [(i.from_offset, i.to_offset) for i in led.chain(led.lane("t", 0))] == [(5, 9), (10, 14)]
+    assert led.lane("t/1", 0) != led.lane("t_1", 0) != led.lane("t", None)
+    # a planner that died before it filled the file
+    lane = led.lane("u", 0)
+    led.fs.create(led._path(f"{led._folder(lane, 1)}/item"), False).close()
+    led.add("u", 0, 0, 3, 100)
+    assert [(i.from_offset, i.to_offset) for i in led.chain(lane)] == [(0, 3)]
+
+
 def test_leases_expire_and_old_tokens_are_rejected(spark, tmp_path):
     now = [100.0]
     led = ledger.Ledger(spark, str(tmp_path / "led"), lambda: now[0])
-    led.add("i", {"x": 1})
-    led.add("i", {"x": 2})
-    assert led.body("i") == {"x": 1} and led.state("i") == "pending"
-    old = led.lease("i", 10)
-    assert led.state("i") == "leased" and led.lease("i", 10) is None
+    led.add("i", 0, 1, 9)
+    led.add("i", 0, 2, 9)
+    (i,) = led.chain(led.lane("i", 0))
+    assert i.from_offset == 1 and led.state(i) == "pending"
+    old = led.lease(i, 10)
+    assert led.state(i) == "leased" and led.lease(i, 10) is None
     now[0] += 11
-    assert led.state("i") == "pending"
-    new = led.lease("i", 10)
+    assert led.state(i) == "pending"
+    new = led.lease(i, 10)
     assert new.token > old.token
     with pytest.raises(ledger.StaleWriter):
         led.commit(old)
     led.commit(new)
-    assert led.state("i") == "done" and led.lease("i", 10) is None
+    assert led.state(i) == "done" and led.lease(i, 10) is None
     with pytest.raises(ledger.StaleWriter):
         led.commit(new)
-
-
-def test_failed_attempt_is_replaced(spark, tmp_path):
-    data = spark.createDataFrame([("a", 0, o) for o in range(10)], "topic string, partition int, offset long")
-    now = [0.0]
-    led = ledger.Ledger(spark, str(tmp_path / "l"), lambda: now[0])
-    led.add("a-0", {"topic": "a", "partition": 0, "from_offset": 3, "to_offset": 7})
-    led.lease("a-0", 5)  # a worker that wrote something and died
-    data.withColumn("item", F.lit("a-0")).write.partitionBy("item").parquet(str(tmp_path / "l/out"))
-    assert ledger.run_items(led, data, spark) == []
-    now[0] = 6.0
-    assert ledger.run_items(led, data, spark) == ["a-0"]
-    assert sorted(r.offset for r in spark.read.parquet(str(tmp_path / "l/out")).collect()) == [3, 4, 5, 6, 7]
+    led.advance(i.lane)
+    assert led._base(i.lane) == 1 and led.chain(i.lane) == [i]
 
 
 def test_context_flags(spark):
