@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.common import load, scratch
 from millrace.operators import grid, late, ledger, skew, spikes
 from millrace.queries import Registry
-from millrace.streaming.dedupe import dedupe_table
+from millrace.streaming.dedupe import dedupe_table, deliver_once
 
 R = Registry()
 APP_SOURCE = ["node", "application", "unit"]
@@ -174,18 +174,36 @@ UNION ALL SELECT 'prc.node', node, count(*), sum(memory)::bigint, max(memory) FR
 
 
 # 6: messages delivered more than once
+IDENT = ["topic", "partition", "offset"]
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    _, again = dedupe_table(spark, f"{d}/messages.parquet")
+    _, again = dedupe_table(spark, f"{d}/messages.parquet", columns=IDENT)
     return again.select("topic", F.col("partition").alias("part_no"), F.col("offset").alias("msg_offset")).distinct()
 
 
 def p6_once(spark: SparkSession, d: str) -> DataFrame:
-    once, _ = dedupe_table(spark, f"{d}/messages.parquet")
+    once, _ = dedupe_table(spark, f"{d}/messages.parquet", columns=[*IDENT, "key", "value", "batch_id", "received_at"])
     return once.select(
         "topic", "partition", "offset", F.col("key").cast("string").alias("key"), F.octet_length("value").alias("value_bytes"), "batch_id", "received_at"
     )
 
 
+def p6_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The table as six deliveries in order of arrival, one batch each; the store forgets after an hour."""
+    messages = load(spark, d, "messages").select(*IDENT, "batch_id", "received_at")
+    ms = F.unix_millis(F.col("received_at").cast("timestamp"))
+    low, high = messages.agg(F.min(ms), F.max(ms)).first()
+    slot = F.least(F.floor((ms - F.lit(low)) * 6 / F.lit(max(1, high - low))), F.lit(5))
+    landed = scratch(spark, "landed")
+    for i in range(6):
+        messages.where(F.coalesce(slot, F.lit(0)) == i).write.parquet(f"{landed}/{i}")
+        once, again = deliver_once(spark, f"{landed}/*", IDENT, "received_at", "batch_id", f"{landed}-once", delay="10 minutes", keep_ms=3_600_000)
+    copies = again.groupBy(*IDENT).agg(F.count("*").alias("n_again"))
+    both = once.join(copies.select(*[F.col(c).alias(f"_{c}") for c in IDENT], "n_again"), F.expr(" AND ".join(f"{c} <=> _{c}" for c in IDENT)), "left")
+    return both.select(*IDENT, "received_at", F.coalesce("n_again", F.lit(0)).alias("n_again"))
+
+
 R.add("p6_found", p6_found, 'SELECT topic, "partition" AS part_no, "offset" AS msg_offset FROM messages GROUP BY ALL HAVING count(*) > 1')
 R.add(
     "p6_once",
@@ -194,6 +212,11 @@ R.add(
 SELECT topic, "partition", "offset", decode("key") AS "key", octet_length(value) AS value_bytes, batch_id, received_at
 FROM messages QUALIFY row_number() OVER (PARTITION BY topic, "partition", "offset" ORDER BY received_at, batch_id) = 1""",
 )
+R.add(
+    "p6_batches",
+    p6_batches,
+    'SELECT topic, "partition", "offset", min(received_at) AS received_at, count(*) - 1 AS n_again FROM messages GROUP BY topic, "partition", "offset"',
+)
 
 
 # 7: only new records

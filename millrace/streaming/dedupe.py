@@ -9,15 +9,19 @@ number, which the store does not know or has begun anew, is looked up among the
 already delivered. State is checkpointed with the offsets of the query, and a batch that runs
 again after a failure replaces its own output folder, so both move together.
 
-Defined cases: null topic, partition or offset make an identifier like any other value;
-copies may differ in their other columns, the first by arrival time (then by ``tie``) is kept;
-null arrival times count as the earliest; an empty source gives an empty table; late records
-are settled by lookup and never lost; columns of any name and type are passed through.
+Only identifiers and places (file and row number) go through the store and Python; what comes back
+are the places of the other copies. The rows themselves are read once more and leave out those
+places, by a join that adaptive execution broadcasts while the copies are few.
+
+Defined cases: a null topic or partition is a value like any other; a record without an offset
+has no identifier, is no copy of anything and is delivered; copies may differ in their other
+columns, the first by arrival time (then by ``tie``, then by place) in the first batch that has
+one is kept; null arrival times count as the earliest; an empty source gives an empty table; late
+records are settled by lookup and never lost; columns of any name and type are passed through.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -34,7 +38,8 @@ BLOCK = 8192
 LANES = 64
 KEEP_MS = 7 * 86_400_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_JSON = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+#: What the store says of a record; FILE: that the batch has records of this file.
+FIRST, AGAIN, LOOKUP, FILE = range(4)
 
 
 def _mark(block: int, keep_ms: int):  # noqa: ANN202
@@ -57,19 +62,28 @@ def _mark(block: int, keep_ms: int):  # noqa: ANN202
         for b in [b for b, x in blocks.items() if x[0] + keep_ms < water]:
             del blocks[b]
             top = max(top, b)
-        rows = pd.concat(list(frames), ignore_index=True).sort_values(["_ms", "_tie"], kind="stable", ignore_index=True)
-        verdict = np.full(len(rows), "again", object)
+        rows = pd.concat(list(frames), ignore_index=True).sort_values(["_ms", "_tie", "_file", "_pos"], ignore_index=True)
+        files = rows["_file"].unique()
+        rows = rows[rows["_slot"] >= 0].reset_index(drop=True)
+        verdict = np.full(len(rows), AGAIN, np.int8)
         ms, slots, fresh = rows["_ms"].to_numpy(np.int64), rows["_slot"].to_numpy(np.int64), ~rows.duplicated(["_block", "_slot"]).to_numpy()
         for b, at in rows.groupby("_block", sort=False).indices.items():
             held = blocks.setdefault(int(b), [0, int(b) <= top, np.zeros(width, np.uint8)])
             slot, bits = slots[at], held[2]
             bit = np.left_shift(1, slot & 7).astype(np.uint8)
             first = fresh[at] & ((bits[slot >> 3] & bit) == 0)
-            verdict[at[first]] = "lookup" if held[1] else "first"
+            verdict[at[first]] = LOOKUP if held[1] else FIRST
             np.bitwise_or.at(bits, slot >> 3, bit)
             held[0] = int(max(held[0], ms[at].max()))
         state.update((pack(top, blocks),))
-        yield pd.DataFrame({"_row": rows["_row"].to_numpy(), "_verdict": verdict})
+        told = verdict != FIRST
+        yield pd.DataFrame(
+            {
+                "_file": np.concatenate([files, rows["_file"].to_numpy()[told]]).astype(np.int64),
+                "_pos": np.concatenate([np.full(len(files), -1), rows["_pos"].to_numpy()[told]]).astype(np.int64),
+                "_verdict": np.concatenate([np.full(len(files), FILE, np.int8), verdict[told]]).astype(np.int32),
+            }
+        )
 
     return step
 
@@ -85,13 +99,16 @@ def source(spark: SparkSession, path: str, files_per_batch: int | None = None) -
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     else:
         reader = reader.option("maxBytesPerTrigger", BATCH_BYTES)
-    if os.path.isfile(path.removeprefix("file://")):
-        return reader.option("pathGlobFilter", os.path.basename(path)).parquet(os.path.dirname(path))
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(at) and fs.getFileStatus(at).isFile():
+        return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
     return reader.parquet(path)
 
 
 def deliver_once(
-    stream: DataFrame,
+    spark: SparkSession,
+    path: str,
     ident: Sequence[str],
     at: str,
     tie: str,
@@ -99,53 +116,61 @@ def deliver_once(
     delay: str = "1 hour",
     keep_ms: int = KEEP_MS,
     block: int = BLOCK,
+    files_per_batch: int | None = None,
+    columns: Sequence[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Runs the stream to its present end. Returns (one copy of each message, the other copies).
+    """Runs a stream over the parquet files of ``path`` to its present end. Returns (one copy of
+    each message, the other copies), with all columns or the named ones, which must include ``ident``.
 
     The last of ``ident`` is the offset; the others name its sequence. Calling it again with the
     same ``root`` continues after the last finished batch.
     """
-    spark = stream.sparkSession
     ship(spark)
-    schema = T.StructType(stream.schema.fields)
-    extended = T.StructType([*schema.fields, T.StructField("verdict", T.StringType()), T.StructField("batch", T.LongType())])
+    stream = source(spark, path, files_per_batch)
+    names = list(columns or stream.columns)
+    kept = T.StructType([T.StructField(f"d{i}", stream.schema[c].dataType) for i, c in enumerate(names)])
+    stored = T.StructType([*kept.fields, T.StructField("again", T.BooleanType()), T.StructField("batch", T.LongType())])
     *seq, offset = ident
     arrival = F.coalesce(F.col(at).cast("timestamp"), F.timestamp_seconds(F.lit(0)))
+    none, pos = F.col(offset).isNull(), F.col("_metadata.row_index")
+    # records without an offset only tell of their file, from any lane
+    number = F.when(none, pos).otherwise(F.expr(f"(`{offset}` - pmod(`{offset}`, {block})) div {block}")).cast("long")
+    place = {"_file": F.xxhash64("_metadata.file_path"), "_pos": pos}
     packed = stream.select(
         *[F.col(c).alias(f"_s{i}") for i, c in enumerate(seq)],
-        F.coalesce(F.expr(f"(`{offset}` - pmod(`{offset}`, {block})) div {block}"), F.lit(-(2**62))).cast("long").alias("_block"),
-        F.coalesce(F.pmod(F.col(offset), F.lit(block)), F.lit(0)).cast("int").alias("_slot"),
+        number.alias("_block"), F.when(none, F.lit(-1)).otherwise(F.pmod(F.col(offset), F.lit(block))).cast("int").alias("_slot"),
         arrival.alias("_at"), F.unix_millis(arrival).alias("_ms"), F.coalesce(F.col(tie).cast("long"), F.lit(0)).alias("_tie"),
-        F.to_json(F.struct(*[F.col(c) for c in stream.columns]), _JSON).alias("_row"),
+        *[c.alias(k) for k, c in place.items()],
     ).withWatermark("_at", delay)
     marked = packed.withColumn("_lane", F.pmod("_block", F.lit(LANES))).groupBy(*[f"_s{i}" for i in range(len(seq))], "_lane").applyInPandasWithState(
-        _mark(block, keep_ms), "_row string, _verdict string", "blocks binary", "append", GroupStateTimeout.NoTimeout
+        _mark(block, keep_ms), "_file long, _pos long, _verdict int", "blocks binary", "append", GroupStateTimeout.NoTimeout
     )
-    out = f"{root}/out"
+    out, marks = f"{root}/out", f"{root}/marks"
 
     def store(batch: DataFrame, number: int) -> None:
-        rows = batch.select("_verdict", F.from_json("_row", schema, _JSON).alias("r")).select("_verdict", "r.*")
-        if number == 0:  # nothing has been delivered, so nothing can be looked up
-            write(rows.withColumn("_verdict", F.when(F.col("_verdict") == "lookup", "first").otherwise(F.col("_verdict"))), number)
+        # written once: the store is not asked again, whatever is read from it
+        batch.write.mode("overwrite").parquet(f"{marks}/{number}")
+        told = spark.read.schema(batch.schema).parquet(f"{marks}/{number}")
+        files = [r[0] for r in told.where(F.col("_verdict") == FILE).select("_file").distinct().collect()]
+        if not files:
             return
-        rows = rows.persist()
-        try:
-            ask = rows.where("_verdict = 'lookup'")
-            if not ask.isEmpty():
-                old = spark.read.schema(extended).parquet(out)
-                old = old.where((F.col("batch") < number) & (F.col("verdict") == "first")).select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(ident)])
-                cond = F.lit(True)
-                for i, c in enumerate(ident):
-                    cond = cond & F.col(c).eqNullSafe(F.col(f"_o{i}"))
-                known = ask.join(old.withColumn("_known", F.lit(True)), cond, "left")
-                ask = known.withColumn("_verdict", F.when(F.col("_known"), "again").otherwise("first")).select(rows.columns)
-            write(rows.where("_verdict <> 'lookup'").unionByName(ask), number)
-        finally:
-            rows.unpersist()
-
-    def write(rows: DataFrame, number: int) -> None:
-        final = rows.withColumnRenamed("_verdict", "verdict").withColumn("batch", F.lit(number).cast("long"))
-        final.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "verdict").parquet(out)
+        # the files of the batch are picked by their path, before any is opened
+        rows = spark.read.schema(stream.schema).parquet(path).select(
+            *[F.col(c).alias(f"d{i}") for i, c in enumerate(names)], *[c.alias(k) for k, c in place.items()]
+        ).where(F.col("_file").isin(files))
+        copies = told.where(F.col("_verdict") == AGAIN).select("_file", "_pos")
+        ask = told.where(F.col("_verdict") == LOOKUP).select("_file", "_pos")
+        if number and not ask.isEmpty():
+            keys = [f"d{names.index(c)}" for c in ident]
+            old = spark.read.schema(stored).parquet(out).where(f"batch < {number} AND NOT again").select(*[F.col(k).alias(f"o{k}") for k in keys])
+            asked = rows.join(ask, ["_file", "_pos"], "left_semi").select("_file", "_pos", *keys)
+            cond = F.lit(True)
+            for k in keys:
+                cond = cond & F.col(k).eqNullSafe(F.col(f"o{k}"))
+            copies = copies.unionByName(asked.join(old, cond, "left_semi").select("_file", "_pos"))
+        done = rows.join(copies.withColumn("_again", F.lit(True)), ["_file", "_pos"], "left")
+        done = done.select(*kept.names, F.coalesce("_again", F.lit(False)).alias("again"), F.lit(number).cast("long").alias("batch"))
+        done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "again").parquet(out)
 
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -159,14 +184,16 @@ def deliver_once(
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        empty = spark.createDataFrame([], schema)
+        empty = spark.createDataFrame([], stream.select(*names).schema)
         return empty, empty
-    done = spark.read.schema(extended).parquet(out)
-    return tuple(done.where(F.col("verdict") == v).drop("verdict", "batch") for v in ("first", "again"))
+    done = spark.read.schema(stored).parquet(out)
+    once, again = (done.where(c).select(*[F.col(f"d{i}").alias(n) for i, n in enumerate(names)]) for c in ("NOT again", "again"))
+    return once, again
 
 
-def dedupe_table(spark: SparkSession, path: str, files_per_batch: int | None = None) -> tuple[DataFrame, DataFrame]:
+def dedupe_table(spark: SparkSession, path: str, files_per_batch: int | None = None, columns: Sequence[str] | None = None, **store: object) -> tuple[DataFrame, DataFrame]:
     """The messages of a table, by (topic, partition, offset), run as a stream in a fresh root."""
     return deliver_once(
-        source(spark, path, files_per_batch), ["topic", "partition", "offset"], "received_at", "batch_id", scratch(spark, "dedupe")
-    )
+        spark, path, ["topic", "partition", "offset"], "received_at", "batch_id", scratch(spark, "dedupe"), files_per_batch=files_per_batch,
+        columns=columns, **store,
+    )
