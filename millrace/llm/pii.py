@@ -9,13 +9,18 @@ scores the graph of patterns and instances in rounds:
 * names     a title makes the next word a surname; a word that stands before several known
             surnames is a given-name pattern; a word that follows several such patterns is a
             surname, also where no title ever came before it;
-* numbers   a shape seen after a word for telephones or identity papers is a seed; words
-            before known shapes become contexts; shapes in good contexts are taken too;
+* numbers   a number of any length after a word for telephones or identity papers is a seed; words
+            before known shapes become contexts; shapes in good contexts are taken too; short
+            numbers are taken after those seed words that mostly have full numbers after them;
 * emails    a domain is known by local parts made of names or by words for mail; a known
             domain is then found in spelled-out forms;
-* streets   street words are seeds; last words that follow several known street names are new
-            street words.
+* streets   street words and words for addresses are seeds; a name with several known street words,
+            in several contexts or after a word for addresses is a known street; words before
+            known streets become contexts; words that follow several known names are new street
+            words. A name with a known street word only is taken unless it stands after a word that
+            mostly comes before other numbers and names.
 
+Every family goes on in rounds until a round finds nothing new; sets only grow, so it ends.
 A candidate is reported where its instances and patterns are accepted. Text inside JSON string
 escapes is read as the text it stands for; positions refer to the text as it stands.
 
@@ -28,7 +33,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,30 +45,41 @@ from millrace.common import cut, ship
 
 # Words that mark seed entities.
 TITLES = ("mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau", "mme", "mlle", "sr", "sra", "srta")
-PHONE_WORDS = r"(?:tel|tél|telefon|téléphone|teléfono|phone|call|call me|ring|mobile?|cell|sms|fax)"
-ID_WORDS = r"(?:ssn|ni no|nino|passport|passport no|ausweisnr|social security|national insurance|identity card|id card|dni)"
+PHONE_WORDS = "tel|tél|telefon|téléphone|teléfono|phone|call|call me|ring|mobile?|cell|sms|fax"
+ID_WORDS = "ssn|ni no|nino|passport|passport no|ausweisnr|social security|national insurance|identity card|id card|dni"
 MAIL_WORDS = r"(?:mailto|e?-?mail|contact|kontakt|write to|contactez|escriba a|author|from)"
+ADDRESS_WORDS = ("address", "adresse", "anschrift", "wohnhaft", "dirección", "domicilio", "domicile", "indirizzo")
+#: Words whose number is their own, and no house number.
+LABELS = ("figure", "fig", "table", "section", "chapter", "question", "exercise", "equation", "step", "part", "page", "line", "version", "abbildung", "tabelle")
 STREET_WORDS = ("street", "st", "road", "rd", "avenue", "ave", "lane", "ln", "drive", "blvd", "boulevard", "court", "terrace")
 
 _UP = "A-ZÀ-ÖØ-ÞĀ-Ž"
 _TOKEN = rf"[{_UP}][^\W\d_]*(?:['’-][^\W\d_]+)*\.?"
 _CHAIN = re.compile(rf"(?<![^\W_])(?<!\w[.@-]){_TOKEN}(?:,? {_TOKEN})+")
 _ONE = re.compile(_TOKEN)
-_NUMBER = re.compile(r"(?<![\w.,+/-])[+(]?\d+(?:(?:\) ?|[ ./-]| \()\d+)+(?: ?(?:ext\.?|x) ?\d+)?(?![\w/+])|(?<![\w.,+/-])\+?\d{9,14}(?![\w/+]|\.\d)")
-_CODE = re.compile(r"(?<![\w/+])[A-Z]{2} ?\d\d ?\d\d ?\d\d ?(?:\d|[A-D])(?![\w/+])")
+_NUMBER = re.compile(r"(?<![\w.,+/-])[+(]?\d+(?:(?:\) ?|[ ./-]| \()\d+)+(?: ?(?:ext\.?|x) ?\d+)?(?![\w/+])|(?<![\w.,+/-])\+\d{7,18}(?![\w/+]|\.\d)")
+_CODE = re.compile(r"(?<![\w/+])(?:[A-Z]{2} ?\d\d ?\d\d ?\d\d ?(?:\d|[A-D])|(?=[A-Z]*\d)(?=\d*[A-Z])(?:[A-Z]?\d){4,}[A-Z]?\d*[A-Z]?)(?![\w/+])")
+# a word for telephones or papers, and what follows it
+_SEED = re.compile(
+    rf"(?<!\w)(?i:(?P<phone>{PHONE_WORDS})|(?P<id>{ID_WORDS}))(?i:\W{{0,3}}(?:no|nr|number|nummer|num)\b)?[^\w\n\v+(]{{0,6}}(?=[+(]?[A-Z]{{0,3}} ?\d)"
+)
+_FOLLOWS = {
+    "phone": re.compile(r"[+(]?\d+(?:(?:\) ?|[ ./-]| \()\d+)*(?: ?(?:ext\.?|x) ?\d+)?(?!\w|[.,]\d)"),
+    "id_number": re.compile(r"[A-Z]{0,3} ?\d[A-Z0-9]*(?:([ -])[A-Z]?\d[A-Z0-9]*(?:\1[A-Z]?\d[A-Z0-9]*)*(?:\1[A-Z])?)?(?!\w|[.,]\d)"),
+}
 # both sides of an at-sign; a local part has 64 characters at most
 _AT = re.compile(r"@| ?(?:\(at\)|\[at\]) ?| at ", re.I)
 _LOCAL = re.compile(r"(?<![\w.+-])[\w.+-]{1,64}$")
 _DOMAIN = re.compile(r"[\w-]+(?:\.[\w-]+)+")
 _SPELLED = re.compile(r"[\w-]+(?:(?:\.| dot | ?\(dot\) ?| ?\[dot\] ?)[\w-]+)+", re.I)
 _DOT = re.compile(r" dot | ?\(dot\) ?| ?\[dot\] ?", re.I)
-_HOUSE = re.compile(rf"(?<![\w.,/+-])\d{{1,5}}[A-Za-z]?(?: bis| ter)?,? ({_TOKEN}(?: {_TOKEN}){{1,3}})")
+_HOUSE = re.compile(rf"(?<![\w.,/+-])\d{{1,5}}[A-Za-z]?(?: bis| ter)?,? ({_TOKEN}(?: {_TOKEN})+)")
 _ROMANCE = re.compile(
     r"(?<![\w.,/+-])\d{1,5}[A-Za-z]?(?: bis| ter)?,? (rue|avenue|chemin|boulevard|place|all[ée]e|impasse|quai|route) "
-    rf"((?:de la |de l['’]|d['’]|des |du |de )?[{_UP}](?:[\w'’-]*\w)?)"
+    rf"((?:de la |de l['’]|d['’]|des |du |de )?[{_UP}](?:[\w'’-]*\w)?)(?: [{_UP}](?:[\w'’-]*\w)?)*"
 )
 _IBERIAN = re.compile(
-    rf"(?<![\w/+])(Calle|C/|Avenida|Avda\.?|Plaza|Paseo|Camino) ((?:de los |de las |de la |del |de )?[{_UP}](?:[\w'’-]*\w)?(?: [{_UP}](?:[\w'’-]*\w)?)?),? \d{{1,4}}(?![\w/+])"
+    rf"(?<![\w/+])(Calle|C/|Avenida|Avda\.?|Plaza|Paseo|Camino) ((?:de los |de las |de la |del |de )?[{_UP}](?:[\w'’-]*\w)?(?: [{_UP}](?:[\w'’-]*\w)?)*),? \d{{1,4}}(?![\w/+])"
 )
 _GERMAN = re.compile(
     rf"(?<![\w/+])((?:Am |An der |Im |Zum )?[{_UP}][^\W\d_]*(?:-[^\W\d_]+)*?)(stra(?:ß|ss)e|str\.|weg|platz|allee|gasse|ring|damm|ufer) \d{{1,4}} ?[a-z]?(?![\w/+])"
@@ -76,7 +92,8 @@ _STREETS = (
 )
 _ESCAPE = re.compile(r'\\(?:u[0-9a-fA-F]{4}|[nrtbf"\\/])')
 _PLAIN = {"n": "\v", "r": "\v", "t": "\t", "b": "\v", "f": "\v", '"': '"', "\\": "\\", "/": "/"}
-_PHONE_BEFORE, _ID_BEFORE = re.compile(rf"(?i)(?<!\w){PHONE_WORDS}\W{{0,6}}$"), re.compile(rf"(?i)(?<!\w){ID_WORDS}\W{{0,4}}$")
+_LABEL_BEFORE = re.compile(rf"(?i)(?<!\w)(?:{'|'.join(LABELS)})\.? $")
+_EXTENSION = re.compile(r" ?(?:ext\.?|x) ?\d+$")
 _MAIL_BEFORE = re.compile(rf"(?i)(?<!\w){MAIL_WORDS}\W{{0,8}}$|<$")
 _WORD_BEFORE = re.compile(r"([^\W\d_]+°?)(?:[^\w\v\n]|[\d_])*$")
 
@@ -143,23 +160,37 @@ def candidates(text: str) -> list[tuple]:
     for m in _CHAIN.finditer(s):
         for a, b, given, surname, seed in _names(m.group(), m.start()):
             out.append((a, b, "name", given, surname, seed, None))
+    def word_before(at_: int) -> str:
+        c = _WORD_BEFORE.search(s[max(0, at_ - 48) : at_])
+        return c[1].lower() if c else ""
+
+    def number(a: int, b: int, text: str, seed: str | None, word: str | None) -> None:
+        shape = re.sub("[A-Z]", "A", re.sub(r"\d", "9", _EXTENSION.sub("", text)))
+        out.append((a, b, "number", shape, word, seed, word_before(a)))
+
+    seeds: dict[int, tuple[str, str]] = {}
+    listed: set[int] = set()
+    for m in _SEED.finditer(s):
+        seeds[m.end()] = ("phone", m["phone"].lower()) if m["phone"] else ("id_number", m["id"].lower())
     for rule in (_NUMBER, _CODE):
         for m in rule.finditer(s):
             g, begin = m.group(), m.start()
             if g[0] == "(" and ")" not in g:
                 g, begin = g[1:], begin + 1
-            if rule is _NUMBER and len(g) < 9:
-                continue
             # a number of its own may stand before it
             head, _, tail = g.partition(" ")
             for x, at_ in ((g, begin), (tail, m.end() - len(tail))) if rule is _NUMBER and head.isdigit() and tail else ((g, begin),):
-                if rule is _NUMBER and (x.count(".") == 1 and x.replace(".", "").isdigit() or not 9 <= sum(map(str.isdigit, x)) <= 18):
+                seed = seeds.get(at_)
+                # without a seed word it must be as long as telephone numbers and papers have it
+                if not seed and (not 7 <= sum(map(str.isdigit, x)) <= 18 if rule is _NUMBER else len(x) < 8):
+                    continue
+                if rule is _NUMBER and x.count(".") == 1 and x.replace(".", "").isdigit():
                     continue
-                before = s[max(0, at_ - 48) : at_]
-                seed = "phone" if _PHONE_BEFORE.search(before) else "id_number" if _ID_BEFORE.search(before) else None
-                shape = re.sub(r"\d", "9", re.sub(r" ?(?:ext\.?|x) ?\d+$", "", x))
-                c = _WORD_BEFORE.search(before)
-                out.append((at_, m.end(), "number", re.sub("[A-Z]", "A", shape), None, seed, c[1].lower() if c else ""))
+                listed.add(at_)
+                number(at_, m.end(), x, *(seed or (None, None)))
+    for at_, seed in seeds.items():
+        if at_ not in listed and (m := _FOLLOWS[seed[0]].match(s, at_)):
+            number(at_, m.end(), m.group(), *seed)
     for m in _AT.finditer(s):
         sign = m.group() == "@"
         d = (_DOMAIN if sign else _SPELLED).match(s, m.end())
@@ -172,14 +203,19 @@ def candidates(text: str) -> list[tuple]:
                 seed = "mail" if sign and _MAIL_BEFORE.search(s[max(0, begin - 24) : begin]) else None
                 out.append((begin, d.end(), "mail", local.group().lower(), domain, seed, "@" if sign else "at"))
     for m in _HOUSE.finditer(s):
-        w = m[1].split(" ")
-        for n in range(2, len(w) + 1):
-            kind = _key(w[n - 1])
-            out.append((m.start(), m.start(1) + len(" ".join(w[:n])), "street", " ".join(w[: n - 1]).lower(), kind, "street" if kind in STREET_WORDS else None, None))
+        if _LABEL_BEFORE.search(s[max(0, m.start() - 16) : m.start()]):
+            continue
+        w, before = m[1].split(" "), word_before(m.start())
+        end = m.start(1) + len(w[0])
+        for n in range(1, len(w)):
+            end += 1 + len(w[n])
+            kind = _key(w[n])
+            # the last words of a long name stand for it
+            out.append((m.start(), end, "street", " ".join(w[max(0, n - 3) : n]).lower(), kind, "street" if kind in STREET_WORDS else None, before))
     for rule, marks in _STREETS:
         for m in rule.finditer(s) if any(w in s for w in marks) else ():
             name, kind = (m[1], m[2]) if rule is _GERMAN else (m[2], m[1])
-            out.append((m.start(), m.end(), "street", name.lower().strip(), kind.lower(), "street", None))
+            out.append((m.start(), m.end(), "street", name.lower().strip(), kind.lower(), "street", word_before(m.start())))
     if at is not None and len(at) and out:
         spans = np.array([c[:2] for c in out], np.int64)
         add = np.append(0, saved)[np.searchsorted(at, spans, "right")]
@@ -215,47 +251,69 @@ def list_candidates(df: DataFrame, ident: str = "doc_id", text: str = "text") ->
     return rows.mapInArrow(_list(kind), COLUMNS.format(kind))
 
 
-def name_lexicon(cand: DataFrame, rounds: int = 4, share: float = 0.5, support: int = 2) -> tuple[DataFrame, DataFrame]:
+def settle(known: DataFrame, more: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Adds what ``more`` makes of the known rows until nothing new comes; ``more`` must not forget."""
+    known = cut(known.distinct())
+    size = known.count()
+    while size:
+        known = cut(known.unionByName(more(known)).distinct())
+        before, size = size, known.count()
+        if size == before:
+            break
+    return known
+
+
+def name_lexicon(cand: DataFrame, share: float = 0.5, support: int = 2) -> tuple[DataFrame, DataFrame]:
     """(given names, surnames), one column ``word`` each, from titles and the graph of word pairs."""
     names = cand.where("family = 'name'")
     # the order of words with a comma between them is open, so they teach nothing
     pairs = cut(names.where("seed IS NULL OR seed <> 'comma'").groupBy("k1", "k2").agg(F.max("seed").alias("seed")))
-    surnames = pairs.where("seed IS NOT NULL").select(F.col("k2").alias("word")).distinct()
     inner = pairs.where("NOT startswith(k1, '<')").select("k1", "k2")
-    for _ in range(rounds):
-        known = inner.join(surnames.select(F.col("word").alias("k2"), F.lit(1).alias("hit")), "k2", "left")
-        score = known.groupBy("k1").agg(F.count("*").alias("all"), F.count("hit").alias("hits"))
-        givens = score.where((F.col("hits") >= support) & (F.col("hits") >= share * F.col("all"))).select(F.col("k1").alias("word"))
-        left = inner.join(givens.select(F.col("word").alias("k1"), F.lit(1).alias("hit")), "k1", "left")
-        score = left.groupBy("k2").agg(F.count("*").alias("all"), F.count("hit").alias("hits"))
-        more = score.where((F.col("hits") >= support) & (F.col("hits") >= 0.5 * F.col("all"))).select(F.col("k2").alias("word"))
-        surnames = cut(surnames.unionByName(more).distinct())
-    return cut(givens), surnames
-
-
-def number_shapes(cand: DataFrame, rounds: int = 2, share: float = 0.08, support: int = 2, context_share: float = 0.3) -> DataFrame:
+
+    def scored(known: DataFrame, by: str, of: str) -> DataFrame:
+        """Words in ``of`` that mostly come with known words in ``by``."""
+        mark = inner.join(known.select(F.col("word").alias(by), F.lit(1).alias("hit")), by, "left")
+        score = mark.groupBy(of).agg(F.count("*").alias("all"), F.count("hit").alias("hits"))
+        return score.where((F.col("hits") >= support) & (F.col("hits") >= share * F.col("all"))).select(F.col(of).alias("word"))
+
+    seeds = pairs.where("seed IS NOT NULL").select(F.col("k2").alias("word"))
+    surnames = settle(seeds, lambda known: scored(scored(known, "k2", "k1"), "k1", "k2"))
+    return cut(scored(surnames, "k2", "k1")), surnames
+
+
+#: A number as long as telephone numbers and identity papers are; shorter ones need a better witness than their shape.
+_FULL = "length(regexp_replace(k1, '[^9]', '')) >= 7 OR (length(regexp_replace(k1, '[^9A]', '')) >= 7 AND length(regexp_replace(k1, '[^9]', '')) >= 4)"
+
+
+def number_shapes(cand: DataFrame, share: float = 0.08, support: int = 2, context_share: float = 0.3) -> DataFrame:
     """Accepted shapes ``(k1, kind)``: seeds, and shapes that come in contexts of known ones.
 
     Digits alone say nothing about what they are: they need a seed word of their own each time.
     """
-    numbers = cand.where("family = 'number'")
+    numbers = cand.where("family = 'number'").where(_FULL)
     kinds = ("phone", "id_number")
     edges = numbers.groupBy("k1", "context").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("seed") == k, 1)).alias(k) for k in kinds])
     edges = cut(edges.where(~F.col("k1").rlike("^9+$")))
     shape = edges.groupBy("k1").agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in kinds])
     most = F.when(F.col("phone") > F.col("id_number"), "phone").otherwise("id_number")
     top = F.greatest(*kinds)
-    known = cut(shape.where((top >= support) & (top >= share * F.col("n"))).select("k1", most.alias("kind")))
-    for _ in range(rounds):
+
+    def more(known: DataFrame) -> DataFrame:
         mark = edges.join(known, "k1", "left").where(F.col("context") != "")
         whole = mark.groupBy("context").agg(F.sum("n").alias("all"))
         ctx = mark.where("kind IS NOT NULL").groupBy("context", "kind").agg(F.count("*").alias("shapes"), F.sum("n").alias("n"))
         ctx = ctx.join(whole, "context").where((F.col("shapes") >= support) & (F.col("n") >= context_share * F.col("all")))
         hits = edges.join(known, "k1", "left_anti").join(ctx.select("context", "kind"), "context").groupBy("k1", "kind").agg(F.sum("n").alias("hits"))
-        more = hits.join(shape.select("k1", "n"), "k1").where((F.col("hits") >= support) & (F.col("hits") >= 0.25 * F.col("n")))
-        more = more.groupBy("k1").agg(F.max_by("kind", F.struct("hits", "kind")).alias("kind"))
-        known = cut(known.unionByName(more))
-    return known
+        new = hits.join(shape.select("k1", "n"), "k1").where((F.col("hits") >= support) & (F.col("hits") >= 0.25 * F.col("n")))
+        return new.groupBy("k1").agg(F.max_by("kind", F.struct("hits", "kind")).alias("kind"))
+
+    return settle(shape.where((top >= support) & (top >= share * F.col("n"))).select("k1", most.alias("kind")), more)
+
+
+def seed_words(cand: DataFrame, share: float = 0.5, support: int = 2) -> DataFrame:
+    """Seed words ``(k2)`` that mostly have a full number after them; what else follows them is taken too."""
+    after = cand.where("family = 'number' AND seed IS NOT NULL").groupBy("k2").agg(F.count("*").alias("all"), F.count_if(F.expr(_FULL)).alias("hits"))
+    return after.where((F.col("hits") >= support) & (F.col("hits") >= share * F.col("all"))).select("k2", F.lit(True).alias("good"))
 
 
 def mail_domains(cand: DataFrame, givens: DataFrame, surnames: DataFrame, share: float = 0.1, support: int = 2) -> DataFrame:
@@ -272,13 +330,36 @@ def mail_domains(cand: DataFrame, givens: DataFrame, surnames: DataFrame, share:
     return per.where((F.col("hits") >= F.least(F.lit(support), F.col("all"))) & (F.col("hits") >= share * F.col("all"))).select("k2")
 
 
-def street_words(cand: DataFrame, support: int = 3, share: float = 0.5) -> DataFrame:
-    """Accepted last words of streets ``(k2)``: seeds, and words that follow known street names."""
-    pairs = cut(cand.where("family = 'street'").groupBy("k1", "k2").agg(F.max("seed").alias("seed")))
-    stems = pairs.where("seed IS NOT NULL").select("k1").distinct().withColumn("hit", F.lit(1))
-    score = pairs.join(stems, "k1", "left").groupBy("k2").agg(F.count("*").alias("all"), F.count("hit").alias("hits"), F.max("seed").alias("seed"))
-    good = (F.col("hits") >= support) & (F.col("hits") >= share * F.col("all"))
-    return score.where(F.col("seed").isNotNull() | good).select("k2")
+def street_graph(cand: DataFrame, support: int = 3, share: float = 0.5, doubt: float = 0.25) -> DataFrame:
+    """What is known of streets, ``(node, word)``: ``kind`` (street words), ``stem`` (names), ``context`` (words before),
+    and ``doubtful`` (words before numbers and names that are mostly no streets)."""
+    pairs = cut(cand.where("family = 'street'").groupBy("k1", "k2", "context").agg(F.max("seed").alias("seed")))
+    seeds = pairs.where("seed IS NOT NULL").select(F.lit("kind").alias("node"), F.col("k2").alias("word"))
+    seeds = seeds.unionByName(pairs.where(F.col("context").isin(*ADDRESS_WORDS)).select(F.lit("context").alias("node"), F.col("context").alias("word")))
+
+    def more(known: DataFrame) -> DataFrame:
+        def has(node: str, column: str) -> DataFrame:
+            return known.where(F.col("node") == node).select(F.col("word").alias(column), F.lit(1).alias(f"_{node}"))
+
+        d = pairs.join(has("kind", "k2"), "k2", "left").join(has("stem", "k1"), "k1", "left").join(has("context", "context"), "context", "left")
+        typed = F.when(F.col("_kind") == 1, 1)
+        stems = d.groupBy("k1").agg(
+            F.count_distinct(F.when(typed == 1, F.col("k2"))).alias("kinds"), F.count_distinct(F.when((typed == 1) & (F.col("context") != ""), F.col("context"))).alias("contexts"),
+            F.max(F.when(typed == 1, F.col("_context"))).alias("told"),
+        )
+        stems = stems.where("kinds >= 2 OR contexts >= 2 OR told = 1").select(F.lit("stem").alias("node"), F.col("k1").alias("word"))
+        score = lambda by: d.groupBy(by).agg(F.count_distinct("k1").alias("all"), F.count_distinct(F.when(F.col("_stem") == 1, F.col("k1"))).alias("hits"))
+        good = (F.col("hits") >= support) & (F.col("hits") >= share * F.col("all"))
+        kinds = score("k2").where(good).select(F.lit("kind").alias("node"), F.col("k2").alias("word"))
+        contexts = score("context").where(good & (F.col("context") != "")).select(F.lit("context").alias("node"), F.col("context").alias("word"))
+        return stems.unionByName(kinds).unionByName(contexts)
+
+    known = settle(seeds, more)
+    stems = known.where("node = 'stem'").select(F.col("word").alias("k1"), F.lit(1).alias("_stem"))
+    first = F.element_at(F.split("k1", " "), 1).alias("first")
+    said = pairs.join(stems, "k1", "left").groupBy("context", first).agg(F.max("_stem").alias("hit")).groupBy("context").agg(F.count("*").alias("all"), F.count("hit").alias("hits"))
+    bad = said.where((F.col("all") >= support) & (F.col("hits") < doubt * F.col("all"))).select(F.lit("doubtful").alias("node"), F.col("context").alias("word"))
+    return known.unionByName(bad)
 
 
 def find(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -290,10 +371,17 @@ def find(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     marked = names.where("startswith(k1, '<')")
     full = names.where("NOT startswith(k1, '<')").join(givens.withColumnRenamed("word", "k1"), "k1", "left_semi")
     people = marked.select(*pos).unionByName(full.select(*pos)).withColumn("kind", F.lit("person_name"))
-    numbers = cand.where("family = 'number'").join(number_shapes(cand), "k1", "left")
-    numbers = numbers.withColumn("kind", F.coalesce("kind", "seed")).where("kind IS NOT NULL").select(*pos, "kind")
+    numbers = cand.where("family = 'number'").join(number_shapes(cand), "k1", "left").join(seed_words(cand), "k2", "left")
+    # the word before this very number says more than what its shape mostly is
+    told = F.when(F.expr(_FULL) | F.col("good"), F.col("seed"))
+    numbers = numbers.withColumn("kind", F.coalesce(told, "kind")).where("kind IS NOT NULL").select(*pos, "kind")
     mails = cand.where("family = 'mail'").join(mail_domains(cand, givens, surnames), "k2", "left_semi").select(*pos, F.lit("email").alias("kind"))
-    streets = cand.where("family = 'street'").join(street_words(cand), "k2", "left_semi").select(*pos, F.lit("street_address").alias("kind"))
+    graph = street_graph(cand)
+    node = lambda n, c: graph.where(F.col("node") == n).select(F.col("word").alias(c))
+    streets = cand.where("family = 'street'").join(node("kind", "k2"), "k2", "left_semi")
+    streets = streets.join(node("stem", "k1").withColumn("_stem", F.lit(1)), "k1", "left").join(node("doubtful", "context").withColumn("_bad", F.lit(1)), "context", "left")
+    # a name that nothing else speaks for is taken where nothing speaks against it
+    streets = streets.where("_stem IS NOT NULL OR _bad IS NULL").select(*pos, F.lit("street_address").alias("kind"))
     out = people.unionByName(numbers).unionByName(mails).unionByName(streets)
     return out.withColumnRenamed("doc_id", ident)
 

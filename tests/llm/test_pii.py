@@ -114,3 +114,46 @@ def test_redaction_without_unique_identifiers(spark):
     got = pii.redact(spark.createDataFrame([*zip(ids, texts), (None, texts[0])], "doc_id string, text string")).collect()
     want = [(i, unique[k]) for i, k in zip(ids, "0123")] + [(None, unique["0"])]
     assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "span"),
+    [
+        ("tel 555-1234", "phone", "555-1234"), ("phone 555 0199", "phone", "555 0199"), ("call me 12345678", "phone", "12345678"),
+        ("DNI 12345678Z", "id_number", "12345678Z"), ("passport no C01X00T47", "id_number", "C01X00T47"), ("Ausweisnr. L01X00T47", "id_number", "L01X00T47"),
+        ("at 12 Old Oak Tree Hill Lane", "street_address", "12 Old Oak Tree Hill Lane"), ("12 rue Victor Hugo", "street_address", "12 rue Victor Hugo"),
+        ("Calle de los Tres Reyes Magos 15", "street_address", "Calle de los Tres Reyes Magos 15"),
+        ("Figure 3 Supreme Court ruled", None, None), ("see cell 237", None, None), ("call 555 times", None, None),
+    ],
+)
+def test_single_texts(spark, text, kind, span):
+    got = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(r.kind, text[r.first : r.last]) for r in got] == ([(kind, span)] if kind else [])
+
+
+def test_the_word_before_a_number_goes_before_its_shape(spark):
+    rows = [(i, f"phone 303-444-5{i:03d}") for i in range(9)] + [(100, "passport no 303-444-5555"), (101, "303-444-5556")]
+    got = {r.doc_id: r.kind for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{i: "phone" for i in range(9)}, 100: "id_number", 101: "phone"}
+
+
+def test_short_numbers_after_words_that_mostly_have_full_ones(spark):
+    rows = [(i, f"fax 303-444-5{i:03d}") for i in range(3)] + [(10, "fax 4711"), *[(20 + i, f"see cell {i + 7}") for i in range(5)], (30, "cell 202-555-0144")]
+    got = {r.doc_id for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0, 1, 2, 10, 30}
+
+
+def test_rounds_go_on_until_nothing_is_new(spark):
+    # a chain in which each step needs the one before: the given names of step i come with the surnames of i and i + 1
+    word = lambda kind, i, j: f"{kind}{chr(97 + i)}{'uv'[j]}"
+    links = [(word("Giv", i, j), word("Sur", i + k, n)) for i in range(7) for j in range(2) for k in range(2) for n in range(2)]
+    rows = [(0, "Mr. Surau said"), (1, "Mr. Surav said")] + [(10 + i, f"by {g} {s}") for i, (g, s) in enumerate(links)]
+    got = {r.doc_id for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).where("kind = 'person_name'").collect()}
+    assert got == {r[0] for r in rows}
+
+
+def test_names_of_streets_need_a_witness_after_doubtful_words(spark):
+    rows = [(i, f"nearly {i + 3} {w} Of Grain") for i, w in enumerate(["Barrels", "Tonnes", "Litres", "Crates", "Spoons", "Grams"])]
+    rows += [(20, "nearly 3 Supreme Court rulings"), (21, "lives at 7 Harrow Street"), (22, "post to 9 Harrow Lane"), (23, "nearly 11 Harrow Close"), (24, "sent to 4 Elm Street"), (25, "or 4 Elm Close"), (26, "he met 5 Fern Road"), (27, "by 5 Fern Close"), (28, "at 5 Fern Lane"), (29, "at 4 Elm Road")]
+    got = {r.doc_id for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).where("kind = 'street_address'").collect()}
+    assert got == set(range(21, 30))
