@@ -19,11 +19,13 @@ for each identifier; other columns are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +36,8 @@ WINDOW = 12
 SLICE, SHARD = 1 << 21, 400_000
 #: Every so many suffix positions one is kept.
 SAMPLE = 32
-#: Phrases searched in one pass over the corpus, which bounds what is sent to the tasks.
-PHRASES = 500_000
+#: Phrases of one block, which bounds what is sent to the tasks at a time, and shards that are asked together.
+PHRASES, HELD = 500_000, 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.zeros(256, np.uint8)
 for _c in range(256):
@@ -198,21 +200,27 @@ class Phrases:
         self.hashes = words(flat, np.zeros(0, np.int64))[0].reshape(-1, WINDOW) if found else np.zeros((0, WINDOW), np.uint64)
 
 
-def search_shard(h: np.ndarray, group: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase, first word) of every occurrence among the words ``h``; none spans two groups."""
-    uniq, ids = np.unique(h, return_inverse=True)
-    at = np.searchsorted(uniq, phrases.hashes)
-    known = (uniq[np.minimum(at, len(uniq) - 1)] == phrases.hashes).all(axis=1)
-    which = np.flatnonzero(known)
-    shift = np.append(0, np.cumsum(group[1:] != group[:-1]))  # separators before each word
-    seq = np.ones(len(h) + int(shift[-1]), np.int64)
-    where = np.arange(len(h)) + shift
-    seq[where] = ids + 2
-    index = FMIndex(seq)
-    live, lo, hi = index.search(at[which] + 2)
-    many = hi - lo
-    rows = np.repeat(lo - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(int(many.sum()))
-    return np.repeat(which[live], many), np.searchsorted(where, index.locate(rows))
+class Shard:
+    """The words of a shard under one index, made once and asked for any number of blocks of phrases."""
+
+    def __init__(self, doc: np.ndarray, h: np.ndarray, begin: np.ndarray, end: np.ndarray):
+        self.doc, self.begin, self.end = doc, begin, end
+        self.uniq, ids = np.unique(h, return_inverse=True)
+        shift = np.append(0, np.cumsum(doc[1:] != doc[:-1]))  # separators before each word
+        seq = np.ones(len(h) + int(shift[-1]), np.int64)
+        self.where = np.arange(len(h)) + shift
+        seq[self.where] = ids + 2
+        self.index = FMIndex(seq)
+
+    def search(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+        """(phrase, first word) of every occurrence; none spans two texts."""
+        at = np.searchsorted(self.uniq, phrases.hashes)
+        known = (self.uniq[np.minimum(at, len(self.uniq) - 1)] == phrases.hashes).all(axis=1)
+        which = np.flatnonzero(known)
+        live, lo, hi = self.index.search(at[which] + 2)
+        many = hi - lo
+        rows = np.repeat(lo - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(int(many.sum()))
+        return np.repeat(which[live], many), np.searchsorted(self.where, self.index.locate(rows))
 
 
 def chunks(data: np.ndarray, off: np.ndarray, size: int = SLICE) -> Iterator[tuple[int, int]]:
@@ -236,22 +244,32 @@ def chunks(data: np.ndarray, off: np.ndarray, size: int = SLICE) -> Iterator[tup
         pos = q
 
 
-def find_spans(data: np.ndarray, off: np.ndarray, phrases: Phrases, shard: int = SHARD) -> list[tuple[int, int, int, int]]:
+def find_spans(data: np.ndarray, off: np.ndarray, blocks: Callable[[], Iterable[Phrases]], shard: int = SHARD) -> list[tuple[int, int, int, int]]:
     """(text number, item, first byte, end byte) of the merged spans of a batch of texts.
 
-    ``data`` holds the texts one after another, ``off`` where each begins and the last ends.
+    ``data`` holds the texts one after another, ``off`` where each begins and the last ends;
+    ``blocks`` hands out the blocks of phrases, once for every ``HELD`` shards.
     """
     spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
     parts: list[tuple[np.ndarray, ...]] = []
+    held: list[Shard] = []
+
+    def ask() -> None:
+        for phrases in blocks() if held else ():
+            for x in held:
+                phrase, first = x.search(phrases)
+                for p, f in zip(phrase.tolist(), first.tolist(), strict=True):
+                    a, b = int(x.begin[f]), int(x.end[f + WINDOW - 1])
+                    if " ".join(plain_words(data[a:b].tobytes().decode("latin-1"))).encode() == phrases.text[p]:
+                        for item in phrases.items[p].tolist():
+                            spans.setdefault((int(x.doc[f]), item), []).append((a, b))
+        held.clear()
 
     def flush(last: bool) -> list[tuple[np.ndarray, ...]]:
         doc, h, begin, end = (np.concatenate(x) for x in zip(*parts, strict=True))
-        phrase, first = search_shard(h, doc, phrases)
-        for p, f in zip(phrase.tolist(), first.tolist(), strict=True):
-            a, b = int(begin[f]), int(end[f + WINDOW - 1])
-            if " ".join(plain_words(data[a:b].tobytes().decode("latin-1"))).encode() == phrases.text[p]:
-                for item in phrases.items[p].tolist():
-                    spans.setdefault((int(doc[f]), item), []).append((a, b))
+        held.append(Shard(doc, h, begin, end))
+        if last or len(held) >= HELD:
+            ask()
         if last:
             return []
         keep = slice(max(len(h) - WINDOW + 1, int(np.searchsorted(doc, doc[-1]))), None)
@@ -269,6 +287,7 @@ def find_spans(data: np.ndarray, off: np.ndarray, phrases: Phrases, shard: int =
             size = sum(len(x[0]) for x in parts)
     if parts:
         flush(last=True)
+    ask()
     out = []
     for (doc, item), found in spans.items():
         found.sort()
@@ -281,13 +300,19 @@ def find_spans(data: np.ndarray, off: np.ndarray, phrases: Phrases, shard: int =
     return out
 
 
-def _search(phrases: Phrases, shard: int):  # noqa: ANN202
+def _search(blocks: list[Broadcast], shard: int):  # noqa: ANN202
+    def each() -> Iterator[Phrases]:
+        for b in blocks:
+            yield b.value
+            if len(blocks) > 1:  # one block at a time in the worker; the next use reads it again
+                b.__dict__.pop("_value", None)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(1).fill_null("").cast(pa.large_string())
             off = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8)
             data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
-            got = find_spans(data, off, phrases, shard) if len(text) and off[-1] > off[0] else []
+            got = find_spans(data, off, each, shard) if len(text) and off[-1] > off[0] else []
             doc, item, a, b = zip(*got, strict=True) if got else ([], [], [], [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(doc, pa.int64())), pa.array(item, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
@@ -299,28 +324,29 @@ def _search(phrases: Phrases, shard: int):  # noqa: ANN202
 
 def leaked_spans(
     docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", prompt: str = "prompt",
-    shard: int = SHARD, per_pass: int = PHRASES,
+    shard: int = SHARD, per_block: int = PHRASES,
 ) -> DataFrame:
     """``(doc_id, item_id, first_byte, end_byte)``: merged spans, in bytes of the UTF-8 text.
 
-    Items are searched in blocks of at most ``per_pass`` phrases; each block is one more pass.
+    One pass: the index of a shard is made once and all items are searched in it. Items go to the
+    tasks as broadcast blocks of at most ``per_block`` phrases. The driver and a worker hold one
+    block at a time in memory; blocks lie in files.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     schema = f"doc_id {kind}, item_id long, first_byte long, end_byte long"
-    out, block, size = None, [], 0
+    sc, blocks, block, size = docs.sparkSession.sparkContext, [], [], 0
     phrase_count = F.greatest(F.size(F.split("p", "[^A-Za-z0-9]+")), F.lit(0))
     listed = items.select(F.col(item).cast("long").alias("i"), F.col(prompt).alias("p")).where("i IS NOT NULL AND p IS NOT NULL")
-    for r in [*listed.withColumn("n", phrase_count).toLocalIterator(), None]:
-        if block and (r is None or size + r["n"] > per_pass):
-            found = rows.mapInArrow(_search(Phrases(block), shard), schema)
-            out = found if out is None else out.unionByName(found)
+    for r in [None] if listed.isEmpty() else chain(listed.withColumn("n", phrase_count).toLocalIterator(), [None]):
+        if block and (r is None or size + r["n"] > per_block):
+            blocks.append(sc.broadcast(Phrases(block)))
             block, size = [], 0
         if r is not None:
             block.append((r["i"], r["p"]))
             size += r["n"]
-    return rows.sparkSession.createDataFrame([], schema) if out is None else out.distinct()
+    return rows.mapInArrow(_search(blocks, shard), schema).distinct() if blocks else rows.sparkSession.createDataFrame([], schema)
 
 
 def leaked(docs: DataFrame, items: DataFrame, **names: str) -> DataFrame:

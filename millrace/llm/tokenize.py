@@ -4,8 +4,8 @@ Texts up to ``LONG`` characters are encoded as they are, in Arrow batches. Longe
 taken apart, encoded in parallel and put together again:
 
 * They are cut where the tokenizer's own pattern must cut: between character classes that no
-  piece of the pattern can span, whatever follows. Only ASCII and characters whose class has
-  not changed since Unicode 3.2 count; next to any other character nothing is cut.
+  piece of the pattern can span, whatever follows. The class of a character is what the
+  tokenizer's own engine says of it, so it does not matter which version of Unicode that knows.
 * A run that the pattern keeps in one piece (a long line of signs, letters without spaces) has
   no such place. It is halved until the halves are short, the halves are encoded in parallel,
   and neighbours are joined pairwise, as a tree: a window of tokens around the join is encoded
@@ -21,7 +21,6 @@ other columns are not read.
 from __future__ import annotations
 
 import base64
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,7 +37,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LONG, PART = 16_384, 8_192
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 TEXT, HEAD, TAIL = 0, 1, 2  # a part to be encoded as text; the first and the later halves of one piece
-OTHER, LETTER, DIGIT, SIGN, SPACE, QUOTE = range(6)
+LETTER, DIGIT, SIGN, SPACE, QUOTE = range(5)
 
 
 @lru_cache(maxsize=4)
@@ -60,15 +59,21 @@ def encode_piece(enc, raw: bytes) -> list[int]:  # noqa: ANN001
     return enc._core_bpe.encode_single_piece(raw)
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=1)
+def _probes() -> list[tuple[int, object]]:
+    """One encoder for each class, which encodes a character if the tokenizer's own engine counts it to the class."""
+    import tiktoken
+
+    single = {bytes([i]): i for i in range(256)}
+    return [(k, tiktoken.Encoding(f"class{k}", pat_str=p, mergeable_ranks=single, special_tokens={})) for k, p in ((SPACE, r"\s"), (LETTER, r"\p{L}"), (DIGIT, r"\p{N}"))]
+
+
+@lru_cache(maxsize=200_000)
 def _kind(code: int) -> int:
     c = chr(code)
-    if code < 128:
-        return QUOTE if c == "'" else SPACE if c in " \t\n\r\v\f" else LETTER if c.isalpha() else DIGIT if c.isdigit() else SIGN if code > 32 and code < 127 else OTHER
-    new, old = unicodedata.category(c)[0], unicodedata.ucd_3_2_0.category(c)[0]
-    if new != old or c.isspace():
-        return OTHER
-    return {"L": LETTER, "N": DIGIT, "P": SIGN, "S": SIGN}.get(new, OTHER)
+    if c == "'":
+        return QUOTE
+    return next((k for k, probe in _probes() if probe.encode_ordinary(c)), SIGN)
 
 
 def kinds(text: str) -> np.ndarray:

@@ -60,10 +60,11 @@ def test_spans_in_shards_and_slices_of_any_size(seed, monkeypatch):
     want = brute([(i, t) for i, (_, t) in enumerate(docs)], items)
     raw = [(t or "").encode() for _, t in docs]
     data, off = np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])).astype(np.int64)
-    phrases = lk.Phrases([x for x in items if x[0] is not None])
+    named = [x for x in items if x[0] is not None]
+    blocks = [lk.Phrases(named[:5]), lk.Phrases(named[5:])]
     for size, shard in ((1 << 21, 10**6), (100, 50), (17, 13), (999, 100)):
         monkeypatch.setattr(lk.chunks, "__defaults__", (size,))
-        got = lk.find_spans(data, off, phrases, shard)
+        got = lk.find_spans(data, off, lambda: blocks, shard)
         assert {(d, i) for d, i, _, _ in got} == want
         for d, _, a, b in got:
             assert len(re.findall("[A-Za-z0-9]+", raw[d][a:b].decode("latin-1"))) >= 12
@@ -75,6 +76,19 @@ def test_leaked(spark):
     ev = spark.createDataFrame([(*r, "s") for r in items], "item_id long, prompt string, suite string")
     want = brute(docs, items)
     assert {tuple(r) for r in lk.leaked(df, ev).collect()} == want
-    assert {tuple(r)[:2] for r in lk.leaked_spans(df, ev, shard=64, per_pass=40).collect()} == want
+    assert {tuple(r)[:2] for r in lk.leaked_spans(df, ev, shard=64, per_block=40).collect()} == want
     assert lk.leaked(df.limit(0), ev).count() == 0
     assert lk.leaked(df, ev.limit(0)).count() == 0
+
+
+def test_one_index_a_shard_for_all_blocks(monkeypatch):
+    docs, items = corpus(random.Random(4))
+    raw = [(t or "").encode() for _, t in docs]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])).astype(np.int64)
+    blocks, made, plain = [lk.Phrases([x]) for x in items if x[0] is not None], [], lk.FMIndex
+    monkeypatch.setattr(lk.chunks, "__defaults__", (300,))
+    monkeypatch.setattr(lk, "FMIndex", lambda seq: (made.append(1), plain(seq))[1])
+    lk.find_spans(data, off, lambda: blocks, 500)
+    n, made[:] = len(made), []
+    lk.find_spans(data, off, lambda: blocks[:1], 500)
+    assert n == len(made) > 2 and len(blocks) > 10

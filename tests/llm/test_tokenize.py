@@ -46,10 +46,17 @@ def test_parts_join_to_the_encoding_of_the_whole(seed):
 
 def test_long_unsplit_texts():
     enc = t.encoder(t.VOCABULARY)
-    for s in ("a" * 50_000, "=" * 30_001, " " * 20_000, "x " + "\n" * 20_000 + "y", "ab1/" * 9_000, "漢字" * 9_000):
+    for s in ("a" * 50_000, "=" * 30_001, " " * 20_000, "x " + "\n" * 20_000 + "y", "ab1/" * 9_000, "漢字" * 9_000, "😀" * 10_000, "\U0001f9ea\U0001fae8" * 5_000,
+              "\u1c89" * 9_000, "\U00010d50\U0001e6c0" * 5_000, "\u3000\xa0" * 9_000, "e\u0301" * 9_000, "\x1b\x00\x85" * 5_000, "x\u200b" * 5_000):
         assert whole(s, 1_000) == t.encode(enc, s).tolist()
 
 
+@pytest.mark.parametrize("text", ["😀" * 10_000, "\U0001fae8" * 9_000, "\u1c89" * 9_000, "\U0001df00" * 9_000, "\u3000" * 9_000])
+def test_runs_of_newer_characters_are_halved(text):
+    parts = t.take_apart(text, 1_000)
+    assert max(len(p) for _, p in parts) <= 1_000 and "".join(p for _, p in parts) == text
+
+
 def test_same_ids_as_the_other_library():
     tokenizers = pytest.importorskip("tokenizers")
     other = tokenizers.Tokenizer.from_file(t.VOCABULARY.replace(".tiktoken", ".json"))
