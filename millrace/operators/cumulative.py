@@ -38,15 +38,15 @@ def same(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
     return cond
 
 
-def cumulate(state: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """``groups + (value, cnt, prior, total)``: counts below each value, and of the whole group.
+def cumulate(state: DataFrame, groups: Sequence[str], value: str, extra: Sequence[str] = ()) -> DataFrame:
+    """``groups + (value, cnt, extra..., prior, total)``: counts below each value, and of the whole group.
 
     The range-sorted state is written to the shared folder once, so the partition numbers used
     for the offsets and for the running sums are the same ones, also after a lost executor.
     """
     groups = list(groups)
     ranged = cut(
-        state.select(*groups, value, "cnt")
+        state.select(*groups, value, "cnt", *extra)
         .repartitionByRange(*[F.col(c) for c in [*groups, value]])
         .withColumn("_pid", F.spark_partition_id())
     )
@@ -65,7 +65,7 @@ def cumulate(state: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     for i, c in enumerate(groups):
         cond = cond & F.col(c).eqNullSafe(F.col(f"_g{i}"))
     return run.join(parts, cond).select(
-        *groups, value, "cnt", (F.col("_off") + F.col("_run") - F.col("cnt")).alias("prior"), "total"
+        *groups, value, "cnt", *extra, (F.col("_off") + F.col("_run") - F.col("cnt")).alias("prior"), "total"
     )
 
 

@@ -18,9 +18,11 @@ APP_FIELDS = [spikes.Field("value")]
 
 # 2: late and out-of-order events
 def p2_method(spark: SparkSession, d: str) -> DataFrame:
-    rows = late.mark_late(load(spark, d, "app_top").select("partition", "offset", "ts", *APP_SOURCE, "value"), behind="behind").where("NOT is_late")
-    in_order, out_of_order = (late.period_state(rows.where(c), APP_SOURCE, "value") for c in ("NOT behind", "behind"))
-    return late.period_totals(late.correct(in_order, out_of_order, APP_SOURCE, "value"), APP_SOURCE, "value")
+    app = load(spark, d, "app_top").select("partition", "offset", "ts", *APP_SOURCE, "value")
+    crowded = late.crowded_periods(app, APP_SOURCE)
+    rows = late.mark_late(app, behind="behind").where("NOT is_late")
+    in_order, out_of_order = (late.period_state(rows.where(c), APP_SOURCE, "value", crowded=crowded) for c in ("NOT behind", "behind"))
+    return late.period_totals(late.correct(in_order, out_of_order, APP_SOURCE, "value"), APP_SOURCE, "value", crowded)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,9 +40,9 @@ R.add(
     p2_method,
     _LATE_SQL
     + """, a AS (SELECT node, application, unit, date_trunc('hour', ts)::timestamp AS period, value FROM l WHERE NOT is_late AND ts IS NOT NULL)
-SELECT node, application, unit, period, count(value) AS n_records, count(DISTINCT value) AS n_distinct, sum(value) AS total,
+SELECT node, application, unit, period, count(*) AS n_records, count(DISTINCT value) AS n_distinct, sum(value) AS total,
        min(value) AS min_value, max(value) AS max_value, quantile_disc(value, 0.5) AS median
-FROM a GROUP BY ALL HAVING count(value) > 0""",
+FROM a GROUP BY ALL""",
 )
 R.add("p2_found", p2_found, _LATE_SQL + 'SELECT "partition" AS part_no, "offset" AS msg_offset FROM l WHERE is_late')
 

@@ -59,9 +59,15 @@ def test_late_marks_and_corrected_totals(spark):
     a = {(r.src, r.period): r for r in late.period_totals(state, ["src"], "value").collect()}
     b = {(r.src, r.period): r for r in late.period_totals(late.correct(half, rest, ["src"], "value"), ["src"], "value").collect()}
     assert a == b
+    crowded = late.crowded_periods(df, ["src"], crowd=20)
+    assert crowded.count() > 0 and late.crowded_periods(df, ["src"]) is None
+    half, rest = (late.period_state(marked.where(f"offset % 2 = {k}"), ["src"], "value", crowded=crowded) for k in (0, 1))
+    c = {(r.src, r.period): r for r in late.period_totals(late.correct(half, rest, ["src"], "value"), ["src"], "value", crowded).collect()}
+    assert c == a and len(crowded.collect()) < len(a)
     for (s, h), r in a.items():
-        v = [x[4] for k, x in one.items() if x[2] and not got[k] and x[3] == s and x[4] is not None and x[2].replace(minute=0, second=0) == h]
-        assert (r.n_records, r.n_distinct, r.total, r.median) == (len(v), len(set(v)), sum(v), statistics.median_low(v))
+        whole = [x[4] for k, x in one.items() if x[2] and not got[k] and x[3] == s and x[2].replace(minute=0, second=0) == h]
+        v = [x for x in whole if x is not None]
+        assert (r.n_records, r.n_distinct, r.total, r.median) == (len(whole), len(set(v)), sum(v) if v else None, statistics.median_low(v) if v else None)
 
 
 def test_late_on_an_empty_table(spark):
