@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from millrace.common import cut, shared_dir
 
+#: Observed cells of one block of the factorisation.
+CELLS = 250_000
 OBSERVED, FILLED, UNSUPPORTED = "observed", "filled", "unsupported"
 
 
@@ -44,7 +46,6 @@ def day_grid(slots: DataFrame, slot_seconds: int = 600) -> DataFrame:
 
 def als_fill(
     cells: DataFrame,
-    value: str,
     rank: int = 4,
     reg: float = 0.05,
     iterations: int = 6,
@@ -52,49 +53,55 @@ def als_fill(
     min_slot: int = 2,
     slot_seconds: int = 600,
 ) -> DataFrame:
-    """Estimates of ``value`` for the cells where it is null: ``(_sid, slot_epoch, estimate)``.
+    """Estimates for the cells without a value: ``(_row, slot_epoch, estimate)``.
 
-    ``cells`` has ``_sid`` (dense source number), ``slot_epoch`` and ``value``.
+    ``cells`` has ``_row`` (a number for each source and field), ``_f`` (the field), ``slot_epoch`` and ``_v``.
+    All fields are rows of one matrix, so one factorisation serves them all.
     """
-    known = cells.where(F.col(value).isNotNull()).select("_sid", "slot_epoch", F.signum(value).alias("_s"), F.abs(value).alias("_a"))
-    known = known.select("_sid", "slot_epoch", (F.col("_s") * F.log1p("_a")).alias("_y"))
-    centre = known.groupBy("_sid").agg(F.avg("_y").alias("_mean"), F.count("*").alias("_n"))
-    slot_no = (F.col("slot_epoch") / slot_seconds).cast("int")
-    train = known.join(centre, "_sid").select("_sid", slot_no.alias("_slot"), (F.col("_y") - F.col("_mean")).cast("float").alias("_r"))
-    train = cut(train)
-    want = cells.where(F.col(value).isNull()).withColumn("_slot", slot_no)
-    if train.isEmpty():
-        return want.select("_sid", "slot_epoch", F.lit(None).cast("double").alias("estimate"))
-    parts = max(2, min(64, train.sparkSession.sparkContext.defaultParallelism))
-    als = ALS(rank=rank, maxIter=iterations, regParam=reg, userCol="_sid", itemCol="_slot", ratingCol="_r",
-              coldStartStrategy="nan", checkpointInterval=5, numUserBlocks=parts, numItemBlocks=parts, seed=7)
+    slot_no = (F.col("slot_epoch") / slot_seconds).cast("int").alias("_slot")
+    known = cells.where("_v IS NOT NULL").select("_row", "_f", slot_no, (F.signum("_v") * F.log1p(F.abs("_v"))).alias("_y"))
+    centre = cut(known.groupBy("_row").agg(F.avg("_y").alias("_mean"), F.count("*").alias("_n")))
+    train = cut(known.join(centre, "_row").select("_row", "_f", "_slot", (F.col("_y") - F.col("_mean")).cast("float").alias("_r")))
+    want = cells.where("_v IS NULL").select("_row", "_f", "slot_epoch", slot_no)
+    n = train.count()
+    if not n:
+        return want.select("_row", "slot_epoch", F.lit(None).cast("double").alias("estimate"))
+    blocks = max(2, -(-n // CELLS))
+    als = ALS(rank=rank, maxIter=iterations, regParam=reg, userCol="_row", itemCol="_slot", ratingCol="_r",
+              coldStartStrategy="nan", checkpointInterval=5, numUserBlocks=blocks, numItemBlocks=blocks, seed=7)
     guess = als.fit(train).transform(want)
-    support = train.groupBy("_slot").agg(F.count("*").alias("_m"))
+    support = train.groupBy("_f", "_slot").agg(F.count("*").alias("_m"))
     back = F.col("_mean") + F.col("prediction")
     est = F.signum(back) * F.expm1(F.abs(back))
     fine = (F.col("_n") >= min_source) & (F.col("_m") >= min_slot) & ~F.isnan("prediction")
-    return (
-        guess.join(centre, "_sid", "left")
-        .join(support, "_slot", "left")
-        .select("_sid", "slot_epoch", F.when(fine, est).alias("estimate"))
-    )
+    return guess.join(centre, "_row", "left").join(support, ["_f", "_slot"], "left").select("_row", "slot_epoch", F.when(fine, est).alias("estimate"))
 
 
-def regular_series(
-    df: DataFrame, source: str, ts: str, values: Sequence[str], slot_seconds: int = 600, **als: float
-) -> DataFrame:
-    """``(source, slot_epoch, n_readings, values..., status)``: the filled grid of every source and day."""
+def _grid(df: DataFrame, source: str, ts: str, values: Sequence[str], slot_seconds: int) -> DataFrame:
+    """Every cell of the days' grids with its source number ``_sid`` and, where observed, its averages."""
     spark = df.sparkSession
     shared_dir(spark)
     slots = cut(slot_averages(df, source, ts, values, slot_seconds))
     names = slots.select("source").distinct().rdd.map(lambda r: r[0]).zipWithIndex()
     ids = cut(spark.createDataFrame(names, "source string, _sid long").withColumn("_sid", F.col("_sid").cast("int")))
-    grid = day_grid(slots, slot_seconds).join(slots, ["source", "slot_epoch"], "left").join(ids, "source")
-    grid = cut(grid)
-    out = grid
-    for v in values:
-        est = als_fill(grid.select("_sid", "slot_epoch", v), v, slot_seconds=slot_seconds, **als)
-        out = out.join(est.withColumnRenamed("estimate", f"_e_{v}"), ["_sid", "slot_epoch"], "left")
+    return cut(day_grid(slots, slot_seconds).join(slots, ["source", "slot_epoch"], "left").join(ids, "source"))
+
+
+def _long(grid: DataFrame, values: Sequence[str]) -> DataFrame:
+    fields = F.array(*[F.struct(F.lit(i).alias("_f"), F.col(v).alias("_v")) for i, v in enumerate(values)])
+    return grid.select("_sid", "slot_epoch", F.inline(fields)).withColumn("_row", (F.col("_sid") * len(values) + F.col("_f")).cast("int"))
+
+
+def regular_series(
+    df: DataFrame, source: str, ts: str, values: Sequence[str], slot_seconds: int = 600, **als: float
+) -> DataFrame:
+    """``(source, slot_epoch, n_readings, values..., status)``: the filled grid of every source and day."""
+    grid = _grid(df, source, ts, values, slot_seconds)
+    est = als_fill(_long(grid, values), slot_seconds=slot_seconds, **als)
+    est = est.groupBy(F.floor(F.col("_row") / len(values)).cast("int").alias("_sid"), "slot_epoch").agg(
+        *[F.max(F.when(F.col("_row") % len(values) == i, F.col("estimate"))).alias(f"_e_{v}") for i, v in enumerate(values)]
+    )
+    out = grid.join(est, ["_sid", "slot_epoch"], "left")
     seen = F.col("n_readings").isNotNull()
     held = F.lit(True)
     for v in values:
@@ -104,3 +111,20 @@ def regular_series(
         "source", "slot_epoch", F.coalesce("n_readings", F.lit(0)).alias("n_readings"),
         *[F.coalesce(F.col(v), F.col(f"_e_{v}")).alias(v) for v in values], status.alias("status"),
     )
+
+
+def fill_error(df: DataFrame, source: str, ts: str, values: Sequence[str], hide: int = 10, slot_seconds: int = 600, **als: float) -> DataFrame:
+    """``(field, n_hidden, n_filled, error, error_of_mean)``: one in ``hide`` observed cells of each field is hidden and filled.
+
+    Errors are root mean squares on the log scale, of the factors and of the mean of the source's other cells.
+    """
+    long = _long(_grid(df, source, ts, values, slot_seconds), values).where("_v IS NOT NULL").withColumn("_hide", F.pmod(F.xxhash64("_row", "slot_epoch"), F.lit(hide)) == 0)
+    est = als_fill(long.withColumn("_v", F.when(~F.col("_hide"), F.col("_v"))), slot_seconds=slot_seconds, **als)
+    log = lambda c: F.signum(c) * F.log1p(F.abs(c))
+    mean = long.where("NOT _hide").groupBy("_row").agg(F.avg(log(F.col("_v"))).alias("_mean"))
+    both = long.where("_hide").join(est, ["_row", "slot_epoch"]).join(mean, "_row", "left")
+    off = lambda a: F.sqrt(F.avg(F.when(F.col("estimate").isNotNull(), F.pow(a - log(F.col("_v")), 2))))
+    names = F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_f") + 1)
+    return both.groupBy(names.alias("field")).agg(
+        F.count("*").alias("n_hidden"), F.count("estimate").alias("n_filled"), off(log(F.col("estimate"))).alias("error"), off(F.col("_mean")).alias("error_of_mean")
+    )

@@ -48,15 +48,30 @@ R.add("p2_found", p2_found, _LATE_SQL + 'SELECT "partition" AS part_no, "offset"
 
 
 # 3: irregular readings onto a regular grid
-def p3_grid(spark: SparkSession, d: str) -> DataFrame:
-    prc = load(spark, d, "prc").select("node", "ts", "memory", "reductions")
-    return grid.regular_series(prc, "node", "ts", ["memory", "reductions"]).withColumnRenamed("source", "node")
+PRC_VALUES = ["memory", "reductions"]
+
+
+def p3_method(spark: SparkSession, d: str) -> DataFrame:
+    prc = load(spark, d, "prc").select("node", "ts", *PRC_VALUES)
+    return grid.regular_series(prc, "node", "ts", PRC_VALUES).withColumnRenamed("source", "node")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return p3_grid(spark, d).where(F.col("status") != grid.OBSERVED).select("node", "slot_epoch")
+    return p3_method(spark, d).where(F.col("status") != grid.OBSERVED).select("node", "slot_epoch")
+
+
+def p3_marks(spark: SparkSession, d: str) -> DataFrame:
+    """All of the filled series but the estimates, which SQL cannot make."""
+    known = F.col("status") == grid.OBSERVED
+    return p3_method(spark, d).select("node", "slot_epoch", "n_readings", "status", *[F.round(F.when(known, F.col(v)), 3).alias(v) for v in PRC_VALUES])
+
 
+def p3_error(spark: SparkSession, d: str) -> DataFrame:
+    prc = load(spark, d, "prc").select("node", "ts", *PRC_VALUES)
+    return grid.fill_error(prc, "node", "ts", PRC_VALUES)
 
+
+R.add("p3_method", p3_method)
 R.add(
     "p3_found",
     p3_found,
@@ -66,7 +81,21 @@ b AS (SELECT node, slot // 86400 AS day, min(slot) AS a, max(slot) AS z FROM s G
 g AS (SELECT node, unnest(range(a, z + 1, 600)) AS slot_epoch FROM b)
 SELECT node, slot_epoch FROM g WHERE (node, slot_epoch) NOT IN (SELECT node, slot FROM s)""",
 )
-R.add("p3_grid", p3_grid)
+R.add(
+    "p3_marks",
+    p3_marks,
+    """
+WITH s AS (SELECT node, (floor(epoch_us(ts) / 600000000) * 600)::bigint AS slot, count(*) AS n, avg(memory) AS memory, avg(reductions) AS reductions
+  FROM prc WHERE node IS NOT NULL AND ts IS NOT NULL GROUP BY ALL),
+b AS (SELECT node, slot // 86400 AS day, min(slot) AS a, max(slot) AS z FROM s GROUP BY ALL),
+g AS (SELECT node, unnest(range(a, z + 1, 600)) AS slot FROM b),
+p AS (SELECT node, count(memory) AS m, count(reductions) AS r FROM s GROUP BY node),
+q AS (SELECT slot, count(memory) AS m, count(reductions) AS r FROM s GROUP BY slot)
+SELECT g.node, g.slot AS slot_epoch, coalesce(s.n, 0) AS n_readings, round(s.memory, 3) AS memory, round(s.reductions, 3) AS reductions,
+  CASE WHEN s.n IS NOT NULL THEN 'observed' WHEN p.m >= 3 AND p.r >= 3 AND q.m >= 2 AND q.r >= 2 THEN 'filled' ELSE 'unsupported' END AS status
+FROM g LEFT JOIN s ON g.node = s.node AND g.slot = s.slot JOIN p ON g.node = p.node LEFT JOIN q ON g.slot = q.slot""",
+)
+R.add("p3_error", p3_error)
 
 
 # 4: implausible spikes

@@ -110,6 +110,13 @@ def test_grid_fills_held_out_cells_better_than_the_mean(spark):
             assert r.memory == pytest.approx(full[r.source, dt.datetime.fromtimestamp(r.slot_epoch + 5, dt.UTC).replace(tzinfo=None)])
 
 
+def test_fill_error_on_hidden_cells(spark):
+    df = matrix(spark).withColumn("reductions", F.col("memory") * 3)
+    got = {r.field: r for r in grid.fill_error(df, "node", "ts", ["memory", "reductions"], hide=8).collect()}
+    assert set(got) == {"memory", "reductions"}
+    assert all(r.n_filled == r.n_hidden > 20 and r.error < 0.5 * r.error_of_mean for r in got.values())
+
+
 def test_grid_odd_rows(spark):
     rows = [(None, T0, 1.0), ("a", None, 1.0), ("a", T0, float("nan")), ("a", minutes(40), None), ("a", minutes(60 * 50), 2.0)]
     out = grid.regular_series(spark.createDataFrame(rows, "node string, ts timestamp_ntz, memory double"), "node", "ts", ["memory"]).collect()
