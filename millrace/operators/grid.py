@@ -1,9 +1,12 @@
 """Irregular readings onto a regular grid.
 
-Readings are averaged per source and slot. The matrix sources x slots is factorised with
-alternating least squares on log values, centred per source; the product of the factors fills
-empty cells. Observed cells keep their exact average. A cell whose source or slot has too few
-observed cells is not supported by the factors: it stays null and is marked ``unsupported``.
+Readings are averaged per source and slot. The source-by-time matrices of the days, one below
+the other (a row for each source, field and UTC day, a column for each slot of the day), are
+factorised with alternating least squares on log values, centred per row; the product of the
+factors fills empty cells. So levels may differ from day to day, the number of columns stays the
+same however long the table, and sources and days teach each other the course of a day. Observed
+cells keep their exact average. A cell whose row or column has too few observed cells is not
+supported by the factors: it stays null and is marked ``unsupported``.
 
 Defined cases: readings with a null source or time are left out; a null or non-finite reading
 makes its slot observed but adds nothing to the average; days without a reading have no cells;
@@ -55,10 +58,10 @@ def als_fill(
 ) -> DataFrame:
     """Estimates for the cells without a value: ``(_row, slot_epoch, estimate)``.
 
-    ``cells`` has ``_row`` (a number for each source and field), ``_f`` (the field), ``slot_epoch`` and ``_v``.
+    ``cells`` has ``_row`` (a number for each source, day and field), ``_f`` (the field), ``slot_epoch`` and ``_v``.
     All fields are rows of one matrix, so one factorisation serves them all.
     """
-    slot_no = (F.col("slot_epoch") / slot_seconds).cast("int").alias("_slot")
+    slot_no = (F.pmod("slot_epoch", F.lit(86_400)) / slot_seconds).cast("int").alias("_slot")
     known = cells.where("_v IS NOT NULL").select("_row", "_f", slot_no, (F.signum("_v") * F.log1p(F.abs("_v"))).alias("_y"))
     centre = cut(known.groupBy("_row").agg(F.avg("_y").alias("_mean"), F.count("*").alias("_n")))
     train = cut(known.join(centre, "_row").select("_row", "_f", "_slot", (F.col("_y") - F.col("_mean")).cast("float").alias("_r")))
@@ -78,13 +81,16 @@ def als_fill(
 
 
 def _grid(df: DataFrame, source: str, ts: str, values: Sequence[str], slot_seconds: int) -> DataFrame:
-    """Every cell of the days' grids with its source number ``_sid`` and, where observed, its averages."""
+    """Every cell of the days' grids with the number ``_sid`` of its source and day and, where observed, its averages."""
     spark = df.sparkSession
     shared_dir(spark)
     slots = cut(slot_averages(df, source, ts, values, slot_seconds))
-    names = slots.select("source").distinct().rdd.map(lambda r: r[0]).zipWithIndex()
-    ids = cut(spark.createDataFrame(names, "source string, _sid long").withColumn("_sid", F.col("_sid").cast("int")))
-    return cut(day_grid(slots, slot_seconds).join(slots, ["source", "slot_epoch"], "left").join(ids, "source"))
+    day = F.floor(F.col("slot_epoch") / 86_400).alias("_day")
+    names = slots.select("source", day).distinct().rdd.map(lambda r: (r[0], r[1])).zipWithIndex().map(lambda x: (*x[0], x[1]))
+    kind = slots.schema["source"].dataType.simpleString()
+    ids = cut(spark.createDataFrame(names, f"source {kind}, _day long, _sid int"))
+    cells = day_grid(slots, slot_seconds).join(slots, ["source", "slot_epoch"], "left").withColumn("_day", day)
+    return cut(cells.join(ids, ["source", "_day"]).drop("_day"))
 
 
 def _long(grid: DataFrame, values: Sequence[str]) -> DataFrame:

@@ -89,11 +89,11 @@ WITH s AS (SELECT node, (floor(epoch_us(ts) / 600000000) * 600)::bigint AS slot,
   FROM prc WHERE node IS NOT NULL AND ts IS NOT NULL GROUP BY ALL),
 b AS (SELECT node, slot // 86400 AS day, min(slot) AS a, max(slot) AS z FROM s GROUP BY ALL),
 g AS (SELECT node, unnest(range(a, z + 1, 600)) AS slot FROM b),
-p AS (SELECT node, count(memory) AS m, count(reductions) AS r FROM s GROUP BY node),
-q AS (SELECT slot, count(memory) AS m, count(reductions) AS r FROM s GROUP BY slot)
+p AS (SELECT node, slot // 86400 AS day, count(memory) AS m, count(reductions) AS r FROM s GROUP BY ALL),
+q AS (SELECT slot % 86400 AS at, count(memory) AS m, count(reductions) AS r FROM s GROUP BY ALL)
 SELECT g.node, g.slot AS slot_epoch, coalesce(s.n, 0) AS n_readings, round(s.memory, 3) AS memory, round(s.reductions, 3) AS reductions,
   CASE WHEN s.n IS NOT NULL THEN 'observed' WHEN p.m >= 3 AND p.r >= 3 AND q.m >= 2 AND q.r >= 2 THEN 'filled' ELSE 'unsupported' END AS status
-FROM g LEFT JOIN s ON g.node = s.node AND g.slot = s.slot JOIN p ON g.node = p.node LEFT JOIN q ON g.slot = q.slot""",
+FROM g LEFT JOIN s ON g.node = s.node AND g.slot = s.slot JOIN p ON g.node = p.node AND g.slot // 86400 = p.day LEFT JOIN q ON g.slot % 86400 = q.at""",
 )
 R.add("p3_error", p3_error)
 
