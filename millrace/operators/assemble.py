@@ -5,7 +5,12 @@ transfers are islands between such slices. A transfer that begins with slice 1 i
 slice not above the highest number so far is a repeat and ignored, a slice that skips numbers
 marks the transfer as corrupted but is taken. A transfer that begins later is not complete: at
 its end it yields one row marked as retransmission, without contents. A transfer that never
-ends yields nothing.
+ends yields nothing. Transfers are numbered in blocks of offsets, so a key with most of the slices
+is numbered by many tasks, and only the slices of one transfer are ordered together.
+
+Defined cases: a slice without a number or count ends nothing; a null key is a key like any other;
+an empty table gives no objects. ``assemble`` puts an object into one row, which a row's size
+bounds; ``sinks.files.write_slices`` writes objects of any size slice by slice.
 """
 
 from __future__ import annotations
@@ -13,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators import blocks
+
 
 def header(name: str, headers: str = "headers") -> Column:
     """Text of the first header of that name, or null."""
@@ -21,10 +28,9 @@ def header(name: str, headers: str = "headers") -> Column:
 
 def transfers(df: DataFrame, num: Column, cnt: Column) -> DataFrame:
     """Adds ``transfer`` (number inside the key), ``is_fresh``, ``is_taken`` and ``skips``."""
-    order = Window.partitionBy("topic", "partition", "key").orderBy("offset", "ord")
     d = df.withColumns({"_num": num.cast("int"), "_cnt": cnt.cast("int")})
-    ends = F.coalesce(F.sum((F.col("_num") == F.col("_cnt")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    d = d.withColumn("transfer", ends)
+    ends = F.coalesce((F.col("_num") == F.col("_cnt")).cast("int"), F.lit(0))
+    d = blocks.running(d, ["topic", "partition", "key"], ["offset", "ord"], ends, "transfer")
     inside = Window.partitionBy("topic", "partition", "key", "transfer").orderBy("offset", "ord")
     top = F.coalesce(F.max("_num").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     d = d.withColumns({"_top": top, "is_fresh": F.first("_num").over(inside) == 1})
@@ -40,7 +46,7 @@ def assemble(df: DataFrame, num: Column, cnt: Column, content: Column, deleted:
     d = transfers(df.withColumns({"_content": content, "_del": flag}), num, cnt)
     taken = F.when(F.col("is_taken"), F.struct("offset", "ord", F.coalesce("_content", F.lit(b"")).alias("c")))
     slices = F.array_sort(F.collect_list(taken))
-    joined = F.aggregate(slices, F.lit(b""), lambda acc, x: F.concat(acc, x["c"]))
+    joined = F.unhex(F.array_join(F.transform(slices, lambda x: F.hex(x["c"])), ""))
     g = d.groupBy("topic", "partition", "key", "transfer").agg(
         F.max("offset").alias("offset"),
         F.max("is_fresh").alias("_fresh"),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators import blocks
+
 
 def safe_offsets(chunks: DataFrame) -> DataFrame:
     """Adds ``safe`` to chunks (topic, partition, route, chunk, first_offset, offset, is_open).
@@ -12,12 +14,11 @@ def safe_offsets(chunks: DataFrame) -> DataFrame:
     For a closed chunk it is the least of its own last offset and, over chunks of the partition
     that were begun but not ended by then, the offset before their first. That interval
     condition is answered without a self-join: going back from the last chunk of the partition,
-    a running least of first offsets over chunks that end later.
+    a running least of first offsets over chunks that end later, block by block.
     """
     end = F.when(F.col("is_open"), F.lit(2**62)).otherwise(F.col("offset"))
-    w = Window.partitionBy("topic", "partition").orderBy(F.desc("_end"), F.desc("offset"))
-    later = F.min("first_offset").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = chunks.withColumn("_end", end).withColumn("_held", later)
+    d = chunks.withColumn("_end", end.cast("long"))
+    d = blocks.running(d, ["topic", "partition"], ["_end", "offset"], F.col("first_offset"), "_held", "min", "_end", backward=True)
     safe = F.when(F.col("is_open"), F.col("offset")).otherwise(
         F.least(F.col("offset"), F.when(F.col("_held") <= F.col("offset"), F.col("_held") - 1))
     )

@@ -1,40 +1,28 @@
 """Cutting substreams into chunks: by count, by size, by change, or by user logic.
 
-Rows of a substream are numbered in two levels, over blocks of offsets and inside each block,
-so a substream with most of the rows is numbered by many tasks; a chunk is then one small
-group. Only the greedy size cut needs the rows of a substream one after another: it streams
-through sorted partitions and holds one chunk.
+Rows of a substream are numbered in two levels, over blocks of offsets and inside each block
+(module ``blocks``), so a substream with most of the rows is numbered by many tasks; a chunk is
+then one small group. Only the greedy size cut and user logic need the rows of a substream one
+after another: they stream through sorted partitions and hold a few numbers of the open chunk.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.common import ship
 from millrace.envelope import ORDER, STREAM
+from millrace.operators import blocks
 from millrace.operators.stateless import Stage
 
-#: Offsets of one block of the two-level numbering.
-BLOCK = 65_536
-
-
-def numbered(df: DataFrame, name: str = "rn", block: int = BLOCK) -> DataFrame:
+def numbered(df: DataFrame, name: str = "rn", block: int = blocks.BLOCK) -> DataFrame:
     """Adds the position (from 0) of each row in its substream."""
-    d = df.withColumn("_block", F.floor(F.col("offset") / block))
-    near = F.row_number().over(Window.partitionBy(*STREAM, "_block").orderBy(*ORDER)) - 1
-    counts = d.groupBy(*STREAM, "_block").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*STREAM).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_far", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    counts = counts.select(*[F.col(c).alias(f"_{c}") for c in STREAM], F.col("_block").alias("_b"), "_far")
-    cond = F.col("_block") == F.col("_b")
-    for c in STREAM:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    d = d.withColumn("_near", near).join(counts, cond)
-    return d.withColumn(name, F.col("_near") + F.col("_far")).drop("_block", "_b", "_near", "_far", *[f"_{c}" for c in STREAM])
+    return blocks.running(df, STREAM, ORDER, F.lit(1), name, block=block)
 
 
 def chunk_length(max_messages: int, counts_first: bool, exact: bool = False) -> int:
@@ -63,23 +51,22 @@ def _emit(d: DataFrame, keys: Sequence[str], aggregates: dict[str, Column]) -> D
     )
 
 
-def chunk_by_change(is_break: Column, **aggregates: Column) -> Stage:
+def chunk_by_change(is_break: Column, block: int = blocks.BLOCK, **aggregates: Column) -> Stage:
     """A row for which ``is_break`` holds closes the chunk before it and begins a new one.
 
-    ``is_break`` may use ``lag``-like columns made by the caller with ``previous``.
+    ``is_break`` may use columns of the row before, as ``with_previous`` adds them.
     """
 
     def stage(df: DataFrame) -> DataFrame:
-        w = Window.partitionBy(*STREAM).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-        d = df.withColumn("chunk", F.sum(F.coalesce(is_break, F.lit(False)).cast("long")).over(w))
+        d = blocks.running(df, STREAM, ORDER, F.coalesce(is_break, F.lit(False)).cast("long"), "chunk", inclusive=True, block=block)
         return _emit(d, [*STREAM, "chunk"], aggregates)
 
     return stage
 
 
-def previous(column: str) -> Column:
-    """The value of the row before, in the same substream."""
-    return F.lag(column).over(Window.partitionBy(*STREAM).orderBy(*ORDER))
+def with_previous(block: int = blocks.BLOCK, **columns: str) -> Stage:
+    """Adds values of the row before in the same substream, by name."""
+    return lambda df: blocks.previous(df, STREAM, ORDER, columns, block=block)
 
 
 def in_chunk_order(*columns: str) -> Column:
@@ -97,30 +84,29 @@ def chunk_by_size(size: str, max_size: int, max_messages: int | None = None, cou
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key: tuple | None = None
-        open_: list = []
-        number = 0
+        number = n = held = first = last = 0  # of the open chunk: rows, sizes, ends
 
         def close(is_open: bool) -> tuple:
-            return (*open_[0][:3], number, open_[0][3], open_[-1][3], len(open_), sum(x[4] for x in open_), is_open)
+            return (*key[:2], list(key[2]), number, first, last, n, held, is_open)
 
         for f in frames:
             out = []
             for t, p, r, o, s in zip(f["topic"], f["partition"], f["route"], f["offset"], f["_size"], strict=True):
                 k = (t, p, tuple(r))
                 if k != key:
-                    if open_:
+                    if n:
                         out.append(close(True))
-                    key, open_, number = k, [], 0
-                held = sum(x[4] for x in open_)
-                full = held + s >= max_size or max_messages is not None and len(open_) >= max_messages
-                if not open_ and not counts_first:
+                    key, number, n, held = k, 0, 0, 0
+                full = held + s >= max_size or max_messages is not None and n >= max_messages
+                if not n and not counts_first:
                     full, s = False, 0
-                open_.append((t, p, list(r), o, s))
+                first = first if n else o
+                last, n, held = o, n + 1, held + s
                 if full:
                     out.append(close(False))
-                    open_, number = [], number + 1
+                    number, n, held = number + 1, 0, 0
             yield pd.DataFrame(out, columns=names)
-        if open_:
+        if n:
             yield pd.DataFrame([close(True)], columns=names)
 
     names = ["topic", "partition", "route", "chunk", "first_offset", "offset", "n", "bytes", "is_open"]
@@ -138,7 +124,7 @@ class Aggregate:
     """User logic of a chunk: ``add`` says keep, flush (with this row) or reject (before this row);
     ``result`` makes the output row or None to keep waiting. One object for each substream."""
 
-    def add(self, offset: int, row: pd.Series) -> str:
+    def add(self, offset: int, row: NamedTuple) -> str:
         raise NotImplementedError
 
     def result(self) -> tuple | None:
@@ -162,19 +148,19 @@ def aggregate_by(make: Callable[[], Aggregate], schema: str) -> Stage:
 
         for f in frames:
             out = []
-            for _, row in f.iterrows():
-                k = (row["topic"], row["partition"], tuple(row["route"]))
+            for row in f.itertuples(index=False):
+                k = (row.topic, row.partition, tuple(row.route))
                 if k != key:
                     if logic is not None:
                         out += end()
                     key, logic, held = k, make(), 0
-                said = logic.add(row["offset"], row)
+                said = logic.add(row.offset, row)
                 if said == "reject" and held:
                     if (r := logic.result()) is not None:
                         out.append((*k[:2], list(k[2]), last, *r))
                     held = 0
-                    said = logic.add(row["offset"], row)
-                last, held = row["offset"], held + 1
+                    said = logic.add(row.offset, row)
+                last, held = row.offset, held + 1
                 if said in ("flush", "reject") and (r := logic.result()) is not None:
                     out.append((*k[:2], list(k[2]), last, *r))
                     held = 0

@@ -118,7 +118,7 @@ def chunk_size_cut(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_change_islands(spark: SparkSession, d: str) -> DataFrame:
-    df = substreams.demux(F.col("user_id"))(_events(spark, d)).withColumn("_before", chunking.previous("event_type"))
+    df = pipe(substreams.demux(F.col("user_id")), chunking.with_previous(_before="event_type"))(_events(spark, d))
     broken = F.col("_before").isNotNull() & (F.col("_before") != F.col("event_type"))
     out = chunking.chunk_by_change(broken, kind=F.min("event_type"))(df)
     return out.select(substreams.route_head().cast("long").alias("user_id"), "chunk", "first_offset", "offset", "n", "kind")

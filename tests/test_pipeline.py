@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.envelope import with_envelope
-from millrace.operators import audit, chunking, stateless, substreams
+from millrace.operators import audit, blocks, chunking, stateless, substreams
 from millrace.operators.assemble import assemble
 from millrace.plans.pipeline import Workflow, load_workflows, pipe, supervise
 from millrace.sources.files import feed, make_source
@@ -100,9 +100,20 @@ def test_size_cut_matches_a_loop(spark, counts_first):
 
 
 def test_change_cut(spark):
-    df = stream(spark, [1, 1, 2, 2, 2, 1]).withColumn("_b", chunking.previous("v"))
-    out = chunking.chunk_by_change(F.col("_b").isNotNull() & (F.col("_b") != F.col("v")))(df)
-    assert [(r.first_offset, r.offset) for r in out.orderBy("chunk").collect()] == [(1, 2), (3, 5), (6, 6)]
+    for block in (2, 65_536):
+        df = chunking.with_previous(block, _b="v")(stream(spark, [1, 1, 2, 2, 2, 1]))
+        out = chunking.chunk_by_change(F.col("_b").isNotNull() & (F.col("_b") != F.col("v")), block)(df)
+        assert [(r.first_offset, r.offset) for r in out.orderBy("chunk").collect()] == [(1, 2), (3, 5), (6, 6)]
+
+
+@pytest.mark.parametrize(("how", "backward", "inclusive"), [("sum", False, True), ("min", True, False), ("max", False, False), ("sum", True, False)])
+def test_running_values_over_blocks(spark, how, backward, inclusive):
+    rng = random.Random(how)
+    rows = [(rng.choice(["a", None, "b"]), o, rng.randint(-9, 9)) for o in range(60)]
+    got = blocks.running(spark.createDataFrame(rows, "k string, offset long, v long"), ["k"], ["offset"], F.col("v"), "x", how, backward=backward, inclusive=inclusive, block=7)
+    for r in got.collect():
+        mine = [v for k, o, v in rows if k == r.k and ((o > r.offset if backward else o < r.offset) or inclusive and o == r.offset)]
+        assert r.x == ({"sum": sum, "min": min, "max": max}[how](mine) if mine else 0 if how == "sum" else None)
 
 
 def test_user_aggregate(spark):
@@ -113,9 +124,9 @@ def test_user_aggregate(spark):
             self.total = None
 
         def add(self, offset, row):
-            if row["v"] < 0 and self.total is not None:
+            if row.v < 0 and self.total is not None:
                 return "reject"
-            self.total = (self.total or 0) + int(row["v"])
+            self.total = (self.total or 0) + int(row.v)
             return "flush" if self.total >= 10 else "keep"
 
         def result(self):
