@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Tag of a record -> (table, fields in order with their types).
 RECORDS = {
@@ -30,6 +31,15 @@ def encode_record(tag: str, df: DataFrame) -> Column:
     return F.to_json(F.array(F.lit(tag), *[F.col(f).cast("string") for f, _ in fields_of(tag)]))
 
 
+def json_objects(df: DataFrame, schema: str, value: str = "value") -> DataFrame:
+    """Adds the fields of JSON objects; rows whose text is null, no JSON or no object are left out."""
+    text = F.col(value).cast("string")
+    bad = F.col("_j._malformed")
+    whole = F.from_json(text, f"{schema}, _malformed string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"})
+    rows = df.withColumn("_j", whole).where(F.col("_j").isNotNull() & bad.isNull() & text.rlike(r"^\s*\{"))
+    return rows.select("*", *[F.col(f"_j.`{f}`") for f in StructType.fromDDL(schema).names]).drop("_j")
+
+
 def decode_records(df: DataFrame, value: str = "value") -> DataFrame:
     """Adds ``tag`` (null for unknown tags, wrong numbers of fields and unreadable text) and ``fields``."""
     text = F.col(value).cast("string")

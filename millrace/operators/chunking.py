@@ -14,6 +14,7 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.common import ship
 from millrace.envelope import ORDER, STREAM
@@ -120,18 +121,64 @@ def chunk_by_size(size: str, max_size: int, max_messages: int | None = None, cou
     return stage
 
 
+class Exit(NamedTuple):
+    """A result after which the substream's logic is closed and forgotten; the next row starts a new one."""
+
+    row: tuple
+
+
 class Aggregate:
-    """User logic of a chunk: ``add`` says keep, flush (with this row) or reject (before this row);
-    ``result`` makes the output row or None to keep waiting. One object for each substream."""
+    """User logic of a substream: ``add`` says keep, flush (with this row) or reject (before this row);
+    ``result`` makes the output row, an ``Exit`` with it, or None to refuse and keep waiting."""
 
     def add(self, offset: int, row: NamedTuple) -> str:
         raise NotImplementedError
 
-    def result(self) -> tuple | None:
+    def result(self) -> tuple | Exit | None:
         raise NotImplementedError
 
     def close(self) -> None:
-        """Called when the substream ends."""
+        """Called when the logic is forgotten or the input ends."""
+
+
+class Fold:
+    """The state of one substream under user logic; the same for tables and for streams."""
+
+    def __init__(self, make: Callable[[], Aggregate]):
+        self.make, self.logic = make, None
+        self.first = self.last = None  # offsets of the rows that are held
+        self.held = 0
+
+    def _emit(self) -> list[tuple]:
+        """(offset of the last row, result...), unless the logic refuses."""
+        said = self.logic.result()
+        if said is None:
+            return []
+        row = said.row if isinstance(said, Exit) else said
+        if isinstance(said, Exit):
+            self.close()
+        self.first, self.held = None, 0
+        return [(self.last, *row)]
+
+    def step(self, offset: int, row: NamedTuple) -> list[tuple]:
+        self.logic = self.logic or self.make()
+        said, out = self.logic.add(offset, row), []
+        if said == "reject" and self.held:
+            out = self._emit()
+            self.logic = self.logic or self.make()
+            said = self.logic.add(offset, row)
+        self.first = offset if self.first is None else self.first
+        self.last, self.held = offset, self.held + 1
+        return out + (self._emit() if said in ("flush", "reject") else [])
+
+    def flush(self) -> list[tuple]:
+        """What is held at the end of the input, or when the clock says so."""
+        return self._emit() if self.held else []
+
+    def close(self) -> None:
+        if self.logic is not None:
+            self.logic.close()
+        self.logic = None
 
 
 def aggregate_by(make: Callable[[], Aggregate], schema: str) -> Stage:
@@ -139,11 +186,11 @@ def aggregate_by(make: Callable[[], Aggregate], schema: str) -> Stage:
     full = f"topic string, partition int, route array<string>, offset long, {schema}"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, logic, last, held = None, None, None, 0
+        key, fold = None, None
 
         def end() -> list:
-            rows = [(*key[:2], list(key[2]), last, *r)] if held and (r := logic.result()) is not None else []
-            logic.close()
+            rows = [(*key[:2], list(key[2]), *r) for r in fold.flush()]
+            fold.close()
             return rows
 
         for f in frames:
@@ -151,24 +198,15 @@ def aggregate_by(make: Callable[[], Aggregate], schema: str) -> Stage:
             for row in f.itertuples(index=False):
                 k = (row.topic, row.partition, tuple(row.route))
                 if k != key:
-                    if logic is not None:
+                    if fold is not None:
                         out += end()
-                    key, logic, held = k, make(), 0
-                said = logic.add(row.offset, row)
-                if said == "reject" and held:
-                    if (r := logic.result()) is not None:
-                        out.append((*k[:2], list(k[2]), last, *r))
-                    held = 0
-                    said = logic.add(row.offset, row)
-                last, held = row.offset, held + 1
-                if said in ("flush", "reject") and (r := logic.result()) is not None:
-                    out.append((*k[:2], list(k[2]), last, *r))
-                    held = 0
+                    key, fold = k, Fold(make)
+                out += [(*k[:2], list(k[2]), *r) for r in fold.step(row.offset, row)]
             yield pd.DataFrame(out, columns=names)
-        if logic is not None:
+        if fold is not None:
             yield pd.DataFrame(end(), columns=names)
 
-    names = [part.split()[0] for part in ["topic s", "partition i", "route a", "offset l", *schema.split(", ")]]
+    names = StructType.fromDDL(full).names
 
     def stage(df: DataFrame) -> DataFrame:
         ship(df.sparkSession)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.records import RECORDS, decode_records, typed
+from millrace.functions.records import RECORDS, decode_records, json_objects, typed
 from millrace.operators.assemble import assemble, header
 from millrace.operators.stateless import Stage
 from millrace.operators.substreams import demux
@@ -41,7 +41,7 @@ def json_upsert(schema: str, keys: list[str]) -> Stage:
     """JSON values, split by key, to the last version of each key."""
 
     def decode(df: DataFrame) -> DataFrame:
-        rows = df.withColumn("_j", F.from_json(F.col("value").cast("string"), schema)).where("_j IS NOT NULL")
-        return rows.select("topic", "partition", "offset", "ord", "route", "key", "_j.*")
+        rows = json_objects(df.select("topic", "partition", "offset", "ord", "route", "key", "value"), schema)
+        return rows.drop("value")
 
     return pipe(decode, demux(F.col("key")), lambda d: latest_by_key(d.drop("route"), keys))

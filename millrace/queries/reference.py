@@ -135,7 +135,12 @@ def chunk_then_chunk(spark: SparkSession, d: str) -> DataFrame:
 _CHUNK_OUT = 'SELECT "partition", event_type AS route_head, chunk, first_offset, "offset", n, total, n < {k} AS is_open FROM c'
 R.add("chunk_group_messages", chunk_group_messages, COUNT_SQL + _CHUNK_OUT.format(k=FULL))
 R.add("chunk_buffer", chunk_buffer, _COUNT_SQL.format(events=EVENTS_SQL, k=2) + _CHUNK_OUT.format(k=2))
-R.add("chunk_size_cut", chunk_size_cut)
+R.add("chunk_size_cut", chunk_size_cut, """WITH RECURSIVE e AS (SELECT "partition", "offset", coalesce(octet_length(value), 0)::bigint AS size,
+  row_number() OVER (PARTITION BY "partition" ORDER BY "offset") AS i FROM messages WHERE topic = 'kf.numbers'),
+s AS (SELECT "partition", i, "offset", 0::bigint AS chunk, size AS held, size >= 4096 AS done FROM e WHERE i = 1
+  UNION ALL SELECT e."partition", e.i, e."offset", s.chunk + s.done::int, CASE WHEN s.done THEN e.size ELSE s.held + e.size END, CASE WHEN s.done THEN e.size ELSE s.held + e.size END >= 4096
+  FROM s JOIN e ON e."partition" = s."partition" AND e.i = s.i + 1)
+SELECT "partition", chunk, min("offset") AS first_offset, max("offset") AS "offset", count(*) AS n, max(held) AS bytes, NOT bool_or(done) AS is_open FROM s GROUP BY "partition", chunk""")
 R.add("chunk_change_islands", chunk_change_islands, f"""WITH e AS ({EVENTS_SQL}),
 b AS (SELECT *, CASE WHEN lag(event_type) OVER w <> event_type THEN 1 ELSE 0 END AS brk FROM e WINDOW w AS (PARTITION BY "partition", user_id ORDER BY "offset")),
 i AS (SELECT *, sum(brk) OVER (PARTITION BY "partition", user_id ORDER BY "offset") AS chunk FROM b)
@@ -390,7 +395,7 @@ def stream_filter(spark: SparkSession, d: str) -> DataFrame:
 def stream_count_chunks(spark: SparkSession, d: str) -> DataFrame:
     rows = substreams.demux(F.col("event_type"))(_event_stream(spark, d))
     out = stream_chunks.to_table(stream_chunks.chunk_stream(rows, FULL, "user_id"), stream_chunks.fresh_root(spark, "chunks"))
-    return out.select("partition", F.col("route").alias("route_head"), "chunk", "first_offset", "offset", "n", F.col("total").cast("long").alias("total"))
+    return out.select("partition", substreams.route_head().alias("route_head"), "chunk", "first_offset", "offset", "n", F.col("total").cast("long").alias("total"))
 
 
 def _slices(df: DataFrame) -> DataFrame:
@@ -404,9 +409,38 @@ def stream_assemble(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
-    m = source(spark, f"{d}/messages.parquet").where("topic = 'kf.upserts'")
-    j = m.withColumn("j", F.from_json(F.col("value").cast("string"), "foo string, bar string")).where("j IS NOT NULL")
-    return stream_chunks.upsert_stream(j.select("partition", "offset", "j.foo", "j.bar"), ["partition", "foo"], stream_chunks.fresh_root(spark, "upsert"))
+    j = rec.json_objects(source(spark, f"{d}/messages.parquet").where("topic = 'kf.upserts'"), "foo string, bar string")
+    return stream_chunks.upsert_stream(j.select("partition", "offset", "foo", "bar"), ["partition", "foo"], stream_chunks.fresh_root(spark, "upsert"))
+
+
+class _Spree(chunking.Aggregate):
+    """Adds up values until 200 are reached; an error closes what came before it; the state is forgotten with each result."""
+
+    def __init__(self) -> None:
+        self.n, self.total = 0, 0.0
+
+    def add(self, offset: int, row) -> str:  # noqa: ANN001, ARG002
+        if row.event_type == "error" and self.n:
+            return "reject"
+        self.n, self.total = self.n + 1, self.total + row.value
+        return "flush" if self.total >= 200 else "keep"
+
+    def result(self) -> chunking.Exit:
+        return chunking.Exit((self.n, round(self.total, 6)))
+
+
+_SPREE = "n long, total double"
+
+
+def user_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    out = pipe(substreams.demux(F.col("user_id") % 7), chunking.aggregate_by(_Spree, _SPREE))(_events(spark, d))
+    return out.select("partition", substreams.route_head().alias("route_head"), "offset", "n", F.round("total", 4).alias("total"))
+
+
+def stream_user_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    rows = substreams.demux(F.col("user_id") % 7)(_event_stream(spark, d))
+    out = stream_chunks.to_table(stream_chunks.aggregate_stream(rows, _Spree, _SPREE), stream_chunks.fresh_root(spark, "spree"))
+    return out.select("partition", substreams.route_head().alias("route_head"), "offset", "n", F.round("total", 4).alias("total"))
 
 
 R.add("stream_filter", stream_filter, f'SELECT "partition", "offset", event_type, value FROM ({EVENTS_SQL}) WHERE value > 50')
@@ -414,3 +448,20 @@ R.add("stream_chunks", stream_count_chunks, COUNT_SQL + f'SELECT "partition", ev
 R.add("stream_assemble", stream_assemble, OBJECTS_SQL + """SELECT "partition", decode("key") AS "key", "offset", retransmission, corrupted, n_slices,
 CASE WHEN NOT retransmission THEN coalesce(length(content) // 2, 0)::bigint END AS n_bytes FROM a""")
 R.add("stream_upsert", stream_upsert, R.sql["upsert_latest"])
+# the greedy cut, row by row
+_SPREE_SQL = f"""WITH RECURSIVE e AS (SELECT "partition", user_id % 7 AS k, event_type, value, "offset",
+  row_number() OVER (PARTITION BY "partition", user_id % 7 ORDER BY "offset") AS i FROM ({EVENTS_SQL})),
+s AS (SELECT "partition", k, i, "offset", value AS total, 1::bigint AS n, value >= 200 AS done, NULL::bigint AS cut_at, NULL::bigint AS cut_n, NULL::double AS cut_total FROM e WHERE i = 1
+  UNION ALL SELECT e."partition", e.k, e.i, e."offset",
+    CASE WHEN s.done OR e.event_type = 'error' THEN e.value ELSE s.total + e.value END,
+    CASE WHEN s.done OR e.event_type = 'error' THEN 1 ELSE s.n + 1 END,
+    CASE WHEN s.done OR e.event_type = 'error' THEN e.value ELSE s.total + e.value END >= 200,
+    CASE WHEN NOT s.done AND e.event_type = 'error' THEN s."offset" END, CASE WHEN NOT s.done AND e.event_type = 'error' THEN s.n END,
+    CASE WHEN NOT s.done AND e.event_type = 'error' THEN s.total END
+  FROM s JOIN e ON e."partition" = s."partition" AND e.k = s.k AND e.i = s.i + 1),
+c AS (SELECT "partition", k, "offset", n, total FROM s WHERE done UNION ALL SELECT "partition", k, cut_at, cut_n, cut_total FROM s WHERE cut_at IS NOT NULL)
+"""
+_SPREE_OUT = 'SELECT "partition", k::varchar AS route_head, "offset", n, round(total, 4) AS total FROM c'
+R.add("stream_user_aggregate", stream_user_aggregate, _SPREE_SQL + _SPREE_OUT)
+_LAST = 'SELECT "partition", k, max(i) AS i FROM s GROUP BY ALL'
+R.add("user_aggregate", user_aggregate, _SPREE_SQL + _SPREE_OUT + f""" UNION ALL SELECT s."partition", s.k::varchar, s."offset", s.n, round(s.total, 4) FROM s JOIN ({_LAST}) USING ("partition", k, i) WHERE NOT s.done""")

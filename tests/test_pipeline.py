@@ -238,3 +238,113 @@ def test_open_chunks_are_flushed_by_the_clock(spark, tmp_path):
     finally:
         query.stop()
     assert sorted(got) == [(0, 0, 3, 4), (1, 4, 7, 4), (2, 8, 9, 2)]
+
+
+def land(spark, path, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(path))
+
+
+def test_upserts_run_again_with_and_without_news(spark, tmp_path):
+    from millrace.streaming.chunks import upsert_stream
+    from millrace.streaming.dedupe import source
+
+    schema, root, want = "k string, v int, offset long", str(tmp_path / "root"), {}
+    (tmp_path / "in").mkdir()
+    rng = random.Random(3)
+    for batch in range(4):
+        rows = [(rng.choice(["a", "b", "c", None, "d"]), rng.randint(0, 99), batch * 100 + i) for i in range(20 if batch != 2 else 0)]
+        if rows:
+            land(spark, tmp_path / "in", rows, schema)
+        want |= {k: v for k, v, _ in rows}
+        for _ in range(2):  # the second run has nothing new
+            got = upsert_stream(source(spark, str(tmp_path / "in")), ["k"], root, buckets=3)
+            assert {r.k: r.v for r in got.collect()} == want
+    assert len(list((tmp_path / "root/versions").glob("[0-9]*"))) <= 2
+    land(spark, tmp_path / "in", [("a", -1, 5)], schema)  # an old write that comes late changes nothing
+    assert {r.k: r.v for r in upsert_stream(source(spark, str(tmp_path / "in")), ["k"], root, buckets=3).collect()} == want
+
+
+def test_stream_tables_run_again_and_may_be_empty(spark, tmp_path):
+    from millrace.streaming.chunks import to_table
+    from millrace.streaming.dedupe import source
+
+    land(spark, tmp_path / "in", [], "id long")
+    stream = lambda: source(spark, str(tmp_path / "in"))
+    assert to_table(stream(), str(tmp_path / "root")).count() == 0
+    land(spark, tmp_path / "in", [(1,), (2,)], "id long")
+    assert to_table(stream(), str(tmp_path / "root")).count() == to_table(stream(), str(tmp_path / "root")).count() == 2
+
+
+def test_routes_that_look_alike_have_states_of_their_own(spark, tmp_path):
+    from millrace.sources.files import stream_source
+    from millrace.streaming.chunks import chunk_stream, to_table
+
+    routes = [["a", "b"], ["a/b"], ["a", None, "b"], [None], []]
+    rng, rows = random.Random(1), []
+    for i in range(90):
+        rows.append((i, rng.choice(routes), float(i)))
+    for part in range(3):
+        land(spark, tmp_path / "in", rows[part * 30 : part * 30 + 30], "id long, r array<string>, v double")
+    df = stream_source(spark, str(tmp_path / "in"), "t", F.lit(0), F.col("id"), files=1).withColumn("route", F.col("r"))
+    got = {(tuple(r.route), r.chunk): (r.first_offset, r.offset, r.n, r.total) for r in to_table(chunk_stream(df, 4, "v"), str(tmp_path / "root")).collect()}
+    want = {}
+    for route in routes:
+        mine = [i for i, r, _ in rows if r == route]
+        want |= {(tuple(route), c): (x[0], x[-1], 4, float(sum(x))) for c in range(len(mine) // 4) for x in [mine[4 * c : 4 * c + 4]]}
+    assert got == want and len(want) > 12
+
+
+def pairs():
+    class Pairs(chunking.Aggregate):
+        """Pairs of numbers; refuses to let go of a single one; forgets itself after each pair; a zero rejects."""
+
+        def __init__(self):
+            self.seen = []
+
+        def add(self, offset, row):
+            if row.v == 0 and len(self.seen) == 1:
+                return "reject"
+            self.seen.append(row.v)
+            return "flush" if len(self.seen) == 2 or row.v == 0 else "keep"
+
+        def result(self):
+            return chunking.Exit((sum(self.seen), len(self.seen))) if len(self.seen) == 2 or self.seen[-1] == 0 else None
+
+    return Pairs
+
+
+def test_user_logic_in_tables_and_streams(spark, tmp_path):
+    from millrace.sources.files import stream_source
+    from millrace.streaming.chunks import aggregate_stream, to_table
+
+    rng = random.Random(12)
+    rows = [(i, rng.choice("ab"), rng.choice([1, 2, 3, 4])) for i in range(40)]
+    want = []
+    for k in "ab":
+        mine = [(i, v) for i, x, v in rows if x == k]
+        want += [((k,), b[0], a[1] + b[1], 2) for a, b in zip(mine[::2], mine[1::2])]
+    for part in range(4):
+        land(spark, tmp_path / "in", rows[part * 10 : part * 10 + 10], "id long, k string, v long")
+    table = with_envelope(spark.createDataFrame(rows, "id long, k string, v long"), "t", F.lit(0), F.col("id"))
+    done = lambda df: sorted((tuple(r.route), r.offset, r.total, r.n) for r in df.collect())
+    assert done(chunking.aggregate_by(pairs(), "total long, n long")(substreams.demux(F.col("k"))(table))) == sorted(want)
+    stream = substreams.demux(F.col("k"))(stream_source(spark, str(tmp_path / "in"), "t", F.lit(0), F.col("id"), files=1))
+    out = to_table(aggregate_stream(stream, pairs(), "total long, n long"), str(tmp_path / "root"))
+    assert done(out) == sorted(want) and {r.safe for r in out.collect()} == {None}
+
+
+def test_refused_and_rejected_results():
+    fold = chunking.Fold(pairs())
+    row = lambda v: type("Row", (), {"v": v})
+    assert fold.step(1, row(5)) == [] and fold.flush() == [] and fold.held == 1 and fold.first == 1
+    assert fold.step(2, row(6)) == [(2, 11, 2)] and fold.logic is None and fold.held == 0
+    assert fold.step(3, row(0)) == [(3, 0, 1)]  # nothing is held, so a reject is a flush
+
+
+def test_malformed_json_is_left_out(spark):
+    from millrace.plans.workflows import json_upsert
+
+    texts = ['{"foo": "a", "bar": "1"}', "{", "", None, "null", "[1]", "7", '{"foo": "a", "bar": "2"}', '{"foo": "b"}', "not json", '{"foo": "a"} x']
+    df = spark.createDataFrame([(i, b"k", t.encode() if t is not None else None) for i, t in enumerate(texts)], "o long, key binary, value binary")
+    got = json_upsert("foo string, bar string", ["foo"])(with_envelope(df, "t", F.lit(0), F.col("o"))).collect()
+    assert {(r.foo, r.bar) for r in got} == {("a", "2"), ("b", None)}
