@@ -34,10 +34,11 @@ def encode_record(tag: str, df: DataFrame) -> Column:
 def json_objects(df: DataFrame, schema: str, value: str = "value") -> DataFrame:
     """Adds the fields of JSON objects; rows whose text is null, no JSON or no object are left out."""
     text = F.col(value).cast("string")
-    bad = F.col("_j._malformed")
-    whole = F.from_json(text, f"{schema}, _malformed string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"})
-    rows = df.withColumn("_j", whole).where(F.col("_j").isNotNull() & bad.isNull() & text.rlike(r"^\s*\{"))
-    return rows.select("*", *[F.col(f"_j.`{f}`") for f in StructType.fromDDL(schema).names]).drop("_j")
+    # a parser stops after the first value; inside a list and inside an object it has to read to the end
+    inside = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), f"v struct<{schema}>, _malformed string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"})
+    rows = df.where((F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1) & text.rlike(r"^\s*\{")).withColumn("_j", inside)
+    rows = rows.where(F.col("_j.v").isNotNull() & F.col("_j._malformed").isNull())
+    return rows.select("*", *[F.col(f"_j.v.`{f}`") for f in StructType.fromDDL(schema).names]).drop("_j")
 
 
 def decode_records(df: DataFrame, value: str = "value") -> DataFrame:

@@ -344,7 +344,7 @@ def test_refused_and_rejected_results():
 def test_malformed_json_is_left_out(spark):
     from millrace.plans.workflows import json_upsert
 
-    texts = ['{"foo": "a", "bar": "1"}', "{", "", None, "null", "[1]", "7", '{"foo": "a", "bar": "2"}', '{"foo": "b"}', "not json", '{"foo": "a"} x']
+    texts = ['{"foo": "a", "bar": "1"}', "{", "", None, "null", "[1]", "7", '{"foo": "a", "bar": "2"}', '{"foo": "b"}', "not json", '{"foo": "a"} x', '{"foo": "a"}] {}', '{"foo": "a"}, "w": {}', '{"foo": "a"}, {"foo": "c"}']
     df = spark.createDataFrame([(i, b"k", t.encode() if t is not None else None) for i, t in enumerate(texts)], "o long, key binary, value binary")
     got = json_upsert("foo string, bar string", ["foo"])(with_envelope(df, "t", F.lit(0), F.col("o"))).collect()
     assert {(r.foo, r.bar) for r in got} == {("a", "2"), ("b", None)}
