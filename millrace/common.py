@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
@@ -18,7 +19,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, local mode) a temporary folder is set.
+    Only a local session that has none gets a temporary folder; on a cluster that is an error.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     sc = spark.sparkContext._jsc.sc()
@@ -26,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = sc.getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="millrace-")
     if not sc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(conf)
@@ -58,3 +61,38 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     sc.addPyFile(path)
     sc._millrace_shipped = True
+
+
+class Files:
+    """Small files of the driver in the shared folder."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        jvm = spark.sparkContext._jvm
+        self.root, self._path, self._io = root, jvm.org.apache.hadoop.fs.Path, jvm.org.apache.commons.io.IOUtils
+        self.fs = self._path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self, name: str) -> bool:
+        return self.fs.exists(self._path(f"{self.root}/{name}"))
+
+    def names(self, folder: str) -> list[str]:
+        at = self._path(f"{self.root}/{folder}")
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(at)) if self.fs.exists(at) else []
+
+    def write(self, name: str, body: object) -> None:
+        """Writes a file under another name first, so that a reader finds it whole or not at all."""
+        part, at = self._path(f"{self.root}/{name}.part"), self._path(f"{self.root}/{name}")
+        out = self.fs.create(part, True)
+        out.write(json.dumps(body).encode())
+        out.close()
+        self.fs.delete(at, False)
+        self.fs.rename(part, at)
+
+    def read(self, name: str) -> object:
+        stream = self.fs.open(self._path(f"{self.root}/{name}"))
+        try:
+            return json.loads(self._io.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def drop(self, name: str) -> None:
+        self.fs.delete(self._path(f"{self.root}/{name}"), True)

@@ -27,7 +27,3 @@ def with_envelope(df: DataFrame, topic: Column | str, partition: Column, offset:
             "route": F.array().cast("array<string>"),
         }
     )
-
-
-def payload_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c not in ENVELOPE]

@@ -15,10 +15,15 @@ bounds; ``sinks.files.write_slices`` writes objects of any size slice by slice.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import blocks
+from millrace.operators.chunking import Aggregate, Exit, aggregate_by
+from millrace.operators.stateless import Stage
 
 
 def header(name: str, headers: str = "headers") -> Column:
@@ -60,3 +65,50 @@ def assemble(df: DataFrame, num: Column, cnt: Column, content: Column, deleted:
         "topic", "partition", "key", "offset", (~F.col("_fresh")).alias("retransmission"), "corrupted", "deleted", "n_slices",
         F.when(F.col("_fresh"), F.col("_joined")).alias("content"),
     )
+
+
+class Assembler(Aggregate):
+    """User logic for sliced objects, slice by slice: give ``number``, ``count``, ``take`` and ``finish``.
+
+    Repeats are left out, slices after a gap are taken and ``corrupted`` is set, a transfer that begins
+    in the middle is waited out and ends as a retransmission; a transfer that has not ended is refused.
+    """
+
+    def __init__(self) -> None:
+        self.top, self.fresh, self.corrupted, self.ended = 0, None, False, False
+
+    def number(self, row: NamedTuple) -> int:
+        raise NotImplementedError
+
+    def count(self, row: NamedTuple) -> int:
+        raise NotImplementedError
+
+    def take(self, offset: int, row: NamedTuple) -> None:
+        """Takes a slice of a fresh transfer, in order."""
+        raise NotImplementedError
+
+    def finish(self) -> tuple:
+        """The output row of a fresh transfer."""
+        raise NotImplementedError
+
+    def lost(self) -> tuple:
+        """The output row of a retransmission."""
+        raise NotImplementedError
+
+    def add(self, offset: int, row: NamedTuple) -> str:
+        num = self.number(row)
+        self.fresh = num == 1 if self.fresh is None else self.fresh
+        if self.fresh and num > self.top:
+            self.corrupted |= num > self.top + 1
+            self.top = num
+            self.take(offset, row)
+        self.ended = num == self.count(row)
+        return "flush" if self.ended else "keep"
+
+    def result(self) -> Exit | None:
+        return Exit(self.finish() if self.fresh else self.lost()) if self.ended else None
+
+
+def assemble_by(make: Callable[[], Assembler], schema: str) -> Stage:
+    """Runs an assembler over each substream (split it by key first); works in streams through ``aggregate_stream`` as well."""
+    return aggregate_by(make, schema)

@@ -28,3 +28,17 @@ def safe_offsets(chunks: DataFrame) -> DataFrame:
 def committed(chunks: DataFrame) -> DataFrame:
     """Highest safe offset of each partition after its closed chunks; it never goes back."""
     return safe_offsets(chunks).where(~F.col("is_open")).groupBy("topic", "partition").agg(F.max("safe").alias("committed"))
+
+
+def forwarded(hidden: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The hidden records (topic, partition, offset) that go on to advance the commit: those that come while no
+    substream of their partition holds anything. The others are dropped.
+
+    Chunks begun before less chunks ended before is the number held; it is added up block by block.
+    """
+    keys = ["topic", "partition"]
+    begun = chunks.select(*keys, F.col("first_offset").alias("offset"), F.lit(1).alias("_d"))
+    ended = chunks.where(~F.col("is_open")).select(*keys, "offset", F.lit(-1).alias("_d"))
+    seen = hidden.select(*keys, "offset", F.lit(0).alias("_d"))
+    held = blocks.running(begun.unionByName(ended).unionByName(seen), keys, ["offset", "_d"], F.col("_d"), "_held")
+    return held.where("_d = 0 AND _held = 0").select(*keys, "offset")

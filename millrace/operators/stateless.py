@@ -7,12 +7,15 @@ neighbouring stages and pushes filters to the scan.
 
 from __future__ import annotations
 
+import signal
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.envelope import ENVELOPE
+
 Stage = Callable[[DataFrame], DataFrame]
 
 
@@ -41,26 +44,46 @@ def map_filter_route(keep: Column, route: Column | None = None, **columns: Colum
     return stage
 
 
-def unfold(items: Column, name: str) -> Stage:
-    """One row for each element, in order; no row for an empty or null array."""
+def unfold(items: Column, name: str, safe: str | None = None) -> Stage:
+    """One row for each element, in order; no row for an empty or null array.
+
+    ``safe`` names a column with the offset that is safe to commit after a row: only the last element
+    keeps it, the ones before must not commit their own record.
+    """
 
     def stage(df: DataFrame) -> DataFrame:
         rest = [c for c in df.columns if c not in (name, "ord")]
-        out = df.select(*rest, F.col("ord").alias("_ord"), F.posexplode(items).alias("_pos", name))
-        return out.withColumn("ord", F.array_append("_ord", F.col("_pos"))).drop("_ord", "_pos")
+        out = df.withColumn("_items", items).select(*rest, F.col("ord").alias("_ord"), F.size("_items").alias("_size"), F.posexplode("_items").alias("_pos", name))
+        if safe:
+            out = out.withColumn(safe, F.when(F.col("_pos") == F.col("_size") - 1, F.col(safe)).otherwise(F.least(F.col(safe), F.col("offset") - 1)))
+        return out.withColumn("ord", F.array_append("_ord", F.col("_pos"))).drop("_ord", "_pos", "_size")
 
     return stage
 
 
 def map_batches(init: Callable[[], object], step: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str,
-                terminate: Callable[[object], None] | None = None) -> Stage:
-    """Python stage with a state of its own for each task: made once, used for every batch, ended at last."""
+                terminate: Callable[[object], None] | None = None, timeout: float | None = None) -> Stage:
+    """Python stage with a state of its own for each task: made once, used for every batch, ended at last.
+
+    ``timeout``: seconds after which a call of ``step`` fails with a TimeoutError.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def late(*_: object) -> None:
+            raise TimeoutError(f"a call took longer than {timeout} s")
+
         state = init()
         try:
             for f in frames:
-                yield step(state, f)
+                if timeout:
+                    signal.signal(signal.SIGALRM, late)
+                    signal.setitimer(signal.ITIMER_REAL, timeout)
+                try:
+                    out = step(state, f)
+                finally:
+                    if timeout:
+                        signal.setitimer(signal.ITIMER_REAL, 0)
+                yield out
         finally:
             if terminate:
                 terminate(state)
@@ -70,3 +93,8 @@ def map_batches(init: Callable[[], object], step: Callable[[object, pd.DataFrame
 
 def identity() -> Stage:
     return lambda df: df
+
+
+def constant(**columns: object) -> Stage:
+    """The payload becomes constants, whatever it was; the envelope stays."""
+    return lambda df: df.select(*[c for c in ENVELOPE if c in df.columns], *[F.lit(v).alias(k) for k, v in columns.items()])

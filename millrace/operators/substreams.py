@@ -14,17 +14,12 @@ def demux(key: Column) -> Stage:
 
 
 def join_streams() -> Stage:
-    """Pops the route: substreams merge again (order by offset and ord, see ``in_order``)."""
+    """Pops the route: substreams merge again (order by offset and ord)."""
     return lambda df: df.withColumn("route", F.when(F.size("route") > 1, F.slice("route", 2, F.size("route") - 1)).otherwise(F.array().cast("array<string>")))
 
 
-def in_order(df: DataFrame) -> DataFrame:
-    """Rows of each partition in order of offset, each partition in one task's output."""
-    return df.repartition("topic", "partition").sortWithinPartitions("topic", "partition", "offset", "ord")
-
-
 def route_head() -> Column:
-    return F.element_at("route", 1)
+    return F.try_element_at("route", F.lit(1))
 
 
 def route_dependent(choices: dict[str, dict[str, Column]], default: dict[str, Column] | None = None) -> Stage:
@@ -44,6 +39,18 @@ def route_dependent(choices: dict[str, dict[str, Column]], default: dict[str, Co
     return stage
 
 
-def split_routes(df: DataFrame, heads: list[str]) -> dict[str, DataFrame]:
-    """One DataFrame for each head, for sinks that differ by route (use inside ``foreachBatch``)."""
-    return {h: df.where(route_head() == h) for h in heads}
+def route_stages(choices: dict[str, Stage], default: Stage | None = None) -> Stage:
+    """A stage of its own for each head of the route; rows of other heads go through ``default``, or on as they are.
+
+    All stages must give the same columns. Each branch is one filter on the input, which is read once
+    a branch; use ``route_dependent`` where the choice is a matter of columns only.
+    """
+
+    def stage(df: DataFrame) -> DataFrame:
+        known = F.coalesce(F.try_element_at("route", F.lit(1)), F.lit(None).cast("string"))
+        out = df.where(known.isNull() | ~known.isin(*choices)).transform(default or (lambda d: d))
+        for head, then in choices.items():
+            out = out.unionByName(df.where(known == head).transform(then))
+        return out
+
+    return stage

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.common import ship
+
 
 def latest_by_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The last write of each key in order of offset; what an upsert leaves of a batch."""
@@ -102,7 +105,39 @@ def upsert_statement(table: str, fields: Sequence[str], keys: Sequence[str]) ->
     return f"INSERT INTO {table} ({', '.join(fields)}) VALUES ({marks}){tail}"
 
 
-def row_number_latest(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """As ``latest_by_key`` for rows with columns that cannot be compared (maps)."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("offset"), F.desc("ord"))
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+def write_rows(
+    df: DataFrame, connect: Callable[[], object], table: str, fields: Sequence[str], keys: Sequence[str] = (), mapping: dict[str, str] | None = None,
+    required: Sequence[str] = (), mark: str = "?", batch_size: int = 1000,
+) -> DataFrame:
+    """Writes rows to a database through its Python driver and returns ``(n_rows)`` of each task.
+
+    ``connect`` makes a connection (DB-API) inside a task. With ``keys`` rows are upserted: the last
+    version of each key by offset, so no two tasks write the same key; without, they are inserted. Each
+    batch of rows is one transaction, and every row must be taken, else the task fails.
+    """
+    ship(df.sparkSession)
+    rows = latest_by_key(df, [{v: k for k, v in (mapping or {}).items()}.get(k, k) for k in keys]) if keys else df
+    rows = map_columns(rows, fields, mapping, required)
+    statement = upsert_statement(table, fields, keys).replace("?", mark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        link, n = None, 0
+        try:
+            for batch in batches:
+                link = link or connect()
+                values = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+                for i in range(0, len(values), batch_size):
+                    part = values[i : i + batch_size]
+                    cursor = link.cursor()
+                    for row in part:
+                        cursor.execute(statement, row)
+                        if cursor.rowcount not in (1, -1):
+                            raise RuntimeError(f"{table}: a row was not taken")
+                    link.commit()
+                    n += len(part)
+        finally:
+            if link is not None:
+                link.close()
+        yield pa.RecordBatch.from_pydict({"n_rows": pa.array([n], pa.int64())})
+
+    return rows.mapInArrow(run, "n_rows long")

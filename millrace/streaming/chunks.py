@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from millrace.common import scratch, ship
+from millrace.common import Files, scratch, ship
 from millrace.operators.chunking import Aggregate, Fold
 from millrace.sinks.table import latest_by_key
 
@@ -151,41 +151,6 @@ def assemble_stream(df: DataFrame) -> DataFrame:
     )
 
 
-class Files:
-    """Small files of the driver in the shared folder."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        jvm = spark.sparkContext._jvm
-        self.root, self._path, self._io = root, jvm.org.apache.hadoop.fs.Path, jvm.org.apache.commons.io.IOUtils
-        self.fs = self._path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def exists(self, name: str) -> bool:
-        return self.fs.exists(self._path(f"{self.root}/{name}"))
-
-    def names(self, folder: str) -> list[str]:
-        at = self._path(f"{self.root}/{folder}")
-        return sorted(s.getPath().getName() for s in self.fs.listStatus(at)) if self.fs.exists(at) else []
-
-    def write(self, name: str, body: object) -> None:
-        """Writes a file under another name first, so that a reader finds it whole or not at all."""
-        part, at = self._path(f"{self.root}/{name}.part"), self._path(f"{self.root}/{name}")
-        out = self.fs.create(part, True)
-        out.write(json.dumps(body).encode())
-        out.close()
-        self.fs.delete(at, False)
-        self.fs.rename(part, at)
-
-    def read(self, name: str) -> object:
-        stream = self.fs.open(self._path(f"{self.root}/{name}"))
-        try:
-            return json.loads(self._io.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def drop(self, name: str) -> None:
-        self.fs.delete(self._path(f"{self.root}/{name}"), True)
-
-
 def run_to_end(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Runs a stream over what there is, batch by batch, from its checkpoint."""
     df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

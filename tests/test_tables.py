@@ -48,13 +48,146 @@ def test_upsert_statement():
     assert table.upsert_statement("t", ["a"], ["a"]).endswith("DO NOTHING")
 
 
-def test_files_written_deleted_and_written_again(spark, tmp_path):
-    rows = [("1", 5, False, False, b"abc"), ("2", 6, False, False, b"x"), ("2", 9, True, False, b""), ("3", 4, False, True, None)]
-    df = spark.createDataFrame(rows, "key string, offset long, deleted boolean, retransmission boolean, content binary")
+HEAD = "num int, cnt int, del string"
+
+
+def slices(rows):
+    return [(o, k.encode(), v, n, c, d) for o, (k, v, n, c, d) in enumerate(rows)]
+
+
+def test_objects_written_deleted_and_written_again(spark, tmp_path):
+    rows = slices([("1", b"old", 1, 1, None), ("1", b"ab", 1, 3, None), ("2", b"x", 1, 1, None), ("1", b"c", 2, 3, None), ("1", b"c", 2, 3, None), ("2", b"", 1, 1, "1"), ("1", b"d", 3, 3, None), ("3", b"z", 2, 2, None), ("4", b"half", 1, 2, None)])
+    df = with_envelope(spark.createDataFrame(rows, f"o long, key binary, value binary, {HEAD}"), "t", F.lit(0), F.col("o"))
+    at = str(tmp_path / "o")
     for _ in range(2):
-        files.write_objects(df, str(tmp_path / "o")).collect()
-    assert (tmp_path / "o/1").read_bytes() == b"abc"
-    assert not (tmp_path / "o/2").exists() and not (tmp_path / "o/3").exists()
+        done = files.write_slices(df, at, F.col("num"), F.col("cnt"), F.col("value"), F.col("del")).collect()
+        assert {(r.path[-1], r.deleted, r.n_bytes) for r in done} == {("1", False, 4), ("2", True, 0)}
+    assert (tmp_path / "o/1").read_bytes() == b"abcd"
+    assert sorted(p.name for p in (tmp_path / "o").iterdir()) == ["1"]
+
+
+def test_large_objects_go_in_parts(spark, tmp_path):
+    """Three objects of 9 MB in slices of 1 MB with repeats, parts of 2 MB."""
+    from millrace.functions import payload
+
+    n, size = 9, 1 << 20
+    base = spark.range(3 * n).select((F.col("id") % 3).cast("string").alias("k"), (F.col("id") / 3).cast("int").alias("i"))
+    base = base.select("k", (F.col("i") + 1).alias("num"), payload.stream_slice(F.col("k"), F.col("i") * size, F.lit(size)).alias("value"))
+    df = payload.with_repeats(base.withColumn("o", F.col("num") * 3 + F.col("k").cast("int")), "o", 3)
+    df = with_envelope(df.withColumn("key", F.col("k").cast("binary")), "t", F.lit(0), F.col("o"))
+    done = files.write_slices(df, str(tmp_path), F.col("num"), F.lit(n), F.col("value"), part_bytes=2 << 20).collect()
+    assert {(r.n_bytes, r.n_parts) for r in done} == {(n * size, 5)} and len(done) == 3
+    for k in "012":
+        assert (tmp_path / k).read_bytes() == payload.stream_bytes(k, 0, n * size)
+
+
+def test_an_upload_that_breaks_off_is_aborted(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def broken():
+        class Up:
+            def part(self, data):
+                raise OSError("full")
+
+            def abort(self):
+                open(log, "a").write("aborted")
+
+        class To:
+            def begin(self, path):
+                return Up()
+
+        return To()
+
+    df = with_envelope(spark.createDataFrame(slices([("1", b"x" * 100, 1, 1, None)]), f"o long, key binary, value binary, {HEAD}"), "t", F.lit(0), F.col("o"))
+    with pytest.raises(Exception, match="full"):
+        files.write_slices(df, "/x", F.col("num"), F.col("cnt"), F.col("value"), store=broken, part_bytes=10).collect()
+    assert open(log).read().startswith("aborted")
+
+
+def test_rows_upserted_and_inserted_in_a_database(spark, tmp_path):
+    import sqlite3
+
+    at = str(tmp_path / "db")
+    base = sqlite3.connect(at)
+    base.execute("CREATE TABLE t (name TEXT PRIMARY KEY, v INTEGER, at INTEGER)")
+    base.execute("CREATE TABLE log (name TEXT, _offset INTEGER, CHECK (_offset < 900))")
+    base.commit()
+
+    def connect():
+        import sqlite3
+
+        return sqlite3.connect(at, timeout=60)
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice("abcdé"), rng.randint(0, 99)) for i in range(60)]
+    df = spark.createDataFrame(rows, "offset long, k string, v int").withColumn("ord", F.array().cast("array<int>"))
+    for part in (df.where("offset < 30"), df.where("offset >= 30"), df.where("offset >= 30")):
+        done = table.write_rows(part.withColumn("at", F.col("offset")), connect, "t", ["name", "v", "at"], ["name"], {"k": "name"}).collect()
+        assert sum(r.n_rows for r in done) == part.select("k").distinct().count()
+    assert dict(base.execute("SELECT name, v FROM t")) == {k: v for _, k, v in rows}
+    assert sum(r.n_rows for r in table.write_rows(df, connect, "log", ["name", "_offset"], mapping={"k": "name"}).collect()) == 60
+    assert sorted(base.execute("SELECT _offset, name FROM log")) == [(o, k) for o, k, _ in rows]
+    with pytest.raises(Exception, match="CHECK"):
+        table.write_rows(spark.createDataFrame([(901, "a")], "offset long, k string"), connect, "log", ["name", "_offset"], mapping={"k": "name"}).collect()
+
+
+def test_produce_and_read_back(spark, tmp_path):
+    q = queue.FileQueue(spark, str(tmp_path / "q"))
+    assert q.read("t").count() == 0
+    df = lambda a, b: spark.createDataFrame([(o, o % 3, str(o).encode(), [("h", b"1")]) for o in range(a, b)], "offset long, partition int, value binary, headers array<struct<key:string,value:binary>>")
+    for number, rows in ((0, df(0, 20)), (1, df(20, 31)), (1, df(20, 31)), (2, df(31, 31))):
+        q.produce(rows, "t", number)
+    got = {(r.partition, r.offset): int(bytes(r.value)) for r in q.read("t").collect()}
+    assert got == {(o % 3, o // 3): o for o in range(31)}
+    assert {r.headers[0].key for r in q.read("t").collect()} == {"h"}
+    assert q.heads("t")[1] == {"0": 11, "1": 10, "2": 10}
+
+
+def test_produce_through_a_connector(spark, tmp_path):
+    from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+
+    at = str(tmp_path / "sent")
+
+    class FakeQueue(DataSource):
+        @classmethod
+        def name(cls):
+            return "fakequeue"
+
+        def schema(self):
+            return "key binary, value binary, partition int"
+
+        def writer(self, schema, overwrite):
+            options = dict(self.options)
+
+            class W(DataSourceWriter):
+                def write(self, rows):
+                    import uuid
+
+                    with open(f"{options['kafka.path']}-{uuid.uuid4().hex}", "w") as f:
+                        for r in rows:
+                            f.write(f"{options['topic']} {options['kafka.acks']} {r.partition} {bytes(r.key).decode()} {bytes(r.value).decode()}\n")
+                    return WriterCommitMessage()
+
+            return W()
+
+    spark.dataSource.register(FakeQueue)
+    df = spark.createDataFrame([(o, str(o % 2).encode(), b"v%d" % o) for o in range(6)], "offset long, key binary, value binary")
+    queue.queue_sink("out", F.col("offset") % 2, "fakequeue", **{"kafka.path": at})(df, 0)
+    lines = sorted(x for p in tmp_path.glob("sent-*") for x in p.read_text().splitlines())
+    assert lines == [f"out all {o % 2} {o % 2} v{o}" for o in (0, 2, 4, 1, 3, 5)]
+
+
+def test_positions_only_grow(spark, tmp_path):
+    from millrace.sinks.commit import OffsetStore
+
+    store = OffsetStore(spark, str(tmp_path / "c"))
+    assert store.starting_offsets() == "earliest"
+    at = lambda *rows: spark.createDataFrame(list(rows), "topic string, partition int, committed long")
+    store.commit(at(("t", 0, 4), ("t", 1, 9)))
+    store.commit(at(("t", 0, 7), ("t", 1, 3), ("u", 0, None)))
+    assert store.positions() == {("t", 0): 8, ("t", 1): 10} and store.regressions == 1
+    assert OffsetStore(spark, str(tmp_path / "c")).starting_offsets() == '{"t": {"0": 8, "1": 10}}'
+    assert [tuple(r) for r in store.table().orderBy("partition").collect()] == [("t", 0, 8), ("t", 1, 10)]
 
 
 def test_retry_and_execute():
@@ -93,9 +226,15 @@ def test_retransmit_loses_nothing_and_keeps_keys_together(spark):
     assert all(len({r.partition for r in out if bytes(r.key) == k}) == 1 for k in {bytes(r.key) for r in out})
 
 
-def test_queue_options():
+def test_queue_options(tmp_path):
     o = client_options({"main": {"endpoints": "a:1", "timeout_ms": 5}}, "main", {"timeout_ms": 60, "protocol": "SSL"})
-    assert o == {"kafka.bootstrap.servers": "a:1", "kafka.request.timeout.ms": "5", "kafka.security.protocol": "SSL"}
+    rest = {"kafka.compression.type": "gzip", "kafka.allow.auto.create.topics": "false"}
+    assert o == {"kafka.bootstrap.servers": "a:1", "kafka.request.timeout.ms": "5", "kafka.security.protocol": "SSL", **rest}
+    (tmp_path / "login").write_text('me\np"w\n')
+    o = client_options({"a": {"endpoints": "b:2", "ssl": True, "compression": "none"}, "b": {"ssl": False}}, "a", {"sasl_file": str(tmp_path / "login")})
+    assert (o["kafka.security.protocol"], o["kafka.sasl.mechanism"], o["kafka.compression.type"]) == ("SASL_SSL", "PLAIN", "none")
+    assert o["kafka.sasl.jaas.config"].endswith('username="me" password="p\\"w";')
+    assert client_options({"b": {"ssl": False}}, "b")["kafka.security.protocol"] == "PLAINTEXT"
     assert read_options(["t"])["startingOffsets"] == "earliest"
     assert queue.produce_options("t")["kafka.acks"] == "all"
 
