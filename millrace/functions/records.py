@@ -54,15 +54,18 @@ def decode_records(df: DataFrame, value: str = "value") -> DataFrame:
 
 
 def typed(df: DataFrame, tag: str) -> DataFrame:
-    """Typed columns of the records of one tag; texts are cut to the table's limits, bad values become null."""
-    out = []
+    """Typed columns of the records of one tag; texts are cut to the table's limits. A record with a value that
+    is not of its field's type is dropped as a whole, as one with the wrong number of fields is."""
+    out, good = [], F.lit(True)
     for i, (name, kind) in enumerate(fields_of(tag)):
-        c = F.element_at("fields", i + 1)
+        raw = F.element_at("fields", i + 1)
         kind = "decimal(18,3)" if kind == "decimal" else kind
-        c = F.substring(c, 1, LIMITS[name]) if kind == "string" and name in LIMITS else c.try_cast(kind) if kind != "string" else c
+        c = F.substring(raw, 1, LIMITS[name]) if kind == "string" and name in LIMITS else raw.try_cast(kind) if kind != "string" else raw
+        if kind != "string":
+            good = good & (raw.isNull() | c.isNotNull())
         out.append(c.alias(name))
     keep = [c for c in ("topic", "partition", "offset") if c in df.columns]
-    return df.where(F.col("tag") == tag).select(*keep, *out)
+    return df.where((F.col("tag") == tag) & good).select(*keep, *out)
 
 
 def to_text(c: Column, limit: int) -> Column:

@@ -141,7 +141,10 @@ def watch(query: StreamingQuery, seconds: float, every: float = 0.2) -> None:
 
 
 def stop(query: StreamingQuery, timeout: float = SHUTDOWN_TIMEOUT) -> bool:
-    """Takes what has arrived, then stops; False if that was not done within ``timeout`` seconds and it was stopped all the same."""
+    """Takes what has arrived, then stops; False if that was not done within ``timeout`` seconds and it was stopped all the same.
+
+    A sink that is in the middle of a batch on the driver cannot be interrupted; the query then ends with that batch.
+    """
     if not query.isActive:
         return query.exception() is None
     failed: list[Exception] = []
@@ -156,7 +159,9 @@ def stop(query: StreamingQuery, timeout: float = SHUTDOWN_TIMEOUT) -> bool:
     waiter.start()
     waiter.join(timeout)
     done = not waiter.is_alive() and not failed
-    query.stop()
+    end = threading.Thread(target=query.stop, daemon=True)
+    end.start()
+    end.join(None if done else timeout)
     return done
 
 

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.common import load
+from millrace.common import cut, load, scratch
 from millrace.envelope import with_envelope
+from millrace.functions import payload
 from millrace.functions import records as rec
 from millrace.operators import audit, chunking, stateless, substreams
-from millrace.operators.assemble import assemble, header
+from millrace.operators.assemble import Assembler, assemble, assemble_by, header
+from millrace.plans import dashboards as dash
 from millrace.plans import workflows
 from millrace.plans.pipeline import pipe
 from millrace.queries import Registry
 from millrace.sinks import table as tables
+from millrace.sinks.commit import OffsetStore
+from millrace.sinks.queue import FileQueue, hash_partition
 from millrace.streaming import chunks as stream_chunks
 from millrace.streaming.dedupe import source
 
@@ -230,13 +236,25 @@ FROM messages WHERE topic = 'kf.numbers' GROUP BY 1""")
 
 
 # monitoring records
+def _encoded(spark: SparkSession, d: str, tag: str) -> DataFrame:
+    """The records of a table as they come over the queue, each second one followed by one that cannot be read:
+    an unknown tag, a field too many, a time that is none, half of the text, or no JSON."""
+    df = load(spark, d, rec.RECORDS[tag][0])
+    good = df.select("partition", "offset", rec.encode_record(tag, df).alias("value"))
+    text, at = F.col("value"), F.array_position(F.array(*[F.lit(f) for f, _ in rec.fields_of(tag)]), "ts")
+    bad_time = F.to_json(F.transform(F.from_json(text, "array<string>"), lambda x, i: F.when(i == at, F.lit("not a time")).otherwise(x)))
+    bad = F.element_at(F.array(
+        F.regexp_replace(text, f'^\\["{tag}"', '["other"'), F.regexp_replace(text, r"\]$", ',"more"]'), bad_time,
+        F.substring(text, F.lit(1), F.floor(F.length(text) / 2).cast("int")), F.lit("<" + tag + ">"),
+    ), (F.pmod("offset", F.lit(5)) + 1).cast("int"))
+    return good.unionByName(good.where("offset % 2 = 0").withColumn("value", bad))
+
+
 def _ingest(tag: str):  # noqa: ANN202
     name = rec.RECORDS[tag][0]
 
     def query(spark: SparkSession, d: str) -> DataFrame:
-        df = load(spark, d, name)
-        encoded = df.select("partition", "offset", rec.encode_record(tag, df).alias("value"))
-        return workflows.sysmon(encoded)[name].select("partition", "offset", *[f for f, _ in rec.fields_of(tag)])
+        return workflows.sysmon(_encoded(spark, d, tag))[name].select("partition", "offset", *[f for f, _ in rec.fields_of(tag)])
 
     columns = ", ".join(f for f, _ in rec.fields_of(tag))
     R.add(f"sysmon_ingest_{name}", query, f'SELECT "partition", "offset", {columns} FROM {name}')
@@ -245,80 +263,72 @@ def _ingest(tag: str):  # noqa: ANN202
 for _tag in ("erl_top", "app_top", "fun_top", "node_role"):
     _ingest(_tag)
 
-BUCKET = 864
-_IN = "ts BETWEEN TIMESTAMP '2016-01-01 01:00:00' AND TIMESTAMP '2016-01-01 23:00:00'"
-_IN_SPARK = "ts BETWEEN TIMESTAMP_NTZ '2016-01-01 01:00:00' AND TIMESTAMP_NTZ '2016-01-01 23:00:00'"
-
-
-#: Any range: from the first to the last ``ts`` of the table.
-_EVER = "ts IS NOT NULL"
-
-
-def _hundredth(df: DataFrame) -> int:
-    """A hundredth of the table's own range in whole seconds, as the dashboards divide it."""
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    low, high = df.agg(F.floor(F.min(us) / 1e6), F.ceil(F.max(us) / 1e6)).first()
-    return 1 if low is None else max((high - low) // 100, 1)
-
-
-def _average(df: DataFrame, key: str, value: str, during: str = _IN_SPARK, width: int = BUCKET) -> DataFrame:
-    bucket = rec.rounded_bucket(F.col("ts"), width)
-    mean = F.sum(value).cast("double") / F.count(value)
-    return df.where(during).groupBy(key, bucket.alias("bucket")).agg(mean.alias("mean"))
-
-
-def _average_all(spark: SparkSession, d: str, table: str, key: str, value: str, where: str) -> DataFrame:
-    df = load(spark, d, table)
-    return _average(df.where(where), key, value, _EVER, _hundredth(df))
+def sysmon_received(spark: SparkSession, d: str) -> DataFrame:
+    """All kinds at once through the whole receiver, as two batches of which the second comes twice."""
+    root, out = scratch(spark, "receiver"), None
+    for tag in ("erl_top", "app_top", "fun_top", "node_role"):
+        one = _encoded(spark, d, tag).withColumn("topic", F.lit("records"))
+        out = one if out is None else out.unionByName(one)
+    sink = workflows.sysmon_sink(spark, root, retention_days=20)
+    for number, rows in ((0, out.where("offset % 3 = 0")), (1, out.where("offset % 3 <> 0")), (1, out.where("offset % 3 <> 0"))):
+        sink(rows, number)
+    counts = None
+    for name in ("prc", "app_top", "fun_top", "node_role"):
+        t = workflows.sysmon_table(spark, root, name)
+        one = t.groupBy(F.lit(name).alias("tbl"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("partition", "offset").alias("n_offsets"), F.count("node").alias("n_nodes"))
+        counts = one if counts is None else counts.unionByName(one)
+    return counts
+
+
+_ONE_KIND = """SELECT '{t}' AS tbl, ts::date AS day, count(*) AS n, count(DISTINCT ("partition", "offset")) AS n_offsets, count(node) AS n_nodes
+FROM {t}, (SELECT max(ts)::date AS top FROM {t}) WHERE datediff('day', ts::date, top) <= 20 GROUP BY ALL"""
+R.add("sysmon_received", sysmon_received, " UNION ALL ".join(_ONE_KIND.format(t=t) for t in ("prc", "app_top", "fun_top", "node_role")))
+
+# dashboards: every node, all of the table, a hundredth of its range for a bucket
+_CHARTS = {
+    "log_avg": ("app_top", "application", "value", "unit = 'reductions'"),
+    "avg_memory": ("app_top", "application", "value", "unit = 'memory'"),
+    "avg_processes": ("app_top", "application", "value", "unit = 'processes'"),
+    "avg_initial_call": ("fun_top", "fun", "num_processes", "fun_type = 'initial_call'"),
+    "avg_current_function": ("fun_top", "fun", "num_processes", "fun_type = 'current_function'"),
+}
 
 
-def _average_all_sql(table: str, key: str, value: str, where: str) -> str:
-    return f"""SELECT {key}, (round(epoch_us(ts) / 1e6 / tp) * tp)::bigint AS bucket, sum({value})::double / count({value}) AS mean
-FROM {table}, (SELECT greatest((ceil(epoch_us(max(ts)) / 1e6)::bigint - floor(epoch_us(min(ts)) / 1e6)::bigint) // 100, 1) AS tp FROM {table})
-WHERE {_EVER} AND {where} GROUP BY ALL"""
+def _chart_sql(table: str, key: str, value: str, where: str, log: bool, more: str = "", width: str = "") -> str:
+    mean = f"sum({value})::double / count({value})"
+    width = width or f"(SELECT greatest((ceil(epoch_us(max(ts)) / 1e6)::bigint - floor(epoch_us(min(ts)) / 1e6)::bigint) // 100, 1) AS tp FROM {table})"
+    sql = f"""SELECT node, {key}, (round(epoch_us(ts) / 1e6 / tp) * tp)::bigint AS bucket, {mean} AS mean
+FROM {table}, {width} WHERE ts IS NOT NULL AND {where} {more} GROUP BY ALL"""
+    return f"SELECT node, {key}, bucket, round(CASE WHEN mean > 0 THEN log10(mean) END, 9) AS log_mean FROM ({sql})" if log else sql
 
 
-def _average_sql(table: str, key: str, value: str, where: str) -> str:
-    return f"""SELECT {key}, (round(epoch_us(ts) / 1e6 / {BUCKET}) * {BUCKET})::bigint AS bucket, sum({value})::double / count({value}) AS mean
-FROM {table} WHERE {_IN} AND {where} GROUP BY ALL"""
+#: A viewer's node and range: the busiest node, the second quarter of the table's time.
+_VIEW_SQL = """ AND node = (SELECT node FROM {t} WHERE node IS NOT NULL GROUP BY node ORDER BY count(*) DESC, node LIMIT 1)
+AND ts >= (SELECT make_timestamp(a * 1000000) FROM ({r})) AND ts <= (SELECT make_timestamp(z * 1000000) FROM ({r}))"""
+_RANGE_SQL = "SELECT lo + (hi - lo) // 4 AS a, lo + (hi - lo) // 2 AS z FROM (SELECT floor(epoch_us(min(ts)) / 1e6)::bigint AS lo, ceil(epoch_us(max(ts)) / 1e6)::bigint AS hi FROM {t})"
 
 
-def _log(m: DataFrame) -> DataFrame:
-    return m.select("application", "bucket", F.round(F.when(F.col("mean") > 0, F.log10("mean")), 9).alias("log_mean"))
+def _view(df: DataFrame) -> dict[str, object]:
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = df.agg(F.floor(F.min(us) / 1e6), F.ceil(F.max(us) / 1e6)).first()
+    node = df.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "node").first()["node"]
+    at = lambda s: dt.datetime.fromtimestamp(s, dt.UTC).replace(tzinfo=None)
+    return {"node": node, "start": at(lo + (hi - lo) // 4), "end": at(lo + (hi - lo) // 2)}
 
 
-def dash_log_avg(spark: SparkSession, d: str) -> DataFrame:
-    return _log(_average(load(spark, d, "app_top").where("unit = 'reductions'"), "application", "value"))
+for _name, (_table, _key, _value, _where) in _CHARTS.items():
 
+    def _chart(spark, d, viewed=False, t=_table, k=_key, v=_value, w=_where, log=_name == "log_avg"):  # noqa: ANN001, ANN202
+        df = load(spark, d, t)
+        return dash.averages(df, k, v, F.expr(w), log, **(_view(df) if viewed else {}))
 
-R.add("dash_log_avg", dash_log_avg, f"SELECT application, bucket, round(CASE WHEN mean > 0 THEN log10(mean) END, 9) AS log_mean FROM ({_average_sql('app_top', 'application', 'value', "unit = 'reductions'")})")
-for _unit in ("memory", "processes"):
+    R.add(f"dash_{_name}", _chart, _chart_sql(_table, _key, _value, _where, _name == "log_avg"))
+    _range = _RANGE_SQL.format(t=_table)
     R.add(
-        f"dash_avg_{_unit}",
-        lambda spark, d, u=_unit: _average(load(spark, d, "app_top").where(F.col("unit") == u), "application", "value"),
-        _average_sql("app_top", "application", "value", f"unit = '{_unit}'"),
+        f"dash_{_name}_viewed",
+        lambda spark, d, f=_chart: f(spark, d, True),
+        _chart_sql(_table, _key, _value, _where, _name == "log_avg", _VIEW_SQL.format(t=_table, r=_range), f"(SELECT greatest((z - a) // 100, 1) AS tp FROM ({_range}))"),
     )
-for _kind in ("initial_call", "current_function"):
-    R.add(
-        f"dash_avg_{_kind}",
-        lambda spark, d, k=_kind: _average(load(spark, d, "fun_top").where(F.col("fun_type") == k), "fun", "num_processes"),
-        _average_sql("fun_top", "fun", "num_processes", f"fun_type = '{_kind}'"),
-    )
-
-# the same over all days
-_ALL = {
-    "log_avg": ("app_top", "application", "value", "unit = 'reductions'"),
-    "avg_memory": ("app_top", "application", "value", "unit = 'memory'"),
-    "avg_processes": ("app_top", "application", "value", "unit = 'processes'"),
-    "avg_initial_call": ("fun_top", "fun", "num_processes", "fun_type = 'initial_call'"),
-    "avg_current_function": ("fun_top", "fun", "num_processes", "fun_type = 'current_function'"),
-}
-for _name, _what in _ALL.items():
-    _all_sql = _average_all_sql(*_what)
-    if _name == "log_avg":
-        R.add("dash_all_log_avg", lambda spark, d, w=_what: _log(_average_all(spark, d, *w)), f"SELECT application, bucket, round(CASE WHEN mean > 0 THEN log10(mean) END, 9) AS log_mean FROM ({_all_sql})")
-    else:
-        R.add(f"dash_all_{_name}", lambda spark, d, w=_what: _average_all(spark, d, *w), _all_sql)
 
 
 def dash_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -326,26 +336,33 @@ def dash_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dash_latest(spark: SparkSession, d: str) -> DataFrame:
-    last = load(spark, d, "node_role").groupBy("node").agg(F.max("ts").alias("ts"), F.max_by("data", F.struct("ts", "offset")).alias("data"))
-    return last
+    return dash.latest_status(load(spark, d, "node_role"))
 
 
 def dash_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    """All processes at the latest snapshot not after the latest role report."""
-    prc, role = load(spark, d, "prc"), load(spark, d, "node_role")
-    at = prc.join(role.groupBy("node").agg(F.max("ts").alias("_r")), "node").where("ts <= _r").groupBy("node").agg(F.max("ts").alias("ts"))
-    return prc.join(at, ["node", "ts"], "left_semi").select("node", "ts", "pid", "memory", "registered_name").distinct()
+    """All processes at the time of the last report, which is a snapshot's only by chance."""
+    return dash.snapshot(load(spark, d, "prc"), load(spark, d, "node_role")).distinct()
 
 
-def dash_history(spark: SparkSession, d: str, during: str = _IN_SPARK) -> DataFrame:
-    prc = load(spark, d, "prc").where(during)
-    one = prc.where((F.col("pid") == "<0.116.0>") | (F.col("registered_name") == "lease_book"))
-    return one.select("node", "ts", "pid", "memory", "reductions", "message_queue_len").orderBy("node", "ts")
+def dash_snapshot_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return dash.snapshot(load(spark, d, "prc"), load(spark, d, "node_role"), nearest=True).distinct()
 
 
-def dash_not_similar(spark: SparkSession, d: str, during: str = _IN_SPARK) -> DataFrame:
-    prc = load(spark, d, "prc").where(during).where(~F.col("current_function").like("gen_server:loop/%"))
-    return prc.groupBy("node", "current_function").agg(F.count("*").alias("n"))
+def dash_history(spark: SparkSession, d: str) -> DataFrame:
+    """One process, by pid or name, on every node."""
+    return dash.history(load(spark, d, "prc"), ["pid", "dreductions", "reductions", "memory", "dmemory", "message_queue_len"], "<0.116.0>", "lease_book")
+
+
+def dash_history_viewed(spark: SparkSession, d: str) -> DataFrame:
+    """The process with the most readings, in the viewer's node and range."""
+    prc, view = load(spark, d, "prc"), _view(load(spark, d, "prc"))
+    seen = dash.selected(prc, **view).groupBy("pid").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "pid").first()
+    return dash.history(prc, ["pid", "dreductions", "reductions", "memory", "dmemory", "message_queue_len"], pid=seen["pid"] if seen else "none", **view)
+
+
+def dash_not_similar(spark: SparkSession, d: str) -> DataFrame:
+    """What processes do other than wait in a server's loop, with their stack traces."""
+    return dash.history(load(spark, d, "prc"), ["pid", "current_function", "current_stacktrace"], not_in="gen_server:loop/")
 
 
 def node_first_seen(spark: SparkSession, d: str) -> DataFrame:
@@ -354,13 +371,16 @@ def node_first_seen(spark: SparkSession, d: str) -> DataFrame:
 
 
 R.add("dash_nodes", dash_nodes, "SELECT DISTINCT node FROM prc ORDER BY node")
-R.add("dash_latest", dash_latest, 'SELECT node, ts, data FROM node_role QUALIFY row_number() OVER (PARTITION BY node ORDER BY ts DESC, "offset" DESC) = 1')
-R.add("dash_snapshot", dash_snapshot, """WITH r AS (SELECT node, max(ts) AS r FROM node_role GROUP BY node), a AS (SELECT node, max(ts) AS ts FROM prc JOIN r USING (node) WHERE ts <= r.r GROUP BY node)
-SELECT DISTINCT node, ts, pid, memory, registered_name FROM prc SEMI JOIN a USING (node, ts)""")
-R.add("dash_history", dash_history, f"SELECT node, ts, pid, memory, reductions, message_queue_len FROM prc WHERE {_IN} AND (pid = '<0.116.0>' OR registered_name = 'lease_book')")
-R.add("dash_not_similar", dash_not_similar, f"SELECT node, current_function, count(*) AS n FROM prc WHERE {_IN} AND current_function NOT SIMILAR TO 'gen_server:loop/.*' GROUP BY ALL")
-R.add("dash_all_history", lambda spark, d: dash_history(spark, d, _EVER), R.sql["dash_history"].replace(_IN, _EVER))
-R.add("dash_all_not_similar", lambda spark, d: dash_not_similar(spark, d, _EVER), R.sql["dash_not_similar"].replace(_IN, _EVER))
+R.add("dash_latest", dash_latest, 'SELECT node, ts, data FROM node_role WHERE ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY node ORDER BY ts DESC, "offset" DESC) = 1')
+_PROCESS_SQL = ", ".join(dash.PROCESS)
+R.add("dash_snapshot", dash_snapshot, f"SELECT DISTINCT node, ts, {_PROCESS_SQL} FROM prc WHERE (node, ts) IN (SELECT node, max(ts) FROM node_role GROUP BY node)")
+R.add("dash_snapshot_nearest", dash_snapshot_nearest, f"""WITH r AS (SELECT node, max(ts) AS r FROM node_role GROUP BY node), a AS (SELECT node, max(ts) AS ts FROM prc JOIN r USING (node) WHERE ts <= r.r GROUP BY node)
+SELECT DISTINCT node, ts, {_PROCESS_SQL} FROM prc SEMI JOIN a USING (node, ts)""")
+_HISTORY_SQL = "SELECT node, ts, pid, dreductions, reductions, memory, dmemory, message_queue_len FROM prc WHERE ts IS NOT NULL AND "
+R.add("dash_history", dash_history, _HISTORY_SQL + "(pid = '<0.116.0>' OR registered_name = 'lease_book')")
+_PRC_VIEW = _VIEW_SQL.format(t="prc", r=_RANGE_SQL.format(t="prc"))
+R.add("dash_history_viewed", dash_history_viewed, f"{_HISTORY_SQL} pid = (SELECT pid FROM prc WHERE true {_PRC_VIEW} GROUP BY pid ORDER BY count(*) DESC, pid LIMIT 1) {_PRC_VIEW}")
+R.add("dash_not_similar", dash_not_similar, "SELECT node, ts, pid, current_function, current_stacktrace FROM prc WHERE ts IS NOT NULL AND current_function NOT SIMILAR TO 'gen_server:loop/.*'")
 R.add("node_first_seen", node_first_seen, "SELECT DISTINCT node FROM app_top WHERE node IS NOT NULL")
 
 
@@ -465,3 +485,189 @@ _SPREE_OUT = 'SELECT "partition", k::varchar AS route_head, "offset", n, round(t
 R.add("stream_user_aggregate", stream_user_aggregate, _SPREE_SQL + _SPREE_OUT)
 _LAST = 'SELECT "partition", k, max(i) AS i FROM s GROUP BY ALL'
 R.add("user_aggregate", user_aggregate, _SPREE_SQL + _SPREE_OUT + f""" UNION ALL SELECT s."partition", s.k::varchar, s."offset", s.n, round(s.total, 4) FROM s JOIN ({_LAST}) USING ("partition", k, i) WHERE NOT s.done""")
+
+
+# progress of unfolded and hidden records, positions
+def unfold_safe_offsets(spark: SparkSession, d: str) -> DataFrame:
+    docs = with_envelope(load(spark, d, "documents").select("doc_id", "text"), "documents", F.lit(0), F.col("doc_id")).withColumn("safe", F.col("offset"))
+    out = stateless.unfold(F.split("text", "\n"), "line", safe="safe")(docs)
+    return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("safe") == F.col("offset")).alias("n_whole"), F.min("safe").alias("least"), F.max_by("safe", "ord").alias("last"))
+
+
+def hidden_forwarded(spark: SparkSession, d: str) -> DataFrame:
+    """Which records hidden by a filter advance the commit: those between the pairs of their partition."""
+    rows = substreams.demux(F.lit("all"))(_events(spark, d))
+    chunks = chunking.chunk_by_count(2)(rows.where("value > 20"))
+    return audit.forwarded(rows.where("NOT value > 20"), chunks).select("partition", "offset")
+
+
+def commit_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Positions after the chunks of two halves of the input were committed one after the other, and the first once more."""
+    store = OffsetStore(spark, scratch(spark, "positions"))
+    chunks = _chunks(spark, d, FULL)
+    whole = audit.committed(chunks)
+    for rows in (audit.committed(chunks.where("offset < 3000")), whole, audit.committed(chunks.where("offset < 3000"))):
+        store.commit(rows)
+    return store.table().select("partition", "position")
+
+
+R.add("unfold_safe_offsets", unfold_safe_offsets, """WITH u AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, n, 1::bigint AS n_whole, CASE WHEN n > 1 THEN doc_id - 1 ELSE doc_id END AS least, doc_id AS last FROM u""")
+R.add("hidden_forwarded", hidden_forwarded, f"""WITH e AS ({EVENTS_SQL}),
+r AS (SELECT "partition", "offset", (row_number() OVER (PARTITION BY "partition" ORDER BY "offset") - 1) // 2 AS c FROM e WHERE value > 20),
+c AS (SELECT "partition", min("offset") AS a, max("offset") AS z, count(*) = 2 AS closed FROM r GROUP BY "partition", c)
+SELECT "partition", "offset" FROM e WHERE NOT value > 20 AND NOT EXISTS (SELECT 1 FROM c WHERE c."partition" = e."partition" AND c.a < e."offset" AND (NOT c.closed OR c.z > e."offset"))""")
+R.add("commit_positions", commit_positions, SAFE_SQL + 'SELECT "partition", max(safe) + 1 AS position FROM s WHERE NOT is_open GROUP BY "partition"')
+
+
+# sinks, run to the end
+def retransmit_produced(spark: SparkSession, d: str) -> DataFrame:
+    """Topic to topic through a queue, and read back: the offsets of the new topic are dense."""
+    queue = FileQueue(spark, scratch(spark, "queue"))
+    m = _messages(spark, d, "kf.numbers")
+    send = workflows.retransmit_to(queue, "out", 5, partition=F.coalesce(F.col("key").cast("string").try_cast("long") % 5, F.lit(0)))
+    half = F.lit(2000)
+    for number, rows in ((0, m.where(F.col("offset") < half)), (1, m.where(F.col("offset") >= half)), (1, m.where(F.col("offset") >= half))):
+        send(rows, number)
+    out = queue.read("out")
+    return out.groupBy("partition").agg(
+        F.count("*").alias("n"), F.countDistinct("offset").alias("n_offsets"), F.max("offset").alias("last"), F.sum(F.octet_length("value")).alias("bytes"), F.count(F.nullif(F.size("headers"), F.lit(-1))).alias("n_headers")
+    )
+
+
+def loopback(spark: SparkSession, d: str) -> DataFrame:
+    """Two pipes glued together: what the first produces is the stream the second chunks."""
+    queue = FileQueue(spark, scratch(spark, "queue"))
+    first = pipe(stateless.filter_rows(F.col("value") > 20), stateless.map_rows(key=F.col("event_type").cast("binary"), value=F.col("value").cast("string").cast("binary")))
+    queue.produce(first(_events(spark, d)), "between")
+    rows = with_envelope(queue.stream("between"), F.col("topic"), F.col("partition"), F.col("offset")).withColumn("amount", F.col("value").cast("string").cast("double"))
+    rows = substreams.demux(F.col("key").cast("string"))(rows)
+    out = stream_chunks.to_table(stream_chunks.chunk_stream(rows, 10, "amount"), stream_chunks.fresh_root(spark, "second"))
+    return out.select("partition", substreams.route_head().alias("route_head"), "chunk", "first_offset", "offset", "n", F.round("total", 4).alias("total"))
+
+
+def objects_written(spark: SparkSession, d: str) -> DataFrame:
+    """Objects written slice by slice, then read back from where they lie."""
+    at = scratch(spark, "objects").removeprefix("file:")
+    m = _messages(spark, d, "kf.objects").withColumn("key", F.concat_ws("-", "partition", F.coalesce(F.col("key").cast("string"), F.lit("none"))).cast("binary"))
+    done = cut(workflows.write_objects(at, part_bytes=64)(m))
+    there = spark.read.format("binaryFile").load(at).select("path", "content") if done.where("NOT deleted").count() else spark.createDataFrame([], "path string, content binary")
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    both = done.select(name("path").alias("name"), "offset", "deleted", "n_bytes").join(there.select(name("path").alias("name"), F.md5(F.hex("content")).alias("content_md5")), "name", "full")
+    return both
+
+
+def database_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The last version of each key in a database, upserted in two batches, and read back."""
+    at = scratch(spark, "db").removeprefix("file:") + ".sqlite"
+    link = _sqlite(at)()
+    link.execute("CREATE TABLE kv (part INTEGER, foo TEXT, bar TEXT, _offset INTEGER, PRIMARY KEY (part, foo))")
+    link.commit()
+    rows = rec.json_objects(_messages(spark, d, "kf.upserts"), "foo string, bar string").select("offset", "ord", F.col("partition").alias("part"), "foo", "bar").where("foo IS NOT NULL")
+    for part in (rows.where("offset % 2 = 0 OR offset < 500"), rows.where("offset >= 500")):
+        tables.write_rows(part, _sqlite(at), "kv", ["part", "foo", "bar", "_offset"], ["part", "foo"]).collect()
+    found = link.execute("SELECT part, foo, bar FROM kv").fetchall()
+    link.close()
+    return spark.createDataFrame(found, "part int, foo string, bar string")
+
+
+def _sqlite(at: str):  # noqa: ANN202
+    def connect():  # noqa: ANN202
+        import sqlite3
+
+        return sqlite3.connect(at, timeout=120)
+
+    return connect
+
+
+def payload_slices(spark: SparkSession, d: str) -> DataFrame:
+    """Four slices of 40 bytes of the payload of each customer."""
+    ids = load(spark, d, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+    value = payload.stream_slice(F.col("c_custkey"), F.col("i") * 40, F.lit(40))
+    return ids.select("c_custkey", (F.col("i") + 1).alias("num"), F.lower(F.hex(value)).alias("value"), payload.byte_at(F.col("c_custkey"), F.col("i") * 40).alias("first_byte"))
+
+
+def helpers(spark: SparkSession, d: str) -> DataFrame:
+    """The scalar helpers over the functions of process records."""
+    f = load(spark, d, "fun_top")
+    m = F.nullif(F.regexp_extract("fun", "^([^:]*):", 1), F.lit(""))
+    name, arity = F.regexp_extract("fun", ":([^/]*)/", 1), F.regexp_extract("fun", "/([0-9]+)$", 1).try_cast("int")
+    return f.select(
+        "partition", "offset", rec.format_function(m, name, arity).alias("formatted"), rec.to_text(F.col("fun"), 7).alias("short"),
+        rec.nullable(F.col("fun_type"), "initial_call").alias("kind"), rec.path_join(F.lit("/a"), F.col("fun_type")).alias("path"),
+        rec.format_stacktrace(F.array("fun", "fun_type")).alias("trace"), hash_partition(F.col("fun").cast("binary"), 5).between(0, 4).alias("in_range"),
+    ).distinct()
+
+
+def route_stage_case(spark: SparkSession, d: str) -> DataFrame:
+    """A stage of its own for each route: clicks in pairs, errors in threes, the rest in tens."""
+    by = {"click": chunking.chunk_by_count(2), "error": chunking.chunk_by_count(3)}
+    out = pipe(substreams.demux(F.col("event_type")), substreams.route_stages(by, chunking.chunk_by_count(10)))(_events(spark, d))
+    return out.select("partition", substreams.route_head().alias("route_head"), "chunk", "first_offset", "offset", "n")
+
+
+class _Sizes(Assembler):
+    """The size of an object, added up slice by slice."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.n, self.size = 0, 0
+
+    def number(self, row) -> int:  # noqa: ANN001
+        return row.num
+
+    def count(self, row) -> int:  # noqa: ANN001
+        return row.cnt
+
+    def take(self, offset: int, row) -> None:  # noqa: ANN001, ARG002
+        self.n, self.size = self.n + 1, self.size + row.length
+
+    def finish(self) -> tuple:
+        return (False, self.corrupted, self.n, self.size)
+
+    def lost(self) -> tuple:
+        return (True, False, 0, None)
+
+
+_SIZES = "retransmission boolean, corrupted boolean, n_slices int, n_bytes long"
+
+
+def _numbered_slices(df: DataFrame) -> DataFrame:
+    num, cnt = header("slice_num").cast("int").alias("num"), header("slice_cnt").cast("int").alias("cnt")
+    key = F.coalesce(F.col("key").cast("string"), F.lit("<null>"))
+    rows = df.where("topic = 'kf.objects'").select("topic", "partition", "offset", "ord", "route", key.alias("k"), num, cnt, F.coalesce(F.octet_length("value"), F.lit(0)).alias("length"))
+    return substreams.demux(F.col("k"))(rows)
+
+
+def assembler_class(spark: SparkSession, d: str) -> DataFrame:
+    out = assemble_by(_Sizes, _SIZES)(_numbered_slices(_messages(spark, d, "kf.objects")))
+    return out.select("partition", F.nullif(substreams.route_head(), F.lit("<null>")).alias("key"), "offset", *[c.split()[0] for c in _SIZES.split(", ")])
+
+
+def stream_assembler_class(spark: SparkSession, d: str) -> DataFrame:
+    rows = _numbered_slices(with_envelope(source(spark, f"{d}/messages.parquet"), F.col("topic"), F.col("partition"), F.col("offset")))
+    out = stream_chunks.to_table(stream_chunks.aggregate_stream(rows, _Sizes, _SIZES), stream_chunks.fresh_root(spark, "sizes"))
+    return out.select("partition", F.nullif(substreams.route_head(), F.lit("<null>")).alias("key"), "offset", *[c.split()[0] for c in _SIZES.split(", ")])
+
+
+R.add("retransmit_produced", retransmit_produced, """SELECT coalesce(try_cast(decode("key") AS bigint) % 5, 0)::int AS "partition", count(*) AS n, count(*) AS n_offsets, count(*) - 1 AS last,
+sum(octet_length(value))::bigint AS bytes, count(headers) AS n_headers FROM messages WHERE topic = 'kf.numbers' GROUP BY 1""")
+R.add("loopback", loopback, f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY "partition" ORDER BY "offset") - 1 AS o FROM ({EVENTS_SQL}) WHERE value > 20),
+r AS (SELECT *, (row_number() OVER (PARTITION BY "partition", event_type ORDER BY o) - 1) // 10 AS chunk FROM e)
+SELECT "partition", event_type AS route_head, chunk, min(o) AS first_offset, max(o) AS "offset", count(*) AS n, round(sum(value), 4) AS total FROM r GROUP BY ALL HAVING count(*) = 10""")
+R.add("objects_written", objects_written, OBJECTS_SQL + """, l AS (SELECT * FROM a WHERE NOT retransmission QUALIFY row_number() OVER (PARTITION BY "partition", "key" ORDER BY "offset" DESC) = 1)
+SELECT "partition"::varchar || '-' || coalesce(decode("key"), 'none') AS name, "offset", deleted, CASE WHEN deleted THEN 0 ELSE coalesce(length(content) // 2, 0) END::bigint AS n_bytes,
+CASE WHEN NOT deleted THEN md5(coalesce(content, '')) END AS content_md5 FROM l""")
+R.add("database_upsert", database_upsert, f"""SELECT "partition" AS part, foo, bar FROM ({R.sql["upsert_latest"]}) WHERE foo IS NOT NULL""")
+R.add("payload_slices", payload_slices, """WITH i AS (SELECT c_custkey, unnest(range(0, 4)) AS i FROM customer),
+h AS (SELECT c_custkey, i, list_aggregate([md5(c_custkey::varchar || ':' || n::varchar) FOR n IN range(0, 10)], 'string_agg', '') AS h FROM i)
+SELECT c_custkey, (i + 1)::int AS num, substring(h, i * 80 + 1, 80) AS value, ('0x' || substring(h, i * 80 + 1, 2))::int AS first_byte FROM h""")
+R.add("helpers", helpers, """SELECT DISTINCT "partition", "offset", CASE WHEN regexp_matches(fun, '^[^:]+:[^/]*/[0-9]+$') THEN regexp_extract(fun, '^([^:]*):', 1)[:30] || ':' || regexp_extract(fun, ':([^/]*)/', 1)[:40] || '/' || regexp_extract(fun, '/([0-9]+)$', 1)::int ELSE 'no data' END AS formatted,
+fun[:7] AS short, nullif(fun_type, 'initial_call') AS kind, CASE WHEN fun_type IS NULL THEN '/a' ELSE '/a/' || fun_type END AS path,
+to_json([fun, fun_type])::varchar AS trace, CASE WHEN fun IS NOT NULL THEN true END AS in_range FROM fun_top""")
+R.add("route_stage_case", route_stage_case, f"""WITH r AS (SELECT *, (row_number() OVER (PARTITION BY "partition", event_type ORDER BY "offset") - 1) // CASE event_type WHEN 'click' THEN 2 WHEN 'error' THEN 3 ELSE 10 END AS chunk FROM ({EVENTS_SQL}))
+SELECT "partition", event_type AS route_head, chunk, min("offset") AS first_offset, max("offset") AS "offset", count(*) AS n FROM r GROUP BY ALL""")
+_SIZES_SQL = OBJECTS_SQL + """SELECT "partition", decode("key") AS "key", "offset", retransmission, NOT retransmission AND corrupted AS corrupted, CASE WHEN retransmission THEN 0 ELSE n_slices END AS n_slices,
+CASE WHEN NOT retransmission THEN coalesce(length(content) // 2, 0)::bigint END AS n_bytes FROM a"""
+R.add("assembler_class", assembler_class, _SIZES_SQL)
+R.add("stream_assembler_class", stream_assembler_class, _SIZES_SQL)

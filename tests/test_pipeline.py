@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.envelope import with_envelope
 from millrace.operators import audit, blocks, chunking, stateless, substreams
 from millrace.operators.assemble import assemble
-from millrace.plans.pipeline import Workflow, load_workflows, pipe, supervise
+from millrace.plans.pipeline import Workflow, load_workflows, node, pipe, supervise
 from millrace.sources.files import feed, make_source
 
 
@@ -348,3 +348,166 @@ def test_malformed_json_is_left_out(spark):
     df = spark.createDataFrame([(i, b"k", t.encode() if t is not None else None) for i, t in enumerate(texts)], "o long, key binary, value binary")
     got = json_upsert("foo string, bar string", ["foo"])(with_envelope(df, "t", F.lit(0), F.col("o"))).collect()
     assert {(r.foo, r.bar) for r in got} == {("a", "2"), ("b", None)}
+
+
+def test_stage_forms(spark):
+    df = stream(spark, [1, 2, 3, 4])
+    for spec in (stateless.map_rows(w=F.col("v") * 2), ("map", {"w": F.col("v") * 2}), ("map", {"w": F.col("v") * 2}, {"partitions": 3})):
+        assert sorted(r.w for r in node(spec)(df).collect()) == [2, 4, 6, 8]
+    out = pipe([node(s) for s in (("demux", F.col("v") % 2), ("chunk", (2,)), "join")])(df)
+    assert sorted((r.first_offset, r.offset, r.route) for r in out.collect()) == [(1, 3, []), (2, 4, [])]
+    out = node(("route_dependent", {"1": stateless.map_rows(v=-F.col("v"))}))(substreams.demux(F.col("v") % 2)(df))
+    assert sorted(r.v for r in out.collect()) == [-3, -1, 2, 4]
+    with pytest.raises(ValueError, match="called"):
+        node("nothing")
+    assert [(r.offset, r.w) for r in stateless.constant(w=7)(df).orderBy("offset").collect()] == [(i, 7) for i in range(1, 5)]
+
+
+def test_own_state_of_a_task_and_time_limit(spark):
+    import pandas as pd
+
+    def slow(state, f):
+        import time
+
+        state.append(len(f))
+        time.sleep(0 if f["v"].max() < 9 else 5)
+        return pd.DataFrame({"n": [len(state)] * len(f)})
+
+    df = stream(spark, [1, 2, 3]).select("v").coalesce(1)
+    assert [r.n for r in stateless.map_batches(list, slow, "n long", timeout=2)(df).collect()] == [1, 1, 1]
+    with pytest.raises(Exception, match="longer than 0.5"):
+        stateless.map_batches(list, slow, "n long", timeout=0.5)(stream(spark, [9]).select("v")).collect()
+
+
+def test_safe_offsets_of_unfolded_rows(spark):
+    df = with_envelope(spark.createDataFrame([(5, [1, 2, 3]), (9, [4])], "o long, xs array<int>"), "t", F.lit(0), F.col("o")).withColumn("safe", F.col("offset"))
+    out = stateless.unfold(F.col("xs"), "x", safe="safe")(df).orderBy("offset", "ord").collect()
+    assert [(r.x, r.safe) for r in out] == [(1, 4), (2, 4), (3, 5), (4, 9)]
+
+
+def test_hidden_records_advance_only_empty_partitions(spark):
+    chunks = spark.createDataFrame([("t", 0, 2, 5, False), ("t", 0, 7, 7, False), ("t", 0, 9, 9, True)], "topic string, partition int, first_offset long, offset long, is_open boolean")
+    hidden = spark.createDataFrame([("t", 0, o) for o in (1, 3, 4, 6, 8, 10)] + [("t", None, 4)], "topic string, partition int, offset long")
+    got = {(r.partition, r.offset) for r in audit.forwarded(hidden, chunks).collect()}
+    assert got == {(0, 1), (0, 6), (0, 8), (None, 4)}
+
+
+def flow_of(spark, tmp_path, **more):
+    from millrace.sources.files import stream_source
+
+    for i in range(3):
+        spark.range(i * 10, i * 10 + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    return Workflow("flow", lambda s: stream_source(s, str(tmp_path / "in"), "t", F.lit(0), F.col("id"), files=1), ["map", stateless.identity()][1:], str(tmp_path / "cp"), **more)
+
+
+@pytest.mark.parametrize("commit", ["auto", "user", "never"])
+def test_who_commits(spark, tmp_path, commit):
+    from millrace.sinks.commit import OffsetStore
+
+    store = OffsetStore(spark, str(tmp_path / "store"))
+    flow = flow_of(spark, tmp_path, commit=commit, positions=store)
+    flow.run(spark, lambda b, n: store.commit_rows(b.where("offset < 25")) if commit == "user" else None)
+    assert store.positions() == {"auto": {("t", 0): 30}, "user": {("t", 0): 25}, "never": {}}[commit]
+
+
+def test_a_batch_that_takes_too_long(spark, tmp_path):
+    import time
+
+    flow = flow_of(spark, tmp_path, options={"feed_timeout": 3.0})
+    with pytest.raises(TimeoutError):
+        flow.run(spark, lambda b, n: time.sleep(30) if n == 1 else None)
+    assert not spark.streams.active
+
+
+def test_graceful_stop_with_and_without_time(spark, tmp_path):
+    import time
+
+    seen = []
+    flow = flow_of(spark, tmp_path, options={"flush_seconds": 1})
+    assert flow.stop(flow.start(spark, lambda b, n: seen.append(b.count()))) and sum(seen) == 30
+    slow = Workflow("slow", flow.source, flow.stages, str(tmp_path / "cp2"), {"flush_seconds": 1, "shutdown_timeout": 1.0})
+    query = slow.start(spark, lambda b, n: time.sleep(8))
+    time.sleep(2)
+    t = time.time()
+    assert slow.stop(query) is False and time.time() - t < 5
+    query.awaitTermination(60)
+    assert not query.isActive
+
+
+def test_pages_of_health(spark, tmp_path):
+    import json
+    import urllib.error
+    import urllib.request
+
+    from millrace.plans import pipeline
+    from millrace.sinks.commit import OffsetStore
+
+    store = OffsetStore(spark, str(tmp_path / "store"))
+    flow = flow_of(spark, tmp_path, positions=store, options={"flush_seconds": 1})
+    query = flow.start(spark, lambda b, n: b.count())
+    query.processAllAvailable()
+    server = pipeline.serve(spark, positions={"flow": store})
+    get = lambda page: urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}{page}", timeout=10).read().decode()
+    try:
+        assert json.loads(get("/healthcheck"))["flow"]["healthy"] is True
+        text = get("/metrics")
+        assert 'millrace_healthy{query="flow"} 1' in text and 'millrace_position{query="flow",topic="t",partition="0"} 30' in text and "millrace_batch_ms" in text
+        assert "flow: ok" in get("/")
+        with pytest.raises(urllib.error.HTTPError):
+            get("/other")
+    finally:
+        server.shutdown()
+        query.stop()
+
+
+def test_log_of_a_pipe(tmp_path):
+    from millrace.plans.pipeline import logger
+
+    for _ in range(2):
+        logger("p1", str(tmp_path / "p1.log")).info("said")
+    assert (tmp_path / "p1.log").read_text() == "said\nsaid\n"
+
+
+def test_queue_workflow_reads_one_topic_from_its_positions(spark, tmp_path):
+    from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+
+    from millrace.plans.pipeline import queue_workflow
+    from millrace.sinks.commit import OffsetStore
+
+    class FakeTopic(DataSource):
+        @classmethod
+        def name(cls):
+            return "faketopic"
+
+        def schema(self):
+            return "topic string, partition int, offset long, key binary, value binary"
+
+        def simpleStreamReader(self, schema):
+            options = dict(self.options)
+
+            class R(SimpleDataSourceStreamReader):
+                def initialOffset(self):
+                    import json
+
+                    at = options["startingoffsets"] if "startingoffsets" in options else options["startingOffsets"]
+                    return {"at": 0 if at == "earliest" else json.loads(at)["t"]["0"]}
+
+                def read(self, start):
+                    rows = [("t", 0, o, b"k", str(o).encode()) for o in range(start["at"], 12)]
+                    return iter(rows), {"at": max(12, start["at"])}
+
+                def readBetweenOffsets(self, start, end):
+                    return iter([("t", 0, o, b"k", str(o).encode()) for o in range(start["at"], end["at"])])
+
+            return R()
+
+    spark.dataSource.register(FakeTopic)
+    store, seen = OffsetStore(spark, str(tmp_path / "store")), []
+    for run in range(2):
+        flow = queue_workflow("q", [stateless.filter_rows(F.col("offset") >= 0)], "t", "g", {"kafka.bootstrap.servers": "a:1"}, str(tmp_path / f"cp{run}"), positions=store, connector="faketopic")
+        flow.run(spark, lambda b, n: seen.extend(r.offset for r in b.collect() if r.offset < 8) or store.commit_rows(b.where("offset < 8")))
+        if run == 0:
+            assert sorted(seen) == list(range(8)) and store.positions() == {("t", 0): 12}
+    assert sorted(seen) == list(range(8))
+    with pytest.raises(ValueError, match="one topic"):
+        queue_workflow("q", [], "a,b", "g", {})

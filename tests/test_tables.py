@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.envelope import with_envelope
 from millrace.functions import records
-from millrace.plans import workflows
+from millrace.plans import dashboards, workflows
 from millrace.sinks import files, queue, table
 from millrace.sources.queue import client_options, read_options
 
@@ -207,7 +207,8 @@ def test_retry_and_execute():
 def test_records_survive_encoding_and_bad_ones_are_dropped(spark):
     df = spark.createDataFrame([("n", "2020-01-01 00:00:00.000001", "app" * 40, "memory", "1.5")], "node string, ts string, application string, unit string, value string")
     good = df.select(records.encode_record("app_top", df).alias("value"))
-    bad = spark.createDataFrame([('["unknown","x"]',), ('["app_top","x"]',), ("{",), (None,), ("",)], "value string")
+    bad = [('["unknown","x"]',), ('["app_top","x"]',), ("{",), (None,), ("",), ('["app_top","n","no time","a","memory","1"]',), ('["app_top","n","2020-01-01 00:00:00","a","memory","much"]',)]
+    bad = spark.createDataFrame(bad, "value string")
     out = workflows.sysmon(good.unionByName(bad))
     r = out["app_top"].collect()
     assert len(r) == 1 and len(r[0].application) == 60 and r[0].ts.microsecond == 1
@@ -239,14 +240,38 @@ def test_queue_options(tmp_path):
     assert queue.produce_options("t")["kafka.acks"] == "all"
 
 
-def test_all_queries_run(spark, sf):
-    import __spark_entry__ as entry
+def test_all_queries_against_their_sql(spark, sf):
+    """Every registered query of the rest of the library runs over the smallest tables and gives what its SQL gives."""
+    import decimal
+    import glob
+    import os
 
-    q = entry.queries()
-    assert set(entry.oracle_sql()) <= set(q)
-    for name in ("chunk_group_messages", "assemble_objects", "stream_chunks", "dash_latest"):
+    import __spark_entry__ as entry
+    duckdb = pytest.importorskip("duckdb")
+
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for f in glob.glob(f"{sf}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM read_parquet('{f}')")
+
+    def plain(v):
+        if isinstance(v, (float, decimal.Decimal)) or isinstance(v, int) and not isinstance(v, bool):
+            return "nan" if v != v else float(f"{float(v):.9g}")
+        return bytes(v) if isinstance(v, bytearray) else tuple(map(plain, v)) if isinstance(v, list) else v
+
+    q, sql = entry.queries(), entry.oracle_sql()
+    assert set(sql) <= set(q)
+    own = [k for k in q if q[k].__module__.startswith("millrace.queries")]
+    for name in own:
         df = q[name](spark, sf)
-        assert df.count() >= 0 and len(set(df.columns)) == len(df.columns)
+        columns = sorted(df.columns)
+        assert len(set(columns)) == len(columns), name
+        got = sorted((tuple(plain(v) for v in r) for r in df.select(*columns).collect()), key=repr)
+        if name in sql:
+            rows = con.execute(sql[name])
+            at = {c[0]: i for i, c in enumerate(rows.description)}
+            assert sorted(at) == columns, name
+            assert got == sorted((tuple(plain(r[at[c]]) for c in columns) for r in rows.fetchall()), key=repr), name
     assert entry.entry(spark).count() > 0
 
 
@@ -255,21 +280,29 @@ def test_dashboards_over_all_days(spark, tmp_path):
 
     t0 = dt.datetime(2020, 1, 1, 0, 0, 0, 500_000)
     at = [t0 + dt.timedelta(hours=i) for i in range(72)]
-    app = [(t, a, u, i) for i, t in enumerate(at) for a in "xy" for u in ("memory", "processes", "reductions")] + [(None, "x", "memory", 5)]
-    fun = [(t, "f", k, i) for i, t in enumerate(at) for k in ("initial_call", "current_function")] + [(None, "f", "initial_call", 5)]
+    app = [("n", t, a, u, i) for i, t in enumerate(at) for a in "xy" for u in ("memory", "processes", "reductions")] + [("n", None, "x", "memory", 5)]
+    fun = [("n", t, "f", k, i) for i, t in enumerate(at) for k in ("initial_call", "current_function")] + [("n", None, "f", "initial_call", 5)]
     prc = [("n", t, "<0.116.0>", None, "m:f/0", i) for i, t in enumerate(at)] + [("n", None, "<0.116.0>", None, "m:f/0", 5)]
-    spark.createDataFrame(app, "ts timestamp_ntz, application string, unit string, value long").write.parquet(str(tmp_path / "app_top.parquet"))
-    spark.createDataFrame(fun, "ts timestamp_ntz, fun string, fun_type string, num_processes long").write.parquet(str(tmp_path / "fun_top.parquet"))
+    spark.createDataFrame(app, "node string, ts timestamp_ntz, application string, unit string, value long").write.parquet(str(tmp_path / "app_top.parquet"))
+    spark.createDataFrame(fun, "node string, ts timestamp_ntz, fun string, fun_type string, num_processes long").write.parquet(str(tmp_path / "fun_top.parquet"))
     schema = "node string, ts timestamp_ntz, pid string, registered_name string, current_function string, memory long"
-    full = spark.createDataFrame(prc, schema).withColumns({"reductions": F.lit(1), "message_queue_len": F.lit(0)})
+    full = spark.createDataFrame(prc, schema).withColumns({"reductions": F.lit(1), "message_queue_len": F.lit(0), "dreductions": F.lit(1.0), "dmemory": F.lit(1.0), "current_stacktrace": F.lit("s")})
     full.write.parquet(str(tmp_path / "prc.parquet"))
-    q = {k.removeprefix("dash_all_"): f(spark, str(tmp_path)).collect() for k, f in entry.queries().items() if k.startswith("dash_all_")}
-    assert len(q) == 7
+    q = {k: entry.queries()[f"dash_{k}"](spark, str(tmp_path)).collect() for k in ("log_avg", "avg_memory", "avg_processes", "avg_initial_call", "avg_current_function", "history", "not_similar")}
     start, width = t0.replace(tzinfo=dt.UTC).timestamp(), (71 * 3600 + 1) // 100
     buckets = [int((start + 3600 * i) / width + 0.5) * width for i in range(72)]
     for name in ("avg_memory", "avg_processes", "avg_initial_call", "avg_current_function"):
         keys = ["f"] if "_c" in name else ["x", "y"]
-        assert sorted(map(tuple, q[name])) == sorted((k, b, float(i)) for k in keys for i, b in enumerate(buckets))
+        assert sorted(map(tuple, q[name])) == sorted(("n", k, b, float(i)) for k in keys for i, b in enumerate(buckets))
     assert sorted(r.bucket for r in q["log_avg"]) == sorted(buckets * 2)
     assert [r.ts for r in q["history"]] == at
-    assert [tuple(r) for r in q["not_similar"]] == [("n", "m:f/0", 72)]
+    assert [(r.node, r.ts, r.current_function) for r in q["not_similar"]] == [("n", t, "m:f/0") for t in at]
+    view = {"node": "n", "start": at[10], "end": at[20]}
+    got = dashboards.averages(spark.read.parquet(str(tmp_path / "app_top.parquet")), "application", "value", F.col("unit") == "memory", **view).where("application = 'x'")
+    assert sorted((r.bucket, r.mean) for r in got.collect()) == [(int((start + 3600 * i) / 360 + 0.5) * 360, float(i)) for i in range(10, 21)]
+    p = spark.read.parquet(str(tmp_path / "prc.parquet"))
+    assert [r.ts for r in dashboards.history(p, ["memory"], pid="<0.116.0>", not_in="m:", **view).collect()] == []
+    assert [r.ts for r in dashboards.history(p, ["memory"], pid="<0.116.0>", name="x", **view).collect()] == at[10:21]
+    role = spark.createDataFrame([("n", at[15], 1, "a"), ("n", at[30], 2, "b"), ("m", at[15], 3, "c")], "node string, ts timestamp_ntz, offset long, data string")
+    assert [r.data for r in dashboards.latest_status(role, "n", at[16]).collect()] == ["b"]
+    assert [r.ts for r in dashboards.snapshot(p.withColumns({c: F.lit(0) for c in dashboards.PROCESS if c not in p.columns}), role, "n", at[1], at[20]).collect()] == [at[15]]
