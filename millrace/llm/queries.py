@@ -64,7 +64,22 @@ dp AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS p FROM (SELE
 ip AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS p FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM iw))
 """
 R.add("p9_found", p9_found, _WORDS_SQL + "SELECT DISTINCT doc_id, item_id FROM dp JOIN ip USING (p)")
-R.add("p9_spans", p9_spans)
+R.add(
+    "p9_spans",
+    p9_spans,
+    """
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9]+')) AS t, unnest(range(1, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9]+')) + 1)) AS i FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, i, t, strlen(t) AS n, sum(strlen(t)) OVER (PARTITION BY doc_id ORDER BY i) AS z FROM t),
+w AS (SELECT doc_id, i, z - n AS a, z, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM e WHERE regexp_matches(t, '^[A-Za-z0-9]')),
+dp AS (SELECT doc_id, a, lead(z, 11) OVER (PARTITION BY doc_id ORDER BY i) AS z,
+  string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS p FROM w),
+iw AS (SELECT item_id, regexp_extract_all(translate(prompt, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM eval_items WHERE prompt IS NOT NULL),
+ip AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS p FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM iw)),
+h AS (SELECT doc_id, item_id, a, z FROM dp JOIN ip USING (p) WHERE z IS NOT NULL),
+m AS (SELECT *, max(z) OVER (PARTITION BY doc_id, item_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM h),
+g AS (SELECT *, sum(CASE WHEN high IS NULL OR a > high THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, item_id ORDER BY a) AS span FROM m)
+SELECT doc_id, item_id, min(a)::bigint AS first_byte, max(z)::bigint AS end_byte FROM g GROUP BY doc_id, item_id, span""",
+)
 
 
 # 10: personal information inside free text
