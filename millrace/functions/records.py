@@ -45,7 +45,7 @@ def decode_records(df: DataFrame, value: str = "value") -> DataFrame:
     """Adds ``tag`` (null for unknown tags, wrong numbers of fields and unreadable text) and ``fields``."""
     text = F.col(value).cast("string")
     arr = F.from_json(text, "array<string>", {"mode": "PERMISSIVE"})
-    tag = F.element_at(arr, 1)
+    tag = F.try_element_at(arr, F.lit(1))
     arity = F.lit(None).cast("int")
     for t in RECORDS:
         arity = F.when(tag == t, F.lit(len(fields_of(t)) + 1)).otherwise(arity)
@@ -58,7 +58,7 @@ def typed(df: DataFrame, tag: str) -> DataFrame:
     is not of its field's type is dropped as a whole, as one with the wrong number of fields is."""
     out, good = [], F.lit(True)
     for i, (name, kind) in enumerate(fields_of(tag)):
-        raw = F.element_at("fields", i + 1)
+        raw = F.try_element_at("fields", F.lit(i + 1))
         kind = "decimal(18,3)" if kind == "decimal" else kind
         c = F.substring(raw, 1, LIMITS[name]) if kind == "string" and name in LIMITS else raw.try_cast(kind) if kind != "string" else raw
         if kind != "string":
