@@ -42,8 +42,18 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A fresh path in the shared folder; ``clean`` removes it again."""
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    spark.sparkContext.__dict__.setdefault("_millrace_scratch", []).append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes the scratch folders of this session, when none of the results that lie there is needed any more."""
+    paths = spark.sparkContext.__dict__.pop("_millrace_scratch", [])
+    for p in paths:
+        Files(spark, p).drop("")
+    return len(paths)
 
 
 def ship(spark: SparkSession) -> None:
@@ -95,4 +105,4 @@ class Files:
             stream.close()
 
     def drop(self, name: str) -> None:
-        self.fs.delete(self._path(f"{self.root}/{name}"), True)
+        self.fs.delete(self._path(f"{self.root}/{name}".rstrip("/")), True)

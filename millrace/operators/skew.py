@@ -30,7 +30,8 @@ def key_counts(df: DataFrame, key: Column, salt_by: Sequence[Column], salts: int
     """``(key, n_rows, share)`` of every key, counted in two stages."""
     partial = df.select(key.alias("key"), _salt(salt_by, salts).alias("_salt")).groupBy("key", "_salt").agg(F.count("*").alias("n"))
     counts = partial.groupBy("key").agg(F.sum("n").alias("n_rows"))
-    total = df.agg(F.count("*").alias("n")).scalar()
+    # the sum of the counts is made from the same exchange, without another scan
+    total = counts.agg(F.sum("n_rows").alias("n")).scalar()
     return counts.withColumn("share", F.col("n_rows") / total)
 
 

@@ -8,12 +8,15 @@ neighbouring stages and pushes filters to the scan.
 from __future__ import annotations
 
 import signal
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from millrace.common import ship
 from millrace.envelope import ENVELOPE
 
 Stage = Callable[[DataFrame], DataFrame]
@@ -61,6 +64,26 @@ def unfold(items: Column, name: str, safe: str | None = None) -> Stage:
     return stage
 
 
+def unfold_rows(items: Callable[[NamedTuple], Iterable[tuple]], schema: str) -> Stage:
+    """Python unfold: ``items`` gives the output rows of an input row, in order, as tuples of ``schema``.
+
+    The envelope is kept and ``ord`` grows by the place among the row's items; other columns are replaced.
+    """
+    names = [*ENVELOPE, *StructType.fromDDL(schema).names]
+    full = f"topic string, partition int, offset long, ord array<int>, route array<string>, {schema}"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(r.topic, r.partition, r.offset, [*r.ord, i], r.route, *x) for r in f.itertuples(index=False) for i, x in enumerate(items(r))]
+            yield pd.DataFrame(rows, columns=names)
+
+    def stage(df: DataFrame) -> DataFrame:
+        ship(df.sparkSession)
+        return df.mapInPandas(run, full)
+
+    return stage
+
+
 def map_batches(init: Callable[[], object], step: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str,
                 terminate: Callable[[object], None] | None = None, timeout: float | None = None) -> Stage:
     """Python stage with a state of its own for each task: made once, used for every batch, ended at last.
@@ -88,7 +111,11 @@ def map_batches(init: Callable[[], object], step: Callable[[object, pd.DataFrame
             if terminate:
                 terminate(state)
 
-    return lambda df: df.mapInPandas(run, schema)
+    def stage(df: DataFrame) -> DataFrame:
+        ship(df.sparkSession)
+        return df.mapInPandas(run, schema)
+
+    return stage
 
 
 def identity() -> Stage:

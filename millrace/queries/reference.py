@@ -501,6 +501,16 @@ def hidden_forwarded(spark: SparkSession, d: str) -> DataFrame:
     return audit.forwarded(rows.where("NOT value > 20"), chunks).select("partition", "offset")
 
 
+def _sentences(row) -> list[tuple]:  # noqa: ANN001
+    return [(x.strip(), len(x.strip())) for x in (row.props or "").strip("{}").split(":")]
+
+
+def unfold_python(spark: SparkSession, d: str) -> DataFrame:
+    """Python code that takes the properties of an event apart."""
+    out = stateless.unfold_rows(_sentences, "item string, n long")(_events(spark, d))
+    return out.select("partition", "offset", F.element_at("ord", -1).alias("pos"), "item", "n")
+
+
 def commit_positions(spark: SparkSession, d: str) -> DataFrame:
     """Positions after the chunks of two halves of the input were committed one after the other, and the first once more."""
     store = OffsetStore(spark, scratch(spark, "positions"))
@@ -513,6 +523,8 @@ def commit_positions(spark: SparkSession, d: str) -> DataFrame:
 
 R.add("unfold_safe_offsets", unfold_safe_offsets, """WITH u AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, n, 1::bigint AS n_whole, CASE WHEN n > 1 THEN doc_id - 1 ELSE doc_id END AS least, doc_id AS last FROM u""")
+R.add("unfold_python", unfold_python, f"""SELECT "partition", "offset", (i - 1)::int AS pos, trim(s[i]) AS item, length(trim(s[i]))::bigint AS n
+FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM (SELECT *, string_split(trim(coalesce(props, ''), '{{}}'), ':') AS s FROM ({EVENTS_SQL})))""")
 R.add("hidden_forwarded", hidden_forwarded, f"""WITH e AS ({EVENTS_SQL}),
 r AS (SELECT "partition", "offset", (row_number() OVER (PARTITION BY "partition" ORDER BY "offset") - 1) // 2 AS c FROM e WHERE value > 20),
 c AS (SELECT "partition", min("offset") AS a, max("offset") AS z, count(*) = 2 AS closed FROM r GROUP BY "partition", c)

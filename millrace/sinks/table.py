@@ -67,9 +67,28 @@ def expired(b: Column, today: Column, days: int, retention_days: int) -> Column:
     return b < bucket(today, days) - retention_days
 
 
-def write_rotated(df: DataFrame, ts: str, path: str, days: int) -> None:
-    """Appends to a table of bucket folders; a query on a range of time prunes to its folders."""
-    df.withColumn("bucket", bucket(F.col(ts), days)).write.mode("append").partitionBy("bucket").parquet(path)
+def write_rotated(df: DataFrame, ts: str, path: str, days: int, index: Sequence[str] = ()) -> None:
+    """Appends to a table of bucket folders; a query on a range of time prunes to its folders.
+
+    ``index``: columns the files are sorted by, so that their statistics leave out what a filter on them does not need.
+    """
+    rows = df.withColumn("bucket", bucket(F.col(ts), days))
+    rows = rows.sortWithinPartitions("bucket", *index) if index else rows
+    rows.write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def ensure_buckets(spark, path: str, today: str, days: int, retention_days: int, ahead: int = 3, behind: int = 0) -> tuple[list[str], list[str]]:  # noqa: ANN001
+    """Makes the folders of the buckets that must exist today and drops those past retention; returns (made, dropped)."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    need = spark.range(1).select(planned_buckets(F.lit(today), days, ahead, behind).alias("b")).first()["b"]
+    made = []
+    for b in need:
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}")
+        if not fs.exists(at):
+            fs.mkdirs(at)
+            made.append(f"bucket={b}")
+    return made, drop_expired(path, spark, today, days, retention_days)
 
 
 def drop_expired(df_path: str, spark, today: str, days: int, retention_days: int) -> list[str]:  # noqa: ANN001

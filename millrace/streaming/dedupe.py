@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from millrace.common import scratch, ship
+from millrace.common import Files, scratch, ship
 
 #: Offsets of one bitmap, and keys of the store for each sequence.
 BLOCK = 8192
@@ -171,6 +171,7 @@ def deliver_once(
         done = rows.join(copies.withColumn("_again", F.lit(True)), ["_file", "_pos"], "left")
         done = done.select(*kept.names, F.coalesce("_again", F.lit(False)).alias("again"), F.lit(number).cast("long").alias("batch"))
         done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "again").parquet(out)
+        Files(spark, root).drop(f"marks/{number}")
 
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -192,8 +193,10 @@ def deliver_once(
 
 
 def dedupe_table(spark: SparkSession, path: str, files_per_batch: int | None = None, columns: Sequence[str] | None = None, **store: object) -> tuple[DataFrame, DataFrame]:
-    """The messages of a table, by (topic, partition, offset), run as a stream in a fresh root."""
-    return deliver_once(
-        spark, path, ["topic", "partition", "offset"], "received_at", "batch_id", scratch(spark, "dedupe"), files_per_batch=files_per_batch,
-        columns=columns, **store,
-    )
+    """The messages of a table, by (topic, partition, offset), run as a stream in a fresh root, which is not gone on from."""
+    root = scratch(spark, "dedupe")
+    both = deliver_once(
+        spark, path, ["topic", "partition", "offset"], "received_at", "batch_id", root, files_per_batch=files_per_batch, columns=columns, **store
+    )
+    Files(spark, root).drop("checkpoint")
+    return both

@@ -39,10 +39,39 @@ def test_buckets_rotate(spark, tmp_path):
     gone = table.drop_expired(str(tmp_path / "t"), spark, "2020-03-03", 10, 20)
     assert len(gone) == 1
     assert {r.d for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {"2020-02-15", "2020-03-01"}
+    made, dropped = table.ensure_buckets(spark, str(tmp_path / "t"), "2020-03-20", 10, 20)
+    assert len(made) == 4 and len(dropped) == 1
+    assert len(table.ensure_buckets(spark, str(tmp_path / "t"), "2020-03-20", 10, 20)[0]) == 0
+    table.write_rotated(df, "ts", str(tmp_path / "s"), 10, index=["d"])
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 3
     b = spark.range(1).select(table.planned_buckets(F.lit("2020-03-03"), 10).alias("b")).first().b
     assert len(b) == 4 and b[1] - b[0] == 10 and b[0] % 10 == 0
 
 
+def test_scratch_folders_are_cleaned(spark):
+    from millrace import common
+
+    at = common.scratch(spark, "x")
+    spark.range(3).write.parquet(at)
+    assert common.clean(spark) >= 1 and not common.Files(spark, at).fs.exists(common.Files(spark, at)._path(at))
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(monkeypatch):
+    from types import SimpleNamespace
+
+    from millrace import common
+
+    def session(master):
+        none = SimpleNamespace(isDefined=lambda: False)
+        sc = SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda *_: None), _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)), setCheckpointDir=lambda d: None)
+        return SimpleNamespace(sparkContext=sc)
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="share"):
+            common.shared_dir(session(master))
+    assert common.shared_dir(session("local[2]"))
+
+
 def test_upsert_statement():
     assert table.upsert_statement("t", ["a", "b"], ["a"]) == "INSERT INTO t (a, b) VALUES (?, ?) ON CONFLICT (a) DO UPDATE SET b = EXCLUDED.b"
     assert table.upsert_statement("t", ["a"], ["a"]).endswith("DO NOTHING")
