@@ -34,6 +34,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -365,18 +366,20 @@ def street_graph(cand: DataFrame, support: int = 3, share: float = 0.5, doubt: f
 def find(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, line_no, kind, first, last)`` of every accepted candidate."""
     cand = cut(list_candidates(df, ident, text))
-    givens, surnames = name_lexicon(cand)
+    # the families do not need each other, and their rounds are small jobs that mostly wait
+    with ThreadPoolExecutor(4) as pool:
+        jobs = [pool.submit(f, cand) for f in (name_lexicon, number_shapes, seed_words, street_graph)]
+        (givens, surnames), shapes, words, graph = (j.result() for j in jobs)
     pos = ["doc_id", "line_no", "first", "last"]
     names = cand.where("family = 'name'").join(surnames.withColumnRenamed("word", "k2"), "k2", "left_semi")
     marked = names.where("startswith(k1, '<')")
     full = names.where("NOT startswith(k1, '<')").join(givens.withColumnRenamed("word", "k1"), "k1", "left_semi")
     people = marked.select(*pos).unionByName(full.select(*pos)).withColumn("kind", F.lit("person_name"))
-    numbers = cand.where("family = 'number'").join(number_shapes(cand), "k1", "left").join(seed_words(cand), "k2", "left")
+    numbers = cand.where("family = 'number'").join(shapes, "k1", "left").join(words, "k2", "left")
     # the word before this very number says more than what its shape mostly is
     told = F.when(F.expr(_FULL) | F.col("good"), F.col("seed"))
     numbers = numbers.withColumn("kind", F.coalesce(told, "kind")).where("kind IS NOT NULL").select(*pos, "kind")
     mails = cand.where("family = 'mail'").join(mail_domains(cand, givens, surnames), "k2", "left_semi").select(*pos, F.lit("email").alias("kind"))
-    graph = street_graph(cand)
     node = lambda n, c: graph.where(F.col("node") == n).select(F.col("word").alias(c))
     streets = cand.where("family = 'street'").join(node("kind", "k2"), "k2", "left_semi")
     streets = streets.join(node("stem", "k1").withColumn("_stem", F.lit(1)), "k1", "left").join(node("doubtful", "context").withColumn("_bad", F.lit(1)), "context", "left")
