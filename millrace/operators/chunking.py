@@ -11,7 +11,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -81,42 +83,66 @@ def chunk_by_size(size: str, max_size: int, max_messages: int | None = None, cou
     ``max_messages`` rows came before it. ``counts_first``: the first row takes part in that test.
 
     Output as ``chunk_by_count``, with ``bytes``; ``is_open`` marks chunks cut off by the end of input.
+    Null and negative sizes count as 0. Each cut depends on the one before, so a substream is read in one
+    task, chunk by chunk: the place of the next cut is looked up in the running sums of a batch.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key: tuple | None = None
-        number = n = held = first = last = 0  # of the open chunk: rows, sizes, ends
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, number, n, held, first, last = None, 0, 0, 0, 0, 0  # of the open chunk: rows, sizes, ends
 
         def close(is_open: bool) -> tuple:
-            return (*key[:2], list(key[2]), number, first, last, n, held, is_open)
-
-        for f in frames:
+            return (key, number, first, last, n, held, is_open)
+
+        def told(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["_key", *names])
+
+        for batch in batches:
+            keys, offset = batch.column("_key"), batch.column("offset").to_numpy()
+            sums = np.append(0, np.cumsum(batch.column("_size").to_numpy()))
+            codes = keys.dictionary_encode()
+            where = codes.indices.to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(where[1:] != where[:-1]) + 1, [len(where)]]) if len(where) else [0]
             out = []
-            for t, p, r, o, s in zip(f["topic"], f["partition"], f["route"], f["offset"], f["_size"], strict=True):
-                k = (t, p, tuple(r))
+            for a, z in zip(edges[:-1], edges[1:], strict=True):
+                k = codes.dictionary[int(where[a])].as_py()
                 if k != key:
                     if n:
                         out.append(close(True))
                     key, number, n, held = k, 0, 0, 0
-                full = held + s >= max_size or max_messages is not None and n >= max_messages
-                if not n and not counts_first:
-                    full, s = False, 0
-                first = first if n else o
-                last, n, held = o, n + 1, held + s
-                if full:
-                    out.append(close(False))
-                    number, n, held = number + 1, 0, 0
-            yield pd.DataFrame(out, columns=names)
+                pos = int(a)
+                while pos < z:
+                    first = first if n else int(offset[pos])
+                    if not n and not counts_first:
+                        n, last, pos = 1, int(offset[pos]), pos + 1
+                        continue
+                    end = int(np.searchsorted(sums, sums[pos] + max_size - held)) - 1  # the row that reaches the size
+                    end = max(end, pos)
+                    if max_messages is not None:
+                        end = min(end, pos + max(0, max_messages - n))
+                    stop = min(end, int(z) - 1)
+                    n, held, last = n + stop - pos + 1, held + int(sums[stop + 1] - sums[pos]), int(offset[stop])
+                    pos = stop + 1
+                    if end < z:
+                        out.append(close(False))
+                        number, n, held = number + 1, 0, 0
+            yield told(out)
         if n:
-            yield pd.DataFrame([close(True)], columns=names)
+            yield told([close(True)])
 
-    names = ["topic", "partition", "route", "chunk", "first_offset", "offset", "n", "bytes", "is_open"]
-    schema = "topic string, partition int, route array<string>, chunk long, first_offset long, offset long, n long, bytes long, is_open boolean"
+    names = ["chunk", "first_offset", "offset", "n", "bytes", "is_open"]
+    types = [pa.string(), *[pa.int64()] * 5, pa.bool_()]
+    keyed = "struct<topic:string,partition:int,route:array<string>>"
 
     def stage(df: DataFrame) -> DataFrame:
         ship(df.sparkSession)
-        rows = df.select(*STREAM, *ORDER, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size"))
-        return rows.repartition(*STREAM).sortWithinPartitions(*STREAM, *ORDER).select(*STREAM, "offset", "_size").mapInPandas(run, schema)
+        rows = df.select(
+            F.to_json(F.struct(*STREAM), {"ignoreNullFields": "false"}).alias("_key"), *ORDER,
+            F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("_size"),
+        )
+        rows = rows.repartition("_key").sortWithinPartitions("_key", *ORDER).select("_key", "offset", "_size")
+        out = rows.mapInArrow(run, "_key string, chunk long, first_offset long, offset long, n long, bytes long, is_open boolean")
+        return out.select(F.from_json("_key", keyed).alias("_k"), *names).select("_k.*", *names)
 
     return stage
 

@@ -97,6 +97,24 @@ def test_size_cut_matches_a_loop(spark, counts_first):
             held, total = 0, 0
     want += [held] if held else []
     assert [r.n for r in got] == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:  # chunks that go on from batch to batch, several substreams, null parts of routes
+        df = stream(spark, sizes).withColumn("route", F.when(F.col("offset") % 2 == 0, F.array(F.lit(None).cast("string"))).otherwise(F.col("route")))
+        got = chunking.chunk_by_size("v", 20, max_messages=5, counts_first=counts_first)(df).collect()
+        for odd in (True, False):
+            mine = [s for i, s in enumerate(sizes, 1) if (i % 2 == 1) == odd]
+            want, held, total = [], 0, 0
+            for s in mine:
+                full = (total + s >= 20 or held >= 5) and (held > 0 or counts_first)
+                total += s if held or counts_first else 0
+                held += 1
+                if full:
+                    want.append((held, total))
+                    held, total = 0, 0
+            want += [(held, total)] if held else []
+            assert [(r.n, r.bytes) for r in sorted(got, key=lambda r: r.chunk) if (r.route == []) == odd] == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
 
 
 def test_change_cut(spark):
