@@ -34,12 +34,11 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.common import cut, ship
@@ -254,13 +253,13 @@ def list_candidates(df: DataFrame, ident: str = "doc_id", text: str = "text") ->
 
 def settle(known: DataFrame, more: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Adds what ``more`` makes of the known rows until nothing new comes; ``more`` must not forget."""
-    known = cut(known.distinct())
-    size = known.count()
-    while size:
-        known = cut(known.unionByName(more(known)).distinct())
-        before, size = size, known.count()
-        if size == before:
-            break
+    size, before = -1, -2
+    while size not in (before, 0):
+        seen = Observation()
+        rows = known if size < 0 else known.unionByName(more(known))
+        # written and counted in one job
+        known = cut(rows.distinct().observe(seen, F.count(F.lit(1)).alias("n")))
+        before, size = size, seen.get["n"]
     return known
 
 
@@ -344,12 +343,11 @@ def street_graph(cand: DataFrame, support: int = 3, share: float = 0.5, doubt: f
 
         d = pairs.join(has("kind", "k2"), "k2", "left").join(has("stem", "k1"), "k1", "left").join(has("context", "context"), "context", "left")
         typed = F.when(F.col("_kind") == 1, 1)
-        stems = d.groupBy("k1").agg(
-            F.count_distinct(F.when(typed == 1, F.col("k2"))).alias("kinds"), F.count_distinct(F.when((typed == 1) & (F.col("context") != ""), F.col("context"))).alias("contexts"),
-            F.max(F.when(typed == 1, F.col("_context"))).alias("told"),
-        )
-        stems = stems.where("kinds >= 2 OR contexts >= 2 OR told = 1").select(F.lit("stem").alias("node"), F.col("k1").alias("word"))
-        score = lambda by: d.groupBy(by).agg(F.count_distinct("k1").alias("all"), F.count_distinct(F.when(F.col("_stem") == 1, F.col("k1"))).alias("hits"))
+        kind, where = F.when(typed == 1, F.col("k2")), F.when((typed == 1) & (F.col("context") != ""), F.col("context"))
+        # two street words or two contexts: the least is not the greatest
+        stems = d.groupBy("k1").agg((F.min(kind) < F.max(kind)).alias("kinds"), (F.min(where) < F.max(where)).alias("contexts"), F.max(F.when(typed == 1, F.col("_context"))).alias("told"))
+        stems = stems.where("kinds OR contexts OR told = 1").select(F.lit("stem").alias("node"), F.col("k1").alias("word"))
+        score = lambda by: d.groupBy(by, "k1").agg(F.max("_stem").alias("hit")).groupBy(by).agg(F.count("*").alias("all"), F.count("hit").alias("hits"))
         good = (F.col("hits") >= support) & (F.col("hits") >= share * F.col("all"))
         kinds = score("k2").where(good).select(F.lit("kind").alias("node"), F.col("k2").alias("word"))
         contexts = score("context").where(good & (F.col("context") != "")).select(F.lit("context").alias("node"), F.col("context").alias("word"))
@@ -366,10 +364,8 @@ def street_graph(cand: DataFrame, support: int = 3, share: float = 0.5, doubt: f
 def find(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, line_no, kind, first, last)`` of every accepted candidate."""
     cand = cut(list_candidates(df, ident, text))
-    # the families do not need each other, and their rounds are small jobs that mostly wait
-    with ThreadPoolExecutor(4) as pool:
-        jobs = [pool.submit(f, cand) for f in (name_lexicon, number_shapes, seed_words, street_graph)]
-        (givens, surnames), shapes, words, graph = (j.result() for j in jobs)
+    # one family after the other: side by side their plans together take too much of the driver's memory
+    (givens, surnames), shapes, words, graph = (f(cand) for f in (name_lexicon, number_shapes, seed_words, street_graph))
     pos = ["doc_id", "line_no", "first", "last"]
     names = cand.where("family = 'name'").join(surnames.withColumnRenamed("word", "k2"), "k2", "left_semi")
     marked = names.where("startswith(k1, '<')")
