@@ -308,11 +308,13 @@ def number_shapes(cand: DataFrame, share: float = 0.08, support: int = 2, contex
     top = F.greatest(*kinds)
 
     def more(known: DataFrame) -> DataFrame:
-        mark = edges.join(known, "k1", "left").where(F.col("context") != "")
+        # written, as it is used three times
+        all_ = cut(edges.join(known, "k1", "left").select("k1", "context", "n", "kind"))
+        mark = all_.where(F.col("context") != "")
         whole = mark.groupBy("context").agg(F.sum("n").alias("all"))
         ctx = mark.where("kind IS NOT NULL").groupBy("context", "kind").agg(F.count("*").alias("shapes"), F.sum("n").alias("n"))
         ctx = ctx.join(whole, "context").where((F.col("shapes") >= support) & (F.col("n") >= context_share * F.col("all")))
-        hits = edges.join(known, "k1", "left_anti").join(ctx.select("context", "kind"), "context").groupBy("k1", "kind").agg(F.sum("n").alias("hits"))
+        hits = all_.where("kind IS NULL").drop("kind").join(ctx.select("context", "kind"), "context").groupBy("k1", "kind").agg(F.sum("n").alias("hits"))
         new = hits.join(shape.select("k1", "n"), "k1").where((F.col("hits") >= support) & (F.col("hits") >= 0.25 * F.col("n")))
         return new.groupBy("k1").agg(F.max_by("kind", F.struct("hits", "kind")).alias("kind"))
 
@@ -351,6 +353,7 @@ def street_graph(cand: DataFrame, support: int = 3, share: float = 0.5, doubt: f
             return known.where(F.col("node") == node).select(F.col("word").alias(column), F.lit(1).alias(f"_{node}"))
 
         d = pairs.join(has("kind", "k2"), "k2", "left").join(has("stem", "k1"), "k1", "left").join(has("context", "context"), "context", "left")
+        d = cut(d.drop("seed"))  # used three times
         typed = F.when(F.col("_kind") == 1, 1)
         kind, where = F.when(typed == 1, F.col("k2")), F.when((typed == 1) & (F.col("context") != ""), F.col("context"))
         # two street words or two contexts: the least is not the greatest
