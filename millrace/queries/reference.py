@@ -275,12 +275,12 @@ def sysmon_received(spark: SparkSession, d: str) -> DataFrame:
     counts = None
     for name in ("prc", "app_top", "fun_top", "node_role"):
         t = workflows.sysmon_table(spark, root, name)
-        one = t.groupBy(F.lit(name).alias("tbl"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("partition", "offset").alias("n_offsets"), F.count("node").alias("n_nodes"))
+        one = t.groupBy(F.lit(name).alias("tbl"), F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("partition", "offset").alias("n_offsets"), F.count("node").alias("n_nodes"))
         counts = one if counts is None else counts.unionByName(one)
     return counts
 
 
-_ONE_KIND = """SELECT '{t}' AS tbl, ts::date AS day, count(*) AS n, count(DISTINCT ("partition", "offset")) AS n_offsets, count(node) AS n_nodes
+_ONE_KIND = """SELECT '{t}' AS tbl, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT ("partition", "offset")) AS n_offsets, count(node) AS n_nodes
 FROM {t}, (SELECT max(ts)::date AS top FROM {t}) WHERE datediff('day', ts::date, top) <= 20 GROUP BY ALL"""
 R.add("sysmon_received", sysmon_received, " UNION ALL ".join(_ONE_KIND.format(t=t) for t in ("prc", "app_top", "fun_top", "node_role")))
 
@@ -607,7 +607,7 @@ def helpers(spark: SparkSession, d: str) -> DataFrame:
     return f.select(
         "partition", "offset", rec.format_function(m, name, arity).alias("formatted"), rec.to_text(F.col("fun"), 7).alias("short"),
         rec.nullable(F.col("fun_type"), "initial_call").alias("kind"), rec.path_join(F.lit("/a"), F.col("fun_type")).alias("path"),
-        rec.format_stacktrace(F.array("fun", "fun_type")).alias("trace"), hash_partition(F.col("fun").cast("binary"), 5).between(0, 4).alias("in_range"),
+        rec.format_stacktrace(F.array("fun", "fun_type")).alias("trace"), hash_partition(F.coalesce(F.col("fun"), F.lit("")).cast("binary"), 5).between(0, 4).alias("in_range"),
     ).distinct()
 
 
@@ -676,7 +676,7 @@ h AS (SELECT c_custkey, i, list_aggregate([md5(c_custkey::varchar || ':' || n::v
 SELECT c_custkey, (i + 1)::int AS num, substring(h, i * 80 + 1, 80) AS value, ('0x' || substring(h, i * 80 + 1, 2))::int AS first_byte FROM h""")
 R.add("helpers", helpers, """SELECT DISTINCT "partition", "offset", CASE WHEN regexp_matches(fun, '^[^:]+:[^/]*/[0-9]+$') THEN regexp_extract(fun, '^([^:]*):', 1)[:30] || ':' || regexp_extract(fun, ':([^/]*)/', 1)[:40] || '/' || regexp_extract(fun, '/([0-9]+)$', 1)::int ELSE 'no data' END AS formatted,
 fun[:7] AS short, nullif(fun_type, 'initial_call') AS kind, CASE WHEN fun_type IS NULL THEN '/a' ELSE '/a/' || fun_type END AS path,
-to_json([fun, fun_type])::varchar AS trace, CASE WHEN fun IS NOT NULL THEN true END AS in_range FROM fun_top""")
+to_json([fun, fun_type])::varchar AS trace, true AS in_range FROM fun_top""")
 R.add("route_stage_case", route_stage_case, f"""WITH r AS (SELECT *, (row_number() OVER (PARTITION BY "partition", event_type ORDER BY "offset") - 1) // CASE event_type WHEN 'click' THEN 2 WHEN 'error' THEN 3 ELSE 10 END AS chunk FROM ({EVENTS_SQL}))
 SELECT "partition", event_type AS route_head, chunk, min("offset") AS first_offset, max("offset") AS "offset", count(*) AS n FROM r GROUP BY ALL""")
 _SIZES_SQL = OBJECTS_SQL + """SELECT "partition", decode("key") AS "key", "offset", retransmission, NOT retransmission AND corrupted AS corrupted, CASE WHEN retransmission THEN 0 ELSE n_slices END AS n_slices,
