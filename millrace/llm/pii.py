@@ -31,7 +31,6 @@ are not read.
 
 from __future__ import annotations
 
-import gc
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
@@ -270,9 +269,6 @@ def settle(known: DataFrame, more: Callable[[DataFrame], DataFrame]) -> DataFram
         # written and counted in one job
         known = cut(rows.distinct().observe(seen, F.count(F.lit(1)).alias("n")))
         before, size = size, seen.get["n"]
-    # Spark gives up broadcasts, shuffles and plans of past rounds when the driver collects its garbage
-    gc.collect()
-    known.sparkSession.sparkContext._jvm.System.gc()
     return known
 
 
